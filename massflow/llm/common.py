@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -13,6 +15,8 @@ from pyspark.sql import types as T
 
 #: Rows of an Arrow batch that are turned into Python objects at once.
 SLICE_ROWS = 1024
+#: Most bytes of an Arrow batch between Spark and Python (a larger row is alone).
+BATCH_BYTES = 8 << 20
 
 #: The class of the ASCII white space that separates words, as a Java regex.
 SPACE = r"[\x20\x09-\x0D]"
@@ -67,6 +71,32 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to ``BATCH_BYTES``: each is held by the
+    JVM, outside its heap, and by the Python worker."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(key).rstrip("b")) <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
+def give_back() -> None:
+    """Return a worker's free memory to the system: workers are reused."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
+    """``df.mapInArrow`` with bounded batches."""
+    bound_batches(df.sparkSession)
+
+    def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return df.mapInArrow(lean, schema)
+
+
 def as_bytes(column: pa.Array) -> list[bytes | None]:
     large = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
     return column.cast(pa.large_binary() if large else pa.binary()).to_pylist()
@@ -97,4 +127,4 @@ def map_text(
                 cols = [part.column(j) for j in range(len(keep))]
                 yield pa.RecordBatch.from_arrays(cols + fn(as_bytes(part.column(at)), part), names=names)
 
-    return src.mapInArrow(run, schema)
+    return map_arrow(src, run, schema)

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from massflow.llm.common import map_text, table
+from massflow.llm.common import map_arrow, map_text, table
 from massflow.llm.token_counts import default_model, load
 
 ALPHA = 1.0
@@ -323,7 +323,7 @@ def decode(coded: DataFrame, keep: list[str], model: str | None = None) -> DataF
                     at += n
                 yield pa.RecordBatch.from_arrays([part.column(j) for j in range(len(keep))] + [pa.array(out, pa.string())], names=schema.fieldNames())
 
-    return src.mapInArrow(run, schema)
+    return map_arrow(src, run, schema)
 
 
 def round_trip(docs: DataFrame, model: str | None = None) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from massflow.llm.common import free_name, map_text, materialise
+from massflow.llm.common import free_name, map_arrow, map_text, materialise
 
 RADIUS = 3
 SHINGLE_WORDS = 3
@@ -233,7 +233,7 @@ def link_forest(nodes: DataFrame, radius: int = RADIUS, tree_max: int = TREE_MAX
     )
     cells = cells.unionByName(single.select(F.xxhash64("shard").alias("cell"), F.lit(0).alias("role"), "fp"))
     dealt_out = cells.repartition("cell").sortWithinPartitions("cell", "role", "fp")
-    return dealt_out.mapInArrow(search_shards(radius), "a long, b long")
+    return map_arrow(dealt_out, search_shards(radius), "a long, b long")
 
 
 def connect(edges: DataFrame) -> DataFrame:

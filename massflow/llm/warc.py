@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from massflow.llm.common import fresh_path, materialise, table
+from massflow.llm.common import fresh_path, map_arrow, materialise, table
 
 REVISIT_BYTES = 100
 BLOCK_LINES = 512
@@ -138,7 +138,7 @@ def write_archive(pages: DataFrame) -> DataFrame:
         if out is not None:
             out.close()
 
-    made = classify(pages).mapInArrow(run, "key string, page_id long, file string, at long, size long")
+    made = map_arrow(classify(pages), run, "key string, page_id long, file string, at long, size long")
     captures = materialise(made, "captures")
     return captures.withColumn("file", F.concat(F.lit(f"{root}/"), "file"))
 
@@ -186,7 +186,7 @@ def write_index(captures: DataFrame) -> tuple[str, list[tuple[bytes, bytes, str]
     cols = captures.select("key", "page_id", "file", "at", "size")
     parts = min(SHARDS, max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     dealt = cols.repartitionByRange(parts, "key", "page_id").sortWithinPartitions("key", "page_id")
-    heads = materialise(dealt.mapInArrow(run, "first binary, last binary, file string"), "heads")
+    heads = materialise(map_arrow(dealt, run, "first binary, last binary, file string"), "heads")
     return root, sorted((bytes(r[0]), bytes(r[1]), r[2]) for r in heads.collect())
 
 
@@ -242,9 +242,9 @@ def lookup(urls: DataFrame, heads: list[tuple[bytes, bytes, str]]) -> DataFrame:
             cols = list(zip(*rows, strict=True)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["key", "file", "at", "size"])
 
-    routed = urls.select("url").mapInArrow(route, "key string, shard int").distinct()
+    routed = map_arrow(urls.select("url"), route, "key string, shard int").distinct()
     dealt = routed.repartition("shard").sortWithinPartitions("shard", "key")
-    return dealt.mapInArrow(search, "key string, file string, at long, size long")
+    return map_arrow(dealt, search, "key string, file string, at long, size long")
 
 
 def read_records(captures: DataFrame) -> DataFrame:
@@ -274,8 +274,9 @@ def read_records(captures: DataFrame) -> DataFrame:
                 yield fetch(group)
 
     near = F.floor(F.col("at") / READ_BYTES)
-    dealt = captures.select("file", "at", "size").repartition("file", near).sortWithinPartitions("file", "at")
-    return dealt.mapInArrow(run, "page_id long, url string, record_type string, payload binary, full_bytes long, digest string, refers_to long")
+    parts = int(captures.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes here stand for many to read
+    dealt = captures.select("file", "at", "size").repartition(parts, "file", near).sortWithinPartitions("file", "at")
+    return map_arrow(dealt, run, "page_id long, url string, record_type string, payload binary, full_bytes long, digest string, refers_to long")
 
 
 def archive_round_trip(pages: DataFrame) -> DataFrame:
