@@ -32,7 +32,7 @@ WEIGHTS: dict[str, int] = {"src0": 50, **{f"src{i}": 7 for i in range(1, 20)}}
 OTHER = 17
 BLOCK_ROWS = 32
 #: Mean rows of a bucket in which documents are ranked.
-BUCKET_ROWS = 10_000
+BUCKET_ROWS = 4_000
 
 
 def stream_of(source: Column, names: list[str]) -> Column:
