@@ -65,12 +65,13 @@ class Counts:
     def learn(self, new: list[str]) -> None:
         if len(self.known) + len(new) > CACHE_ENTRIES:
             self.known.clear()
-        led = [w for w in new if w[0] in " ▁"]
+        led = [w for w in new if w[0] in " ▁" and len(w) > 1]
         bare = [w for w in new if w[0] not in " ▁\n"]
         self.known.update(zip(led, map(len, self.model.encode([w[1:] for w in led], num_threads=1)), strict=True))
         # the leading blank and the newline that keep a bare word bare are two pieces
         self.known.update(zip(bare, (len(x) - 2 for x in self.model.encode(["\n" + w for w in bare], num_threads=1)), strict=True))
         self.known.update((w, len(w)) for w in new if w[0] == "\n")
+        self.known.update((w, 1) for w in (" ", "▁"))  # a lone blank, which the library drops from an empty text
 
     def totals(self, texts: list[str]) -> list[int]:
         freqs = [Counter(_PRE.findall(" " + t)) if t else {} for t in texts]
