@@ -1,0 +1,164 @@
+"""Content-addressed jobs: prepared, run by a pool of threads that submit Spark
+jobs, verified, and reused when their sealed result is there."""
+
+from __future__ import annotations
+
+import resource
+import time
+import traceback
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import TimeoutError as Late
+from pathlib import Path
+from typing import Any
+
+from pyspark import InheritableThread
+from pyspark.sql import SparkSession
+
+from massflow.plans import artifacts, config
+from massflow.sources.files import json_safe, write_json
+
+WORKERS = 8
+#: Each task type: the schema of its parameters and what it runs; a task writes
+#: its result files into the directory that it is given.
+Task = Callable[[SparkSession, dict[str, Any], Path], dict[str, Any]]
+TYPES: dict[str, tuple[dict[str, Any], Task]] = {}
+
+
+def task(name: str, schema: dict[str, Any]) -> Callable[[Task], Task]:
+    def add(fn: Task) -> Task:
+        TYPES[name] = (schema, fn)
+        return fn
+
+    return add
+
+
+@task("benchmark", {"n_windows": config.integer(1), "length": config.integer(2), "dimensions": config.integer(1), "k": config.integer(2), "projections": config.integer(1), "candidates": config.integer(2, 1024), "n_init": config.integer(1), "seed": config.integer(0)})
+def benchmark(spark: SparkSession, p: dict[str, Any], out: Path) -> dict[str, Any]:
+    import numpy as np
+
+    from massflow.operators import geometry, medoids
+
+    df = random_windows(spark, p["n_windows"], p["length"], p["dimensions"], p["seed"]).cache()
+    df.count()
+    began = time.perf_counter()
+    model = medoids.fit(df, p["k"], geometry.unit_directions(p["projections"], p["dimensions"], p["seed"]), np.ones(p["dimensions"]), p["candidates"], p["n_init"], p["seed"])
+    fitted = time.perf_counter()
+    counts = model.transform(df).groupBy("label").count().collect()
+    df.unpersist()
+    return {"fit_s": fitted - began, "score_s": time.perf_counter() - fitted, "objective": model.objective, "occupied": len(counts)}
+
+
+@task("score", {"panel": config.text, "bundle": config.text, "as_of": config.text})
+def score(spark: SparkSession, p: dict[str, Any], out: Path) -> dict[str, Any]:
+    from massflow.plans.studies import score_bundle
+
+    made, counts = score_bundle(spark.read.parquet(p["panel"]), p["bundle"], p["as_of"])
+    made.drop("distance").coalesce(1).write.parquet(str(out / "scores.parquet"))
+    return counts
+
+
+@task("risk", {"rows": config.text, **config.RISK})
+def risk(spark: SparkSession, p: dict[str, Any], out: Path) -> dict[str, Any]:
+    from massflow.plans.studies import risk_study
+
+    scored, intervals = risk_study(spark.read.parquet(p["rows"]), [], 3, {k: p[k] for k in config.RISK})
+    scored.coalesce(1).write.parquet(str(out / "forecasts.parquet"))
+    return {"intervals": [r.asDict() for r in intervals.collect()]}
+
+
+@task("refit", {"returns": config.text, "years": config.integers(1), "length": config.integer(2), "k": config.integer(2)})
+def refit(spark: SparkSession, p: dict[str, Any], out: Path) -> dict[str, Any]:
+    from massflow.plans.studies import fold_study
+
+    labels, notes = fold_study(spark.read.parquet(p["returns"]), p["years"], p["length"], p["k"])
+    labels.coalesce(1).write.parquet(str(out / "labels.parquet"))
+    return {"refits": notes}
+
+
+def random_windows(spark: SparkSession, n: int, length: int, dims: int, seed: int):
+    """(endpoint, sample): seeded normal windows, made on executors."""
+    import numpy as np
+    import pyarrow as pa
+
+    def run(batches):
+        for b in batches:
+            ids = b.column(0).to_numpy()
+            z = np.stack([np.random.default_rng([seed, int(i)]).standard_normal((length, dims)) for i in ids])
+            inner = pa.ListArray.from_arrays(pa.array(np.arange(len(ids) * length + 1) * dims, pa.int32()), pa.array(z.ravel()))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1) * length, pa.int32()), inner)], names=["endpoint", "sample"])
+
+    return spark.range(n).withColumnRenamed("id", "endpoint").mapInArrow(run, "endpoint long, sample array<array<double>>")
+
+
+def prepare(job: dict[str, Any]) -> dict[str, Any]:
+    """{id, name, identity}: the id covers type, parameters, inputs and versions,
+    not the name."""
+    if set(job) < {"name", "type"} or job["type"] not in TYPES or not config.text(job["name"]):
+        raise ValueError("a job has a name and a known type")
+    params = config.validate({k: v for k, v in job.items() if k not in ("name", "type")}, TYPES[job["type"]][0])
+    inputs = {k: artifacts.identity(artifacts.inventory(Path(v)) if Path(v).is_dir() else artifacts.sha256(Path(v))) for k, v in params.items() if isinstance(v, str) and Path(v).exists()}
+    own = {"type": job["type"], "params": params, "inputs": inputs, "runtime": artifacts.provenance()}
+    return {"id": artifacts.identity(own), "name": job["name"], "identity": own}
+
+
+def run_one(spark: SparkSession, job: dict[str, Any], root: Path) -> dict[str, Any]:
+    """Run or reuse one prepared job; failed attempts stay beside the result."""
+    home = root / job["id"]
+    with artifacts.locked(root / f"{job['id']}.lock"):
+        if (home / "result").is_dir():
+            artifacts.verify(home / "result")
+            return {"id": job["id"], "name": job["name"], "state": "reused"}
+        home.mkdir(parents=True, exist_ok=True)
+        for old in home.glob("attempt-*.json"):  # a lock is held: whatever ran is gone
+            if '"running"' in old.read_text():
+                write_json(old, {"state": "interrupted"})
+        note = home / f"attempt-{len(list(home.glob('attempt-*.json')))}.json"
+        write_json(note, {"state": "running"})
+        try:
+            with artifacts.publish(home / "result") as tmp:
+                made = TYPES[job["identity"]["type"]][1](spark, job["identity"]["params"], tmp)
+                again = prepare({"name": job["name"], "type": job["identity"]["type"], **job["identity"]["params"]})
+                if again["id"] != job["id"]:
+                    raise ValueError("an input changed while the job ran")
+                write_json(tmp / "summary.json", json_safe(made))
+            write_json(note, {"state": "done", "max_rss_kb": resource.getrusage(resource.RUSAGE_SELF).ru_maxrss})
+            return {"id": job["id"], "name": job["name"], "state": "done"}
+        except Exception:
+            write_json(note, {"state": "failed", "error": traceback.format_exc()[-2000:]})
+            return {"id": job["id"], "name": job["name"], "state": "failed"}
+
+
+def run(spark: SparkSession, jobs: Sequence[dict[str, Any]], root: str | Path, workers: int = 2, timeout: float | None = None) -> list[dict[str, Any]]:
+    """Run jobs, at most ``workers`` at a time; late ones are cancelled."""
+    if not 1 <= workers <= WORKERS:
+        raise ValueError(f"workers must be 1 to {WORKERS}")
+    root = Path(root)
+    root.mkdir(parents=True, exist_ok=True)
+    prepared = [prepare(j) for j in jobs]
+    if len({j["id"] for j in prepared}) != len(prepared):
+        raise ValueError("two jobs are the same")
+
+    def tagged(job: dict[str, Any]) -> dict[str, Any]:
+        out: list[dict[str, Any]] = []
+
+        def body() -> None:
+            spark.sparkContext.setJobGroup(job["id"], job["name"], interruptOnCancel=True)
+            out.append(run_one(spark, job, root))
+
+        t = InheritableThread(target=body)
+        t.start()
+        t.join()
+        return out[0]
+
+    with ThreadPoolExecutor(workers) as pool:
+        waiting = [(j, pool.submit(tagged, j)) for j in prepared]
+        results = []
+        for job, f in waiting:
+            try:
+                results.append(f.result(timeout))
+            except Late:
+                spark.sparkContext.cancelJobGroup(job["id"])
+                results.append({"id": job["id"], "name": job["name"], "state": "late"})
+    write_json(root / "summary.json", results)
+    return results
