@@ -69,9 +69,43 @@ def contaminate(df: DataFrame, n: int, share: float, size: float, seed: int, val
     return made.withColumn(value, F.col(value) + F.coalesce(F.col("sign"), F.lit(0.0)) * size * F.col("_sd")).withColumn("hit", F.col("sign").isNotNull()).drop("sign", "_sd")
 
 
+#: Losses up to this many numbers are sent to the tasks as one matrix;
+#: larger ones are joined to the draws.
+LOCAL_NUMBERS = 2_000_000
+
+
+def _local_interval(losses: DataFrame, base: str, block: int, reps: int, seed: int) -> DataFrame | None:
+    """As ``paired_interval``, from a matrix of bounded size: the same draws.
+    None if some method lacks a step."""
+    pdf = losses.select("t", "method", "loss_name", "value").toPandas().pivot_table(index="t", columns=["method", "loss_name"], values="value", dropna=False).sort_index()
+    names = [c for c in pdf.columns if c[0] != base]
+    if pdf.isna().any().any() or not names:
+        return None
+    x = np.stack([(pdf[base, loss] - pdf[m, loss]).to_numpy() for m, loss in names], 1)
+    n = len(x)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            reps_ = b["rep"].to_numpy()
+            means = np.stack([x[stationary(n, block, np.random.default_rng([seed, int(r)]))[0]].mean(0) for r in reps_])
+            yield pd.DataFrame({"rep": np.repeat(reps_, len(names)), "series": np.tile(np.arange(len(names)), len(reps_)), "m": means.ravel()})
+
+    spark = losses.sparkSession
+    made = spark.range(reps).withColumnRenamed("id", "rep").mapInPandas(run, "rep long, series long, m double")
+    spread = made.groupBy("series").agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
+    at = F.col("series").cast("int") + 1
+    pick = lambda v, kind: F.element_at(F.array(*[F.lit(y).cast(kind) for y in v]), at)
+    return spread.select(
+        pick([m for m, _ in names], "string").alias("method"), pick([k for _, k in names], "string").alias("loss_name"),
+        pick([float(v) for v in x.mean(0)], "double").alias("mean_delta"), F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"),
+    )
+
+
 def paired_interval(losses: DataFrame, base: str, block: int, reps: int, seed: int) -> DataFrame:
     """For each other method and loss: mean difference to ``base`` and its
     bootstrap interval; a draw is shared by all methods and losses."""
+    if 0 < losses.count() <= LOCAL_NUMBERS and (made := _local_interval(losses, base, block, reps, seed)) is not None:
+        return made
     other = losses.select(F.col("t"), F.col("loss_name"), F.col("value").alias("other"), F.col("method"))
     mine = losses.filter(F.col("method") == base).select("t", "loss_name", F.col("value").alias("mine"))
     delta = other.filter(F.col("method") != base).join(mine, ["t", "loss_name"]).withColumn("delta", F.col("mine") - F.col("other"))
