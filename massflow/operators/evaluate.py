@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from massflow.operators.windows import before, running
+
 
 def mmd(x: DataFrame, y: DataFrame, bandwidth: float, key: str, column: str = "sample") -> DataFrame:
     """(key, mmd2): biased squared Gaussian MMD of the samples of equal key.
@@ -62,17 +64,16 @@ def over_quantile(scored: DataFrame, calibration: DataFrame, q: float = 0.99, va
 
 
 def runs(labels: DataFrame, keys: list[str], position: str = "position") -> DataFrame:
-    """(keys, run, label, length): runs end at label changes and position gaps."""
-    w = Window.partitionBy(*keys).orderBy(position)
-    new = (F.lag("label").over(w).isNull()) | (F.lag("label").over(w) != F.col("label")) | (F.lag(position).over(w) != F.col(position) - 1)
-    made = labels.withColumn("_new", F.when(new, 1).otherwise(0)).withColumn("run", F.sum("_new").over(w))
+    """(keys, run, label, length, first): runs end at label changes and gaps."""
+    near = before(labels.select(*keys, position, "label"), keys, {"_l": "label"}, position)
+    new = (~F.col("_l").eqNullSafe(F.col("label"))).cast("long")
+    made = running(near, keys, {"run": new}, position)
     return made.groupBy(*keys, "run").agg(F.min("label").alias("label"), F.count("*").alias("length"), F.min(position).alias("first"))
 
 
 def temporal_summary(labels: DataFrame, keys: list[str], position: str = "position") -> DataFrame:
     """Per key: adjacent pairs, switch frequency over them, mean and median dwell."""
-    w = Window.partitionBy(*keys).orderBy(position)
-    near = labels.withColumn("_l", F.when(F.lag(position).over(w) == F.col(position) - 1, F.lag("label").over(w)))
+    near = before(labels.select(*keys, position, "label"), keys, {"_l": "label"}, position)
     pairs = near.groupBy(*keys).agg(F.count("_l").alias("pairs"), F.count_if(F.col("_l") != F.col("label")).alias("switches"))
     dwell = runs(labels, keys, position).groupBy(*keys).agg(F.avg("length").alias("mean_dwell"), F.median("length").alias("median_dwell"), F.count("*").alias("runs"))
     return pairs.join(dwell, keys).withColumn("switch_frequency", F.try_divide("switches", "pairs"))
@@ -80,8 +81,7 @@ def temporal_summary(labels: DataFrame, keys: list[str], position: str = "positi
 
 def transitions(labels: DataFrame, keys: list[str], position: str = "position") -> DataFrame:
     """(keys, source, target, n, share) over adjacent positions."""
-    w = Window.partitionBy(*keys).orderBy(position)
-    near = labels.withColumn("source", F.when(F.lag(position).over(w) == F.col(position) - 1, F.lag("label").over(w))).filter("source IS NOT NULL")
+    near = before(labels.select(*keys, position, "label"), keys, {"source": "label"}, position).filter("source IS NOT NULL")
     counts = near.groupBy(*keys, "source", F.col("label").alias("target")).agg(F.count("*").alias("n"))
     return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(*keys, "source")))
 

@@ -56,8 +56,9 @@ def on_calendar(prices: DataFrame, calendar: DataFrame) -> DataFrame:
 
     ``calendar`` has session_date, close_utc and session_no (a dense number), so
     a session's neighbour is known without ordering the symbol's whole history."""
-    span = prices.groupBy("symbol").agg(F.min("session_date").alias("lo"), F.max("session_date").alias("hi"))
-    spine = span.join(calendar, F.col("session_date").between(F.col("lo"), F.col("hi")))
+    known = calendar.select("session_date", "session_no")
+    span = prices.join(known, "session_date").groupBy("symbol").agg(F.min("session_no").alias("lo"), F.max("session_no").alias("hi"))
+    spine = span.select("symbol", F.explode(F.sequence("lo", "hi")).alias("session_no")).join(calendar, "session_no")
     spine = spine.select("symbol", "session_date", "close_utc", "session_no")
     return spine.join(prices.select("symbol", "session_date", "price"), ["symbol", "session_date"], "left")
 

@@ -4,12 +4,13 @@ A forecast at t uses rows up to t; a target enters a mean when it has matured.""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from massflow.functions.distributions import ewma
+from massflow.operators.windows import halo, running
 
 FLOOR = 1e-12
 
@@ -23,8 +24,8 @@ def basket(returns: DataFrame) -> DataFrame:
 def volatility_states(rows: DataFrame, window: int, training_end: int) -> DataFrame:
     """Adds ``vol_state``: tercile, by training rows, of the trailing mean of q
     (a value at a boundary goes up); -1 before a full window."""
-    w = Window.partitionBy("series").orderBy("idx").rowsBetween(-(window - 1), 0)
-    made = rows.withColumn("_m", F.when(F.count("q").over(w) == window, F.avg("q").over(w)))
+    w = Window.partitionBy("series", "_block").orderBy("idx").rangeBetween(-(window - 1), 0)
+    made = halo(rows, window - 1).withColumn("_m", F.when(F.count("q").over(w) == window, F.avg("q").over(w))).filter("_own").drop("_own", "_block")
     cut = made.filter(F.col("idx") <= training_end).groupBy("series").agg(F.percentile("_m", F.array(F.lit(1 / 3), F.lit(2 / 3))).alias("_b"))
     state = F.when(F.col("_m").isNull(), -1).otherwise((F.col("_m") >= F.col("_b")[0]).cast("int") + (F.col("_m") >= F.col("_b")[1]).cast("int"))
     return made.join(cut, "series").withColumn("vol_state", state).drop("_m", "_b")
@@ -33,40 +34,70 @@ def volatility_states(rows: DataFrame, window: int, training_end: int) -> DataFr
 def targets(rows: DataFrame, horizon: int, as_of: str | None = None) -> DataFrame:
     """Adds ``target``, the mean of the next ``horizon`` q, null until matured
     and available; with its last row's idx and availability."""
-    w = Window.partitionBy("series").orderBy("idx").rowsBetween(1, horizon)
+    w = Window.partitionBy("series", "_block").orderBy("idx").rangeBetween(1, horizon)
     full = F.count("q").over(w) == horizon
     at = F.max("available_at").over(w)
     ok = full if as_of is None else full & (at <= F.lit(as_of).cast("timestamp"))
-    return rows.withColumns({"target": F.when(ok, F.avg("q").over(w)), "target_end": F.when(ok, F.max("idx").over(w)), "target_available_at": F.when(ok, at)})
+    made = halo(rows, 0, horizon).withColumns({"target": F.when(ok, F.avg("q").over(w)), "target_end": F.when(ok, F.max("idx").over(w)), "target_available_at": F.when(ok, at)})
+    return made.filter("_own").drop("_own", "_block")
+
+
+def ewma_column(rows: DataFrame, decay: float, min_history: int, name: str = "ewma") -> DataFrame:
+    """Adds the recursion e = decay e + (1 - decay) q, seeded at row
+    min_history - 1 with the mean so far.
+
+    Within a block it is a weighted running sum of nonnegative terms (blocks are
+    short enough for decay ** -block to stay in range); block ends are folded in
+    order, one number for each block of a series."""
+    if not 0 < decay < 1:
+        raise ValueError("decay must lie between 0 and 1")
+    block = max(2, min(4096, int(250 / -math.log10(decay))))
+    start = min_history - 1
+    seed = rows.filter(F.col("idx") <= start).groupBy("series").agg(F.avg("q").alias("_seed"))
+    live = rows.select("series", "idx", "q").filter(F.col("idx") > start)
+    live = live.withColumn("_block", F.floor((F.col("idx") - min_history) / block)).withColumn("_j", F.col("idx") - min_history - F.col("_block") * block + 1)
+    d = F.lit(float(decay))
+    own = Window.partitionBy("series", "_block").orderBy("_j").rowsBetween(Window.unboundedPreceding, 0)
+    live = live.withColumn("_own", F.pow(d, F.col("_j")) * F.sum((1 - d) * F.col("q") * F.pow(d, -F.col("_j"))).over(own))
+    ends = live.groupBy("series", "_block").agg(F.max_by("_own", "_j").alias("s"), F.max("_j").alias("n"))
+    chain = ends.groupBy("series").agg(F.array_sort(F.collect_list(F.struct("_block", "s", "n"))).alias("b")).join(seed, "series")
+    step = F.aggregate("b", F.array("_seed"), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) * F.pow(d, x["n"]) + x["s"])))
+    carry = chain.select("series", F.posexplode(step).alias("_block", "_carry"))
+    done = live.join(carry, ["series", "_block"]).select("series", "idx", (F.col("_carry") * F.pow(d, F.col("_j")) + F.col("_own")).alias(name))
+    first = seed.select("series", F.lit(start).cast("long").alias("idx"), F.col("_seed").alias(name))
+    return rows.join(done.unionByName(first), ["series", "idx"], "left")
 
 
 def forecasts(rows: DataFrame, states: Sequence[str], k: int, window: int, horizon: int, min_history: int, prior: float, decay: float) -> DataFrame:
     """Adds expanding, rolling, ewma and, for each state column, the mean of its
     matured targets shrunk to the expanding mean; all null before min_history.
 
-    rows: series, idx (dense from 0), q, state columns (-1: none yet).  A series
-    is ordered once; the matured mean is k conditional running sums, of which
-    the current state's is taken."""
-    w = Window.partitionBy("series").orderBy("idx")
-    past = w.rowsBetween(Window.unboundedPreceding, 0)
-    made = rows.withColumn("_all", F.avg("q").over(past))
+    rows: series, idx (dense from 0), q, state columns (-1: none yet).  The mean
+    of the last ``horizon`` q is the target that matures now, of the origin
+    ``horizon`` rows ago; it enters the running sum of that origin's state, and
+    the current state's sum is taken.  Running sums are blocked."""
+    back = max(window - 1, horizon)
+    w = Window.partitionBy("series", "_block").orderBy("idx")
+    last = lambda n: w.rangeBetween(-(n - 1), 0)
+    made = halo(rows, back).withColumn("rolling", F.when(F.count("q").over(last(window)) == window, F.avg("q").over(last(window))))
+    made = made.withColumn("_ripe", F.when(F.count("q").over(last(horizon)) == horizon, F.avg("q").over(last(horizon))))
+    origin = F.col("idx") - horizon >= max(window - 1, 0)
+    made = made.withColumns({f"_was_{s}": F.when(origin, F.first(s).over(w.rangeBetween(-horizon, -horizon))) for s in states}).filter("_own").drop("_own", "_block")
+    sums = {"_q": F.col("q"), "_rows": F.lit(1)}
+    for s in states:
+        for j in range(k):
+            hit = F.col(f"_was_{s}") == j
+            sums |= {f"_y_{s}_{j}": F.when(hit, F.col("_ripe")), f"_n_{s}_{j}": F.when(hit & F.col("_ripe").isNotNull(), 1)}
+    made = running(made, ["series"], sums)
     warm = F.col("idx") >= min_history - 1
-    ahead = F.avg("q").over(w.rowsBetween(1, horizon))
-    made = made.withColumn("_target", F.when(F.count("q").over(w.rowsBetween(1, horizon)) == horizon, ahead))
-    made = made.withColumn("_ripe", F.lag("_target", horizon).over(w))
-    history = F.collect_list(F.when(F.col("idx") >= min_history, F.col("q"))).over(past)
-    seed = F.first(F.when(F.col("idx") == min_history - 1, F.col("_all")), ignorenulls=True).over(past)
-    out = made.withColumn("expanding", F.when(warm, F.col("_all"))).withColumn("rolling", F.when(warm & (F.count("q").over(w.rowsBetween(-(window - 1), 0)) == window), F.avg("q").over(w.rowsBetween(-(window - 1), 0))))
-    out = out.withColumn("_h", history).withColumn("_s", seed).withColumn("ewma", F.when(warm, ewma(F.col("_h"), decay, F.col("_s")))).drop("_h", "_s")
+    mean = F.col("_q") / F.col("_rows")
+    cols = {"expanding": F.when(warm, mean), "rolling": F.when(warm, F.col("rolling"))}
     for s in states:
-        out = out.withColumn("_was", F.when(F.col("idx") - horizon >= window - 1, F.lag(s, horizon).over(w)))
-        sums = [F.sum(F.when(F.col("_was") == j, F.col("_ripe"))).over(past) for j in range(k)]
-        counts = [F.count(F.when(F.col("_was") == j, F.col("_ripe"))).over(past) for j in range(k)]
-        out = out.withColumn("_sum", F.array(*sums)).withColumn("_n", F.array(*counts))
-        n = F.coalesce(F.get("_n", F.col(s)), F.lit(0))
-        total = F.coalesce(F.get("_sum", F.col(s)), F.lit(0.0))
-        out = out.withColumn(f"{s}_matured", F.when(warm, n)).withColumn(f"{s}_mean", F.when(warm, (total + prior * F.col("_all")) / (n + prior))).drop("_was", "_sum", "_n")
-    return out.drop("_all", "_target", "_ripe")
+        n = F.coalesce(F.get(F.array(*[F.col(f"_n_{s}_{j}") for j in range(k)]), F.col(s)), F.lit(0)).cast("long")
+        y = F.coalesce(F.get(F.array(*[F.col(f"_y_{s}_{j}") for j in range(k)]), F.col(s)), F.lit(0.0))
+        cols |= {f"{s}_matured": F.when(warm, n), f"{s}_mean": F.when(warm, (y + prior * mean) / (n + prior))}
+    made = made.withColumns(cols).drop("_ripe", *[f"_was_{s}" for s in states], *sums)
+    return ewma_column(made, decay, min_history)
 
 
 def losses(rows: DataFrame, methods: Sequence[str]) -> DataFrame:

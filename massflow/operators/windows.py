@@ -107,16 +107,44 @@ def pure_state(df: DataFrame, length: int, low: float, high: float, keys: Sequen
     return made.filter(F.col("_own") & (F.col("n") == length)).select(*keys, F.col("idx").alias("endpoint"), state.alias("state"))
 
 
-def non_overlapping(wins: DataFrame, length: int, keys: Sequence[str] = ("symbol",)) -> DataFrame:
-    """Greedy choice along endpoints: a window is taken if it starts after the
-    last one taken has passed by more than ``length``.
-
-    The choice depends on all earlier ones, so a key's endpoints (numbers only)
-    are folded together."""
-    ends = wins.groupBy(*keys).agg(F.array_sort(F.collect_list("endpoint")).alias("e"))
-    start = F.array().cast("array<bigint>")
-    picked = F.aggregate("e", start, lambda acc, x: F.when((F.size(acc) == 0) | (x - F.element_at(acc, -1) > length), F.concat(acc, F.array(x))).otherwise(acc))
-    return wins.join(ends.select(*keys, F.explode(picked).alias("endpoint")), [*keys, "endpoint"])
+def running(df: DataFrame, keys: Sequence[str], sums: dict[str, Column], order: str = "idx", block: int = BLOCK) -> DataFrame:
+    """Adds running sums along ``order`` (numbers): within blocks by a window, and
+    before them by the sums of earlier blocks, so a key is spread over tasks."""
+    rows = df.withColumn("_block", F.floor(F.col(order) / block))
+    rows = rows.withColumns({f"_v_{n}": F.coalesce(c, F.lit(0)) for n, c in sums.items()})
+    blocks = rows.groupBy(*keys, "_block").agg(*[F.sum(f"_v_{n}").alias(f"_b_{n}") for n in sums])
+    w = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select(*keys, "_block", *[F.coalesce(F.sum(f"_b_{n}").over(w), F.lit(0)).alias(f"_b_{n}") for n in sums])
+    own = Window.partitionBy(*keys, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({f"_v_{n}": F.sum(f"_v_{n}").over(own) for n in sums})
+    made = rows.join(blocks, [*keys, "_block"]).withColumns({n: F.col(f"_v_{n}") + F.col(f"_b_{n}") for n in sums})
+    return made.drop("_block", *[f"_v_{n}" for n in sums], *[f"_b_{n}" for n in sums])
+
+
+def before(df: DataFrame, keys: Sequence[str], columns: dict[str, str], order: str = "idx", steps: int = 1, block: int = BLOCK) -> DataFrame:
+    """Adds columns of the row exactly ``steps`` earlier in ``order`` (null if
+    there is none)."""
+    w = Window.partitionBy(*keys, "_block").orderBy(order).rangeBetween(-steps, -steps)
+    made = halo(df, steps, block=block, idx=order).withColumns({new: F.first(old).over(w) for new, old in columns.items()})
+    return made.filter("_own").drop("_own", "_block")
+
+
+def non_overlapping(wins: DataFrame, length: int, keys: Sequence[str] = ("symbol",), stride: int = 1) -> DataFrame:
+    """Greedy choice along endpoints: a window is taken if its endpoint is more
+    than ``length`` past the last one taken.
+
+    In an unbroken stretch the choice is every (length + 1)-th endpoint from the
+    first taken, so only stretches are folded in order, not windows."""
+    ends = before(wins.select(*keys, "endpoint"), keys, {"_prior": "endpoint"}, "endpoint", stride)
+    ends = running(ends, keys, {"_run": F.col("_prior").isNull().cast("long")}, "endpoint")
+    spans = ends.groupBy(*keys, "_run").agg(F.min("endpoint").alias("lo"), F.max("endpoint").alias("hi"))
+    spans = spans.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("_s"))
+    step = -(-(length + 1) // stride) * stride
+    fold = f"""aggregate(_s, struct(cast(NULL AS bigint) AS last, cast(array() AS array<struct<lo: bigint, hi: bigint>>) AS out), (a, x) ->
+        transform(array(IF(a.last IS NULL OR x.lo > a.last + {length}, x.lo, x.lo + cast(ceil((a.last + {length + 1} - x.lo) / {stride}) AS bigint) * {stride})), f ->
+            IF(f > x.hi, a, struct(f + (x.hi - f) div {step} * {step} AS last, concat(a.out, array(struct(f AS lo, x.hi AS hi))) AS out)))[0], a -> a.out)"""
+    picked = spans.select(*keys, F.explode(F.expr(fold)).alias("p")).select(*keys, F.explode(F.expr(f"sequence(p.lo, p.hi, {step}L)")).alias("endpoint"))
+    return wins.join(picked, [*keys, "endpoint"])
 
 
 def seam_windows(df: DataFrame, length: int, keys: Sequence[str] = ("symbol",), seam: str = "seam") -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from massflow.functions import distributions as D
-from massflow.operators import evaluate, geometry, hmm, ingest, lloyd, medoids, resample, risk, splits, windows
+from massflow.operators import evaluate, geometry, hmm, ingest, lloyd, medoids, mixture, resample, risk, splits, windows
 from massflow.plans import panels as P
 from massflow.sources import calendar, synthetic
 
@@ -454,15 +454,16 @@ def occupancy(spark, d):
     return evaluate.occupancy(P.labelled(spark, d), 5)
 
 
-@query("silhouette", f"""WITH {SAMPLES}, s AS (SELECT * FROM e WHERE id < 160), p AS (SELECT a.id, a.truth, b.truth AS other, avg(list_distance(a.s, b.s)) AS d FROM s a JOIN s b ON a.id <> b.id GROUP BY ALL),
+@query("silhouette", f"""WITH {SAMPLES}, s AS (SELECT * FROM e ORDER BY md5(id::VARCHAR) LIMIT 160), p AS (SELECT a.id, a.truth, b.truth AS other, avg(list_distance(a.s, b.s)) AS d FROM s a JOIN s b ON a.id <> b.id GROUP BY ALL),
   w AS (SELECT id, truth, max(d) FILTER (WHERE truth = other) AS own, min(d) FILTER (WHERE truth <> other) AS near FROM p GROUP BY ALL) SELECT id, truth AS label, {r('CASE WHEN own IS NULL THEN 0 ELSE (near - own) / greatest(own, near) END')} AS silhouette FROM w""")
 def silhouette(spark, d):
-    got = evaluate.silhouette_rows(P.samples(spark, d).filter("id < 160").select("id", F.col("truth").alias("label"), "sample"))
+    sample = P.samples(spark, d).orderBy(F.md5(F.col("id").cast("string").cast("binary"))).limit(160)  # the measure is of a bounded sample
+    got = evaluate.silhouette_rows(sample.select("id", F.col("truth").alias("label"), "sample"))
     return got.select("id", "label", rnd("silhouette").alias("silhouette"))
 
 
-def _kernel(p, q):
-    return f"list_avg([list_avg([exp(-0.5::DOUBLE * ((u - v) / {BANDWIDTH}::DOUBLE) ** 2) FOR v IN {q}]) FOR u IN {p}])"
+def _kernel(p, q, h=BANDWIDTH):
+    return f"list_avg([list_avg([exp(-0.5::DOUBLE * ((u - v) / {h}::DOUBLE) ** 2) FOR v IN {q}]) FOR u IN {p}])"
 
 
 @query("mmd_pairs", PAIRS + f" SELECT id, {r('greatest(0, ' + _kernel('s', 's') + ' + ' + _kernel('t', 't') + ' - 2 * ' + _kernel('s', 't') + ')')} AS mmd2 FROM p")
@@ -470,10 +471,13 @@ def mmd_pairs(spark, d):
     return sample_pairs(spark, d).select("id", rnd(evaluate.mmd_of(F.col("sample"), F.col("other"), BANDWIDTH)).alias("mmd2"))
 
 
-@query("mmd_adjacent")
+@query("mmd_adjacent", BASE.replace("WITH ", "WITH RECURSIVE ", 1) + f""", pick(symbol, endpoint) AS (SELECT symbol, min(endpoint) FROM lab GROUP BY symbol
+  UNION ALL SELECT p.symbol, (SELECT min(l.endpoint) FROM lab l WHERE l.symbol = p.symbol AND l.endpoint - p.endpoint > {L}) FROM pick p WHERE p.endpoint IS NOT NULL),
+  sel AS (SELECT symbol, label, sample AS s, lead(sample) OVER w AS t, lead(label) OVER w AS l2 FROM lab JOIN pick USING (symbol, endpoint) WINDOW w AS (PARTITION BY symbol ORDER BY endpoint))
+  SELECT symbol, label = l2 AS same_label, count(*) AS pairs, {r("avg(greatest(0, " + _kernel("s", "s", 0.02) + " + " + _kernel("t", "t", 0.02) + " - 2 * " + _kernel("s", "t", 0.02) + "))")} AS mean_mmd2 FROM sel WHERE t IS NOT NULL GROUP BY ALL""")
 def mmd_adjacent(spark, d):
     got = P.labelled(spark, d)
-    return evaluate.adjacent_mmd(windows.non_overlapping(got, L), 0.02, ["symbol"])
+    return evaluate.adjacent_mmd(windows.non_overlapping(got, L), 0.02, ["symbol"]).withColumn("mean_mmd2", rnd("mean_mmd2"))
 
 
 @query("within_between", BASE + f"""SELECT (SELECT {r('avg(nearest)')} FROM lab) AS within, {r(f'avg(list_distance(a.c, b.c) / sqrt({L}.0::DOUBLE))')} AS between_centers FROM centers a JOIN centers b ON a.k < b.k""")
@@ -558,6 +562,32 @@ def feature_kmeans(spark, d):
     return w.select("id", "symbol", "endpoint").join(got, "id").drop("id")
 
 
+@query("feature_gmm")
+def feature_gmm(spark, d):
+    w = P.weekly_windows(spark, d).withColumn("id", F.xxhash64("symbol", "endpoint")).withColumn("features", D.features(F.col("sample"), "moments")).cache()
+    got = mixture.FeatureGmm(3, n_init=1).fit(w, "id").predict(w, "id")
+    return w.select("id", "symbol", "endpoint").join(got, "id").select("symbol", "endpoint", "label")
+
+
+@query("panel_kmeans")
+def panel_kmeans(spark, d):
+    w = windows.joint_windows(P.weekly_panel(spark, d), L)
+    f = geometry.with_arrays(w, "sample", [geometry.T.StructField("features", geometry.ARRAY)], lambda x: [geometry.list_column(geometry.panel_features(x.reshape(len(x), L, 3), "covariance"))], ["endpoint"], inner=2)
+    f = f.withColumn("sample", F.col("features")).cache()
+    return lloyd.FeatureKMeans(3, n_init=1).fit(f, "endpoint").predict(f, "endpoint")
+
+
+@query("iid_null_dwell")
+def iid_null_dwell(spark, d):
+    """Dwell of the fixed centers' labels when the order of returns is random."""
+    wins = P.weekly_windows(spark, d)
+    base = P.weekly_returns(spark, d).filter("symbol = 'N'").select("idx", "log_return")
+    null = resample.resample(base, resample.draws(spark, base.count(), 5, 7, "iid"))
+    made = windows.windows(null, L, keys=("rep",))
+    labels = geometry.distances(made, P.centers(wins), 2, keep=["rep", "endpoint"])
+    return evaluate.temporal_summary(labels, ["rep"], "endpoint")
+
+
 @query("sliced_medoids")
 def sliced_medoids(spark, d):
     w = windows.joint_windows(P.weekly_panel(spark, d), L).select("endpoint", "sample").cache()
@@ -580,14 +610,14 @@ def hmm_filter(spark, d):
 
 @query("hmm_fit")
 def hmm_fit(spark, d):
-    r_ = P.weekly_returns(spark, d).filter("log_return IS NOT NULL AND symbol = 'N'").orderBy("idx").limit(400)
+    r_ = P.weekly_returns(spark, d).filter("log_return IS NOT NULL AND symbol = 'N'").orderBy("idx")
     model = hmm.fit(spark, np.array([x["log_return"] for x in r_.collect()]), 2, n_init=2, full=False, max_iter=40)
     return hmm.causal_filter(r_, model, ["symbol"], "log_return").select("symbol", "idx", "state")
 
 
 @query("panel_hmm_fit")
 def panel_hmm_fit(spark, d):
-    p = P.weekly_panel(spark, d).filter("x IS NOT NULL").orderBy("idx").limit(300).withColumn("k", F.lit("panel"))
+    p = P.weekly_panel(spark, d).filter("x IS NOT NULL").orderBy("idx").withColumn("k", F.lit("panel"))
     model = hmm.fit(spark, np.array([x["x"] for x in p.collect()]), 2, n_init=2, max_iter=30)
     return hmm.causal_filter(p, model, ["k"], "x").select("idx", "state")
 
