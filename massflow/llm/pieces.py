@@ -51,6 +51,8 @@ LIFT = 24.0
 
 _PRE = re.compile(rb"\xff+[^\xff\n]*|\n+|[^\xff\n]+")
 _MULT = np.uint64(0x100000001B3)
+#: Slots of the filter that most substrings which are no piece fail.
+_FILTER_BITS = 21
 _tables: dict[tuple[str, float], Pieces] = {}
 
 
@@ -93,6 +95,7 @@ class Pieces:
                 rank += 1
         self.longest = max(map(len, self.ids))
         self.joined = np.array(self.text, object)
+        self.seen = np.zeros(1 << _FILTER_BITS, bool)
         self.by_length: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for k in {len(p) for p in self.ids}:
             own = [p for p in self.ids if len(p) == k]
@@ -100,11 +103,16 @@ class Pieces:
             h = np.zeros(len(own), np.uint64)
             for j in range(k):
                 h = h * _MULT + raw[:, j] + np.uint64(1)
+            self.seen[self._slot(h)] = True
             order = np.argsort(h)
             if len(np.unique(h)) != len(h):
                 raise ValueError("two pieces have one hash")
             self.by_length[k] = (h[order], np.array([self.ids[own[i]] for i in order], np.int32))
 
+    @staticmethod
+    def _slot(h: np.ndarray) -> np.ndarray:
+        return (h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _FILTER_BITS)
+
     def matches(self, words: list[bytes], n: int) -> np.ndarray:
         """piece[word, start, length - 1] of words of n bytes, -1 for none."""
         raw = np.frombuffer(b"".join(words), np.uint8).reshape(-1, n)
@@ -116,9 +124,11 @@ class Pieces:
                 h = h * _MULT + raw[:, i + k - 1] + np.uint64(1)
                 if k in self.by_length:
                     keys, ids = self.by_length[k]
-                    at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-                    hit = keys[at] == h
-                    piece[hit, i, k - 1] = ids[at[hit]]
+                    row = np.flatnonzero(self.seen[self._slot(h)])
+                    own = h[row]
+                    at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+                    hit = keys[at] == own
+                    piece[row[hit], i, k - 1] = ids[at[hit]]
         # bytes of characters that are no piece
         size = np.select([raw < 0x80, raw < 0xC0, raw < 0xE0, raw < 0xF0, raw < 0xF8], [1, 0, 2, 3, 4], 1)
         for c in range(1, min(4, n) + 1):
