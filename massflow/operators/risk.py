@@ -75,7 +75,9 @@ def forecasts(rows: DataFrame, states: Sequence[str], k: int, window: int, horiz
     rows: series, idx (dense from 0), q, state columns (-1: none yet).  The mean
     of the last ``horizon`` q is the target that matures now, of the origin
     ``horizon`` rows ago; it enters the running sum of that origin's state, and
-    the current state's sum is taken.  Running sums are blocked."""
+    the current state's sum is taken.  Running sums are blocked.  A null q is no
+    observation: it enters no mean and has no ewma."""
+    rows = rows.persist()  # numbers only; each is read by several branches below
     back = max(window - 1, horizon)
     w = Window.partitionBy("series", "_block").orderBy("idx")
     last = lambda n: w.rangeBetween(-(n - 1), 0)
@@ -83,21 +85,23 @@ def forecasts(rows: DataFrame, states: Sequence[str], k: int, window: int, horiz
     made = made.withColumn("_ripe", F.when(F.count("q").over(last(horizon)) == horizon, F.avg("q").over(last(horizon))))
     origin = F.col("idx") - horizon >= max(window - 1, 0)
     made = made.withColumns({f"_was_{s}": F.when(origin, F.first(s).over(w.rangeBetween(-horizon, -horizon))) for s in states}).filter("_own").drop("_own", "_block")
-    sums = {"_q": F.col("q"), "_rows": F.lit(1)}
+    sums = {"_q": F.col("q"), "_rows": F.when(F.col("q").isNotNull(), 1)}
     for s in states:
         for j in range(k):
             hit = F.col(f"_was_{s}") == j
             sums |= {f"_y_{s}_{j}": F.when(hit, F.col("_ripe")), f"_n_{s}_{j}": F.when(hit & F.col("_ripe").isNotNull(), 1)}
-    made = running(made, ["series"], sums)
+    made = running(made.persist(), ["series"], sums).persist()
     warm = F.col("idx") >= min_history - 1
-    mean = F.col("_q") / F.col("_rows")
+    mean = F.try_divide("_q", "_rows")
     cols = {"expanding": F.when(warm, mean), "rolling": F.when(warm, F.col("rolling"))}
     for s in states:
         n = F.coalesce(F.get(F.array(*[F.col(f"_n_{s}_{j}") for j in range(k)]), F.col(s)), F.lit(0)).cast("long")
         y = F.coalesce(F.get(F.array(*[F.col(f"_y_{s}_{j}") for j in range(k)]), F.col(s)), F.lit(0.0))
         cols |= {f"{s}_matured": F.when(warm, n), f"{s}_mean": F.when(warm, (y + prior * mean) / (n + prior))}
+    seen = made.filter("q IS NOT NULL").select("series", F.col("idx").alias("_at"), (F.col("_rows") - 1).cast("long").alias("idx"), "q")
+    smooth = ewma_column(seen, decay, min_history).select("series", F.col("_at").alias("idx"), "ewma")
     made = made.withColumns(cols).drop("_ripe", *[f"_was_{s}" for s in states], *sums)
-    return ewma_column(made, decay, min_history)
+    return made.join(smooth, ["series", "idx"], "left")
 
 
 def losses(rows: DataFrame, methods: Sequence[str]) -> DataFrame:

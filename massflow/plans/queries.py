@@ -57,7 +57,7 @@ def win(length: int = L, stride: int = 1, source: str = "ret") -> str:
   FROM {source} WINDOW w AS (PARTITION BY symbol ORDER BY idx ROWS BETWEEN {length - 1} PRECEDING AND CURRENT ROW)) WHERE c = {length} AND (endpoint - {length - 1}) % {stride} = 0)"""
 
 
-TICK = """ev AS (SELECT event_type AS symbol, row_number() OVER w - 2 AS idx, ln(value) - lag(ln(value)) OVER w AS log_return FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)),
+TICK = """ev AS (SELECT event_type AS symbol, row_number() OVER w - 2 AS idx, x - lag(x) OVER w AS log_return FROM (SELECT *, CASE WHEN value > 0 THEN ln(value) END AS x FROM events) WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)),
 tick AS (SELECT *, NULL::DATE AS session_date, NULL::TIMESTAMP AS available_at, NULL::DATE AS price_start, NULL::DATE AS price_end FROM ev WHERE idx >= 0)"""
 CENTERS = f"""centers AS (SELECT endpoint AS e, q AS c, row_number() OVER (ORDER BY endpoint) - 1 AS k FROM win WHERE symbol = '{P.CENTER_SYMBOL}' AND endpoint IN {P.CENTER_ENDPOINTS})"""
 LABELS = CENTERS + f""",
@@ -85,14 +85,14 @@ def ingest_duplicate_sessions(spark, d):
     return ingest.duplicate_sessions(rows)
 
 
-@query("ingest_off_calendar", "SELECT o_orderdate::DATE AS session_date, 'orders' AS symbol, " + r("avg(o_totalprice)", 4) + " AS price FROM orders WHERE dayofweek(o_orderdate) <> 1 GROUP BY 1")
+@query("ingest_off_calendar", "SELECT o_orderdate::DATE AS session_date, 'orders' AS symbol, " + r("ln(avg(o_totalprice))") + " AS log_price FROM orders WHERE dayofweek(o_orderdate) <> 1 GROUP BY 1")
 def ingest_off_calendar(spark, d):
-    return ingest.off_calendar(P.daily_prices(spark, d), P.weekly_calendar(spark)).select("session_date", "symbol", rnd("price", 4).alias("price"))
+    return ingest.off_calendar(P.daily_prices(spark, d), P.weekly_calendar(spark)).select("session_date", "symbol", rnd(F.ln("price")).alias("log_price"))
 
 
-@query("ingest_calendar_reindex", f"WITH {RET} SELECT symbol, session_date, {r('price', 4)} AS price FROM spine")
+@query("ingest_calendar_reindex", f"WITH {RET} SELECT symbol, session_date, {r('ln(price)')} AS log_price FROM spine")
 def ingest_calendar_reindex(spark, d):
-    return ingest.on_calendar(P.weekly_prices(spark, d), P.weekly_calendar(spark)).select("symbol", "session_date", rnd("price", 4).alias("price"))
+    return ingest.on_calendar(P.weekly_prices(spark, d), P.weekly_calendar(spark)).select("symbol", "session_date", rnd(F.ln("price")).alias("log_price"))
 
 
 @query("ingest_log_returns", f"WITH {RET} SELECT symbol, idx, session_date, {r('log_return')} AS log_return, available_at, price_start, price_end FROM ret")
@@ -595,10 +595,10 @@ def sliced_medoids(spark, d):
     return model.transform(w).select("endpoint", "label", rnd("nearest").alias("nearest"))
 
 
-TWO = hmm.Hmm(np.array([0.6, 0.4]), np.array([[0.7, 0.3], [0.2, 0.8]]), np.array([[-1.0], [1.0]]), np.ones((2, 1, 1)), np.zeros(1), np.full(1, 0.05))
+TWO = hmm.Hmm(np.array([0.6, 0.4]), np.array([[0.7, 0.3], [0.2, 0.8]]), np.array([[-1.0], [1.0]]), np.ones((2, 1, 1)), np.zeros(1), np.full(1, 0.5))
 
 
-@query("hmm_filter", f"""WITH RECURSIVE {RET}, x AS (SELECT symbol, row_number() OVER (PARTITION BY symbol ORDER BY idx) AS t, idx, log_return / 0.05::DOUBLE AS z FROM ret WHERE log_return IS NOT NULL),
+@query("hmm_filter", f"""WITH RECURSIVE {RET}, x AS (SELECT symbol, row_number() OVER (PARTITION BY symbol ORDER BY idx) AS t, idx, log_return / 0.5::DOUBLE AS z FROM ret WHERE log_return IS NOT NULL),
   f(symbol, t, idx, p) AS (SELECT symbol, t, idx, 0.6::DOUBLE * exp(-0.5::DOUBLE * (z + 1) ** 2) / (0.6::DOUBLE * exp(-0.5::DOUBLE * (z + 1) ** 2) + 0.4::DOUBLE * exp(-0.5::DOUBLE * (z - 1) ** 2)) FROM x WHERE t = 1
    UNION ALL SELECT x.symbol, x.t, x.idx, (0.7::DOUBLE * p + 0.2::DOUBLE * (1 - p)) * exp(-0.5::DOUBLE * (z + 1) ** 2) / ((0.7::DOUBLE * p + 0.2::DOUBLE * (1 - p)) * exp(-0.5::DOUBLE * (z + 1) ** 2) + (0.3::DOUBLE * p + 0.8::DOUBLE * (1 - p)) * exp(-0.5::DOUBLE * (z - 1) ** 2))
    FROM f JOIN x ON x.symbol = f.symbol AND x.t = f.t + 1)
@@ -644,7 +644,7 @@ def contamination(spark, d):
     return resample.contaminate(base, base.count(), 0.05, 5.0, 9)
 
 
-BASKET = f"bk AS (SELECT idx, session_date, max(available_at) AS available_at, avg(exp(x) - 1) ** 2 AS q FROM (SELECT idx, session_date, available_at, unnest([n, a_, r_]) AS x FROM panel) GROUP BY idx, session_date)"
+BASKET = f"bk AS (SELECT idx, session_date, max(available_at) AS available_at, CASE WHEN count(x) = 3 THEN avg(exp(x) - 1) ** 2 END AS q FROM (SELECT idx, session_date, available_at, unnest([n, a_, r_]) AS x FROM panel) GROUP BY idx, session_date)"
 
 
 def basket_rows(spark, d):
