@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from massflow.operators.windows import before
+
 LAG_MINUTES = 1
 
 
@@ -51,29 +53,32 @@ def validate(prices: DataFrame, calendar: DataFrame) -> None:
             raise ValueError(f"{what}: {[(r['symbol'], str(r['session_date'])) for r in found]}")
 
 
+def _spine(prices: DataFrame, calendar: DataFrame) -> DataFrame:
+    """Rows of ``on_calendar`` with ``first_no``, the symbol's first session."""
+    known = calendar.select("session_date", "session_no")
+    span = prices.join(known, "session_date").groupBy("symbol").agg(F.min("session_no").alias("first_no"), F.max("session_no").alias("last_no"))
+    spine = span.select("symbol", "first_no", F.explode(F.sequence("first_no", "last_no")).alias("session_no")).join(calendar, "session_no")
+    spine = spine.select("symbol", "session_date", "close_utc", "session_no", "first_no")
+    return spine.join(prices.select("symbol", "session_date", "price"), ["symbol", "session_date"], "left")
+
+
 def on_calendar(prices: DataFrame, calendar: DataFrame) -> DataFrame:
     """Every session between a symbol's first and last date; absent prices null.
 
     ``calendar`` has session_date, close_utc and session_no (a dense number), so
     a session's neighbour is known without ordering the symbol's whole history."""
-    known = calendar.select("session_date", "session_no")
-    span = prices.join(known, "session_date").groupBy("symbol").agg(F.min("session_no").alias("lo"), F.max("session_no").alias("hi"))
-    spine = span.select("symbol", F.explode(F.sequence("lo", "hi")).alias("session_no")).join(calendar, "session_no")
-    spine = spine.select("symbol", "session_date", "close_utc", "session_no")
-    return spine.join(prices.select("symbol", "session_date", "price"), ["symbol", "session_date"], "left")
+    return _spine(prices, calendar).drop("first_no")
 
 
 def log_returns(prices: DataFrame, calendar: DataFrame) -> DataFrame:
     """symbol, idx, session_date, log_return, available_at, price_start, price_end.
 
     The first session of a symbol has no return; idx counts from 0.  The
-    earlier price comes by an equi-join on the session number, so one symbol's
-    history is never sorted in one task."""
-    full = on_calendar(prices, calendar)
-    prior = full.select("symbol", (F.col("session_no") + 1).alias("session_no"), F.col("session_date").alias("price_start"), F.col("price").alias("before"))
-    first = full.groupBy("symbol").agg(F.min("session_no").alias("first_no"))
-    both = full.join(prior, ["symbol", "session_no"]).join(first, "symbol")
-    return both.select(
+    earlier price comes from the row of the session number before, in blocks of
+    sessions, so one symbol's history is never sorted in one task and the prices
+    are not read again for it."""
+    full = before(_spine(prices, calendar), ["symbol"], {"price_start": "session_date", "before": "price"}, "session_no")
+    return full.filter("session_no > first_no").select(
         "symbol", (F.col("session_no") - F.col("first_no") - 1).cast("long").alias("idx"), "session_date",
         (F.ln("price") - F.ln("before")).alias("log_return"),
         (F.col("close_utc") + F.expr(f"INTERVAL {LAG_MINUTES} MINUTE")).alias("available_at"),

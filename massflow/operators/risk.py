@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from massflow.operators.windows import halo, running
+from massflow.session import cut
 
 FLOOR = 1e-12
 
@@ -26,6 +27,7 @@ def volatility_states(rows: DataFrame, window: int, training_end: int) -> DataFr
     (a value at a boundary goes up); -1 before a full window."""
     w = Window.partitionBy("series", "_block").orderBy("idx").rangeBetween(-(window - 1), 0)
     made = halo(rows, window - 1).withColumn("_m", F.when(F.count("q").over(w) == window, F.avg("q").over(w))).filter("_own").drop("_own", "_block")
+    made = made.persist()  # numbers only; read for the cuts and for the states
     cut = made.filter(F.col("idx") <= training_end).groupBy("series").agg(F.percentile("_m", F.array(F.lit(1 / 3), F.lit(2 / 3))).alias("_b"))
     state = F.when(F.col("_m").isNull(), -1).otherwise((F.col("_m") >= F.col("_b")[0]).cast("int") + (F.col("_m") >= F.col("_b")[1]).cast("int"))
     return made.join(cut, "series").withColumn("vol_state", state).drop("_m", "_b")
@@ -77,7 +79,7 @@ def forecasts(rows: DataFrame, states: Sequence[str], k: int, window: int, horiz
     ``horizon`` rows ago; it enters the running sum of that origin's state, and
     the current state's sum is taken.  Running sums are blocked.  A null q is no
     observation: it enters no mean and has no ewma."""
-    rows = rows.persist()  # numbers only; each is read by several branches below
+    rows = cut(rows)  # numbers only; read by several branches below, whose plans would nest
     back = max(window - 1, horizon)
     w = Window.partitionBy("series", "_block").orderBy("idx")
     last = lambda n: w.rangeBetween(-(n - 1), 0)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 #: Arrow batches hold windows of many doubles, so they are bounded by bytes.
 SETTINGS = {
@@ -29,3 +31,12 @@ def build(name: str = "massflow", master: str | None = None, shuffle_partitions:
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return b.getOrCreate()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` computed once into the session's ``spark.checkpoint.dir`` (a new
+    local folder where it is unset, as in tests): later plans start from there."""
+    sc = df.sparkSession.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="massflow-"))
+    return df.checkpoint()
