@@ -5,10 +5,18 @@ is normalised (lower case, runs of other than a-z and 0-9 become one blank) and
 its set of word bigrams is compared with every template whose size allows the
 threshold: Dice >= t needs |A| between t / (2 - t) |B| and (2 - t) / t |B|.
 
+A licence that no segment shows may share its line with other words or span
+paragraphs, so windows of the whole text's words are compared with its templates.
+A window starts and ends with a run of the template's bigrams (growing over a run
+never lowers Dice) and has at most (2 / t - 2) |B| other bigrams in it (more cannot
+reach t).  A window below the template's size counts with |A| = |B|, as if the
+words around it were inside: else "Apache License, Version 1.1" in a sentence would
+be cut to the words it shares with version 2.0.
+
 Segments are only made of texts with one of the anchor words.  The anchors are
 derived so that more than 1 - t / (2 - t) of each template's bigrams hold one,
 and a segment at the threshold shares t / (2 - t) of them at least, so a segment
-without an anchor cannot match: the test prunes, it loses nothing.
+(or window) without an anchor cannot match: the test prunes, it loses nothing.
 
 All of it is arithmetic within a row: no join, no shuffle, no expansion to rows;
 templates are constants of the code.  Null, empty and unmatched texts give 0
@@ -91,24 +99,43 @@ def anchors(templates: dict[str, tuple[str, ...]], threshold: float) -> list[str
 
 
 def scan(docs: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, n_matches (segment and licence pairs at the threshold), licenses
-    (names, sorted, comma-joined), best_license and best_dice (ties: first by
+    """doc_id, n_matches (segment and licence pairs at the threshold, and one for
+    each licence that only windows show), licenses (names, sorted, comma-joined), best_license and best_dice (ties: first by
     name) of every row."""
     rows = [(name, bigrams(t)) for name, ts in templates.items() for t in ts]
     lits: list[Column] = [F.struct(F.lit(n).alias("name"), F.array(*map(F.lit, g)).alias("g")) for n, g in rows]
+    every = F.array(*map(F.lit, dict.fromkeys(x for _, g in rows for x in g)))
     share = threshold / (2 - threshold)
-    made = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t"), F.array(*lits).alias("templates"))
+    made = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t"), F.array(*lits).alias("templates"), every.alias("every"))
     segments = r"array_distinct(concat(split(t, '\n'), split(t, '\\n[ \\t\\r]*\\n'), array(t)))"
     rx = anchor_regex(templates, threshold)
-    grams = r"""transform(filter({0}, s -> lower(s) RLIKE '{1}'), s ->
-        transform(array(split(trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ')), ' ')), w ->
-            IF(size(w) < 2, cast(array() AS array<string>), array_distinct(transform(sequence(0, size(w) - 2), i -> concat(w[i], ' ', w[i + 1])))))[0])"""
-    grams = grams.format(segments, rx.replace("\\", "\\\\"))
-    found = f"""flatten(transform({grams}, a -> filter(
+    words = "array(split(trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ')), ' '))"
+    pairs = "transform(sequence(0, size(w) - 2), i -> concat(w[i], ' ', w[i + 1]))"
+    grams = """transform(filter({0}, s -> lower(s) RLIKE '{1}'), s ->
+        transform({2}, w -> IF(size(w) < 2, cast(array() AS array<string>), array_distinct({3})))[0])"""
+    grams = grams.format(segments, rx.replace("\\", "\\\\"), words.format("s"), pairs)
+    none = "cast(array() AS array<struct<dice: double, name: string>>)"
+    found = f"""flatten(transform(grams, a -> filter(
         transform(filter(templates, b -> size(a) >= {share}D * size(b.g) AND size(a) <= size(b.g) / {share}D),
             b -> struct(2D * size(array_intersect(a, b.g)) / (size(a) + size(b.g)) AS dice, b.name AS name)),
         x -> x.dice >= {threshold}D)))"""
-    made = made.withColumn("m", F.expr(f"IF(lower(t) RLIKE '{rx.replace(chr(92), chr(92) * 2)}', {found}, cast(array() AS array<struct<dice: double, name: string>>))"))
+    # the last segment is the whole text; a window shares threshold * |B| bigrams at least
+    hidden = f"""transform(array(array_intersect(element_at(grams, -1), every)), known ->
+        filter(templates, b -> size(array_intersect(known, b.g)) / size(b.g) >= {threshold}D AND NOT exists(found, x -> x.name = b.name)))[0]"""
+    # p: places of the template's bigrams; q: other bigrams before each; f, l: first and last of each run, as indices of p
+    slack = 2 / threshold - 2
+    window = f"""transform(array(filter(sequence(0, size(s) - 1), i -> array_contains(b.g, s[i]))), p -> transform(array(transform(p, (i, k) -> i - k)), q ->
+        transform(array(struct(filter(sequence(0, size(p) - 1), k -> k = 0 OR q[k - 1] < q[k]) AS f, filter(sequence(0, size(p) - 1), k -> k = size(p) - 1 OR q[k + 1] > q[k]) AS l)), r ->
+            array_max(flatten(transform(r.f, (a, j) -> transform(
+                filter(slice(r.l, j + 1, int({slack}D * size(b.g)) + 1), e -> q[e] - q[a] <= {slack}D * size(b.g) AND (e - a + 1) / size(b.g) >= {threshold}D),
+                e -> transform(array(slice(s, p[a] + 1, p[e] - p[a] + 1)), x ->
+                    2D * size(array_intersect(x, b.g)) / (greatest(size(array_distinct(x)), size(b.g)) + size(b.g)))[0])))))[0])[0])[0]"""
+    inside = f"""transform(array(filter(transform(hidden, b -> struct({window} AS dice, b.name AS name)), x -> x.dice >= {threshold}D)), m ->
+        transform(array_distinct(transform(m, x -> x.name)), n -> struct(array_max(transform(filter(m, x -> x.name = n), x -> x.dice)) AS dice, n AS name)))[0]"""
+    inside = f"IF(size(hidden) = 0, {none}, transform(transform({words.format('t')}, w -> {pairs}), s -> {inside})[0])"
+    found = f"transform(array({found}), found -> concat(found, transform(array({hidden}), hidden -> {inside})[0]))[0]"
+    found = f"transform(array({grams}), grams -> {found})[0]"
+    made = made.withColumn("m", F.expr(f"IF(lower(t) RLIKE '{rx.replace(chr(92), chr(92) * 2)}', {found}, {none})"))
     best = F.expr("array_min(transform(m, x -> struct(-x.dice AS d, x.name AS name)))")
     made = made.select("doc_id", "m", best.alias("best"))
     return made.select(

@@ -144,6 +144,26 @@ def test_licenses(spark, docs, empty):
         assert sum(bool(words & set(g.split(" "))) for g in grams) > len(grams) * (1 - share)
 
 
+def test_licenses_inside_lines_and_over_paragraphs(spark):
+    mit, prose = licenses.TEMPLATES["MIT"][2], " ".join(f"river{i}" for i in range(130))
+    cut = [mit.index("The above copyright"), mit.index("THE SOFTWARE IS")]
+    mit3 = "\n\n".join((mit[: cut[0]], mit[cut[0] : cut[1]], mit[cut[1] :]))
+    cases = {
+        f"{prose}\n\n{mit3}\n\n{prose}": ("MIT", 1, 1.0),
+        f"{prose} {mit.replace('copies', 'copy')} {prose}": ("MIT", 1, 0.9),
+        "Copyright (c) 2021 Jane Doe. All rights reserved.": ("All-Rights-Reserved", 1, 1.0),
+        "Licensed under the MIT License. See LICENSE in the project root.": ("MIT", 1, 1.0),
+        f"{prose} It is licensed under CC BY 4.0. {prose} Licensed under the BSD 3-Clause License, too.": ("BSD-3-Clause,CC-BY-4.0", 2, 1.0),
+        f"{prose} Licensed under the Apache License, Version 1.1, as {prose}": ("", 0, 0.0),
+        f"{prose} Licensed under the GNU General Public License, version 2, as {prose}": ("", 0, 0.0),
+        f"all {prose} rights {prose} reserved": ("", 0, 0.0),
+        "All rights reserved.\nAll rights reserved by me and others": ("All-Rights-Reserved", 1, 1.0),
+    }
+    got = {r["doc_id"]: r for r in rows(licenses.scan(spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")))}
+    for i, (names, n, dice) in enumerate(cases.values()):
+        assert (got[i]["licenses"], got[i]["n_matches"]) == (names, n) and dice <= got[i]["best_dice"] <= (dice if dice in (0, 1) else 1)
+
+
 def brute_fingerprint(text):
     words = (text or "").encode().lower().split()
     sh = [b" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []
