@@ -4,7 +4,10 @@ Quality rules reject documents by adaptive thresholds; language identification
 rejects documents of no determinable language; SimHash near-dedup keeps one
 document of each group; mixing puts the rest in the order of the target mix;
 SentencePiece encoding segments each text and proves that decoding is lossless.
-Every stage but the last returns the columns of ``documents``.
+Every stage but the last returns the columns of ``documents``.  Readers of several
+files do not keep the order of rows, so the last stage gives each row the position
+in the mix as a column; it is a function of the rows, the same in both stages but
+for rows of equal source and id.
 """
 
 from __future__ import annotations
@@ -12,6 +15,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from massflow.llm import language, mixing, pieces, quality_rules, simhash
 from massflow.llm.common import fresh_path
@@ -34,7 +38,9 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pieces.round_trip(docs)
+    coded = pieces.round_trip(docs, keep=("source",))
+    made = mixing.mix(coded, mixing.WEIGHTS, mixing.OTHER, like=docs)
+    return made.select(*coded.columns, F.col(f"{made.columns[-1]}.position").alias("mix_position"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -75,24 +75,28 @@ def round_plans(counts: DataFrame, weights: list[int], block_rows: int) -> DataF
     )
 
 
-def mix(docs: DataFrame, weights: dict[str, int], other: int = 1, block_rows: int = BLOCK_ROWS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, int], other: int = 1, block_rows: int = BLOCK_ROWS, bucket_rows: int = BUCKET_ROWS, like: DataFrame | None = None) -> DataFrame:
     """``docs`` with a struct column (its name: the last one) of block, slot,
-    release, deadline and position; position orders the mixed corpus."""
+    release, deadline and position; position orders the mixed corpus.
+
+    ``like`` is counted in place of ``docs``: a table of the same doc_id and
+    source rows that is cheaper to read."""
     if any(w < 1 for w in (*weights.values(), other)) or block_rows < 1:
         raise ValueError("weights and block_rows must be positive integers")
     names, per = list(weights), [*weights.values(), other]
     tmp = free_name(docs, "mix_row")
     out = free_name(docs, "mix")
-    counts = docs.groupBy(stream_of(F.col("source"), names).alias("stream")).agg(F.count("*").alias("n"))
+    like = docs if like is None else like
+    counts = like.groupBy(stream_of(F.col("source"), names).alias("stream")).agg(F.count("*").alias("n"))
     plans = round_plans(counts, per, block_rows)
-    buckets = max(1, -(-docs.count() // bucket_rows))
+    buckets = max(1, -(-like.count() // bucket_rows))
 
     def keyed(df: DataFrame) -> DataFrame:
         h = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
         b = F.floor(F.conv(F.substring(h, 1, 8), 16, 10).cast("long") * buckets / 4294967296).cast("long")
         return df.withColumn(tmp, F.struct(stream_of(F.col("source"), names).alias("stream"), b.alias("bucket"), h.alias("h")))
 
-    sizes = keyed(docs.select("doc_id", "source")).groupBy(F.col(f"{tmp}.stream").alias("stream"), F.col(f"{tmp}.bucket").alias("bucket")).agg(F.count("*").alias("n"))
+    sizes = keyed(like.select("doc_id", "source")).groupBy(F.col(f"{tmp}.stream").alias("stream"), F.col(f"{tmp}.bucket").alias("bucket")).agg(F.count("*").alias("n"))
     before = sizes.selectExpr("stream AS at_stream", "bucket AS at_bucket", "sum(n) OVER (PARTITION BY stream ORDER BY bucket) - n AS before")
     rows = keyed(docs)
     rank = F.expr(f"row_number() OVER (PARTITION BY {tmp}.stream, {tmp}.bucket ORDER BY {tmp}.h, doc_id)").cast("long") - 1

@@ -336,15 +336,16 @@ def decode(coded: DataFrame, keep: list[str], model: str | None = None) -> DataF
     return map_arrow(src, run, schema)
 
 
-def round_trip(docs: DataFrame, model: str | None = None) -> DataFrame:
+def round_trip(docs: DataFrame, model: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_bytes, n_pieces, ids_hash (XXH64 of the ids), decoded_sha256
-    and lossless (decoding gave the text back) of every row."""
-    src = docs.select("doc_id", "text", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("own"))
-    coded = encode(src, ["doc_id", "n_bytes", "own"], model)
-    coded = coded.select("doc_id", "n_bytes", "own", "ids", F.size(F.coalesce("ids", F.array().cast("array<int>"))).cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"))
-    back = decode(coded, ["doc_id", "n_bytes", "own", "n_pieces", "ids_hash"], model)
+    and lossless (decoding gave the text back) of every row, after the columns
+    ``keep``, which have none of these names."""
+    src = docs.select(*keep, "doc_id", "text", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("own"))
+    coded = encode(src, [*keep, "doc_id", "n_bytes", "own"], model)
+    coded = coded.select(*keep, "doc_id", "n_bytes", "own", "ids", F.size(F.coalesce("ids", F.array().cast("array<int>"))).cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"))
+    back = decode(coded, [*keep, "doc_id", "n_bytes", "own", "n_pieces", "ids_hash"], model)
     sha = F.sha2("text", 256)
-    return back.select("doc_id", F.coalesce("n_bytes", F.lit(0)).alias("n_bytes"), "n_pieces", "ids_hash", sha.alias("decoded_sha256"), sha.eqNullSafe(F.col("own")).alias("lossless"))
+    return back.select(*keep, "doc_id", F.coalesce("n_bytes", F.lit(0)).alias("n_bytes"), "n_pieces", "ids_hash", sha.alias("decoded_sha256"), sha.eqNullSafe(F.col("own")).alias("lossless"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

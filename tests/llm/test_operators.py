@@ -425,3 +425,20 @@ def test_pipeline_edges(spark, docs, empty):
             now = stage(spark, now, SF)
             assert now.columns == source.columns
         assert all(r["lossless"] for r in corpus_pipeline.STAGES[-1][1](spark, now, SF).collect())
+
+
+def test_pipeline_rows_follow_the_mix(spark, tmp_path):
+    import corpus_pipeline
+
+    names = "CASE WHEN doc_id % 10 < 5 THEN 'src0' WHEN doc_id % 10 < 7 THEN 'src1' WHEN doc_id % 10 < 9 THEN 'pooled' END AS source"
+    spark.read.parquet("/root/testdata/sf0.01/documents.parquet").selectExpr("doc_id", "text", "lang", names, "n_chars").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(rows(corpus_pipeline.run(spark, str(tmp_path))), key=lambda r: r["mix_position"])
+    assert len({r["mix_position"] for r in got}) == len(got) > 500
+    weights = {"src0": mixing.WEIGHTS["src0"], "src1": mixing.WEIGHTS["src1"], "pooled": mixing.OTHER}
+    slots = collections.defaultdict(list)
+    for r in got:
+        slots[r["mix_position"] // mixing.BLOCK_ROWS].append(r["source"] if r["source"] in weights else "pooled")
+    assert sorted(slots) == list(range(len(slots))) and all(len(set(v)) == 1 for v in slots.values())
+    docs = spark.createDataFrame([(r["doc_id"], r["source"]) for r in got], "doc_id long, source string")
+    want = sorted((r["mix"]["position"], r["doc_id"]) for r in rows(mixing.mix(docs, mixing.WEIGHTS, mixing.OTHER)))
+    assert [(r["mix_position"], r["doc_id"]) for r in got] == want
