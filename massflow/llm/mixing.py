@@ -6,11 +6,12 @@ A source of integer weight a in a round of L slots owns a of them; its block k
 (from 0) of the round may not run before its release floor(k L / a) and must run
 before its deadline ceil((k + 1) L / a).  Earliest deadline first among released
 blocks meets every deadline, because a window holds its fluid share, so after
-any slot a source is less than one block from its target share.
+any slot of a round a source is less than one block from its share of that round.
 
 A round repeats, so one round is scheduled (a fold over its L slots) and every
 block finds its slot by arithmetic.  A source that runs out takes what it has in
-its last round; later rounds share slots among the sources left in proportion to
+its last round, spread over that round, where it may be many blocks behind its
+target share (README); later rounds share slots among the sources left in proportion to
 their weights.  There are at most 2 K + 1 different rounds for K streams, and K
 is the number of configured sources plus one: all other sources, and a null
 source, form one pooled stream.  The plan that is broadcast is bounded by that.
