@@ -2,23 +2,26 @@
 
 Documents of a source are put in a reproducible shuffled order (md5 of doc_id)
 and cut into blocks of ``block_rows``.  Time is a row of slots, one block each.
-A source of integer weight a in a round of L slots owns a of them; its block k
-(from 0) of the round may not run before its release floor(k L / a) and must run
-before its deadline ceil((k + 1) L / a).  Earliest deadline first among released
-blocks meets every deadline, because a window holds its fluid share, so after
-any slot of a round a source is less than one block from its share of that round.
-
-A round repeats, so one round is scheduled (a fold over its L slots) and every
-block finds its slot by arithmetic.  A source that runs out takes what it has in
-its last round, spread over that round, where it may be many blocks behind its
-target share (README); later rounds share slots among the sources left in proportion to
-their weights.  There are at most 2 K + 1 different rounds for K streams, and K
-is the number of configured sources plus one: all other sources, and a null
-source, form one pooled stream.  The plan that is broadcast is bounded by that.
-
-No row is dropped, repeated or sampled.  Repeated rows and equal ids stay
-(ties: doc_id, then any order of equal rows); an empty table gives no rows.
-A hot source is ranked in buckets of the hash range, so no task holds it whole.
+Of the sources that still have blocks, one of integer weight w has the share
+w / W of the slots, W being the sum of their weights.  Its block k (from 0) may not
+run before its release floor(k W / w) and must run before its deadline
+ceil((k + 1) W / w); earliest deadline first among released blocks meets every
+deadline and leaves no slot empty, because the shares sum to one.  So after any
+slot a source is less than one block from its share.
+
+A source leaves at the slot of its last block.  There a new phase begins: weights
+are taken anew over the sources left, and blocks, releases and deadlines count from
+that slot.  The bound holds in every phase, however many blocks a source has; of K
+streams there are at most K phases.  A phase repeats after W slots, so a fold over
+W slots schedules it, and every block finds its slot by arithmetic.  K is the number
+of configured sources plus one: all other sources, and a null source, form one
+pooled stream.  What is broadcast, and what the fold takes, is bounded by K and W.
+
+No row is dropped, repeated or sampled.  Repeated rows and equal ids stay (ties:
+doc_id, then the hash of the source's name; rows equal in both are alike); an empty
+table gives no rows; texts are not read, so their length does not matter; extra
+columns are kept, whatever their names.  A hot source is ranked in buckets of the
+hash range and bucket counts are summed in groups, so no task holds it whole.
 """
 
 from __future__ import annotations
@@ -34,6 +37,8 @@ OTHER = 17
 BLOCK_ROWS = 32
 #: Mean rows of a bucket in which documents are ranked.
 BUCKET_ROWS = 4_000
+#: Buckets whose counts are summed by one task.
+GROUP_BUCKETS = 1_000
 
 
 def stream_of(source: Column, names: list[str]) -> Column:
@@ -42,37 +47,45 @@ def stream_of(source: Column, names: list[str]) -> Column:
     return F.when(F.coalesce(at, F.lit(0)) > 0, at - 1).otherwise(F.lit(len(names))).cast("int")
 
 
-def round_plans(counts: DataFrame, weights: list[int], block_rows: int) -> DataFrame:
-    """``stream`` and ``plan``: for each kind of round its first and end round,
-    first slot, slots L, the stream's blocks c and their slots in the round.
-
-    ``counts`` (stream, n) has at most one row for each weight."""
-    k = len(weights)
-    per = F.array(*[F.lit(w).cast("long") for w in weights])
-    have = counts.agg(F.map_from_entries(F.collect_list(F.struct("stream", "n"))).alias("m"))
-    have = have.select(F.expr(f"transform(sequence(0, {k - 1}), s -> (coalesce(m[s], 0L) + {block_rows - 1}) div {block_rows})").alias("n"), per.alias("w"))
-    have = have.withColumn("full", F.expr("zip_with(n, w, (x, y) -> x div y)")).withColumn("part", F.expr("zip_with(n, w, (x, y) -> x % y)"))
-    have = have.withColumn("cuts", F.expr("array_sort(array_distinct(concat(array(0L), full, zip_with(full, part, (x, y) -> x + IF(y > 0, 1L, 0L)))))"))
-    kinds = have.select("*", F.posexplode(F.expr("slice(cuts, 1, size(cuts) - 1)")).alias("kind", "lo")).withColumn("hi", F.expr("cuts[kind + 1]"))
-    kinds = kinds.withColumn("c", F.expr(f"transform(sequence(0, {k - 1}), s -> CASE WHEN lo < full[s] THEN w[s] WHEN lo = full[s] THEN part[s] ELSE 0L END)"))
-    kinds = kinds.withColumn("len", F.expr("aggregate(c, 0L, (a, x) -> a + x)"))
-    kinds = kinds.filter("len > 0").select("kind", "lo", "hi", "c", "len")
-    # released and not done: (deadline, stream); the least goes into slot t
+def plans(spark: SparkSession, blocks: list[int], weights: list[int]) -> DataFrame:
+    """``plan_stream`` and ``plan``: of each phase its first slot (base), its period
+    W (len), the stream's weight (c), its blocks done before (lo) and after (hi), and
+    the slots of its blocks in a period.
+
+    ``blocks`` and ``weights`` have a number for each stream."""
+    last = len(weights) - 1
+    one = spark.range(1).select(F.array(*[F.lit(x).cast("long") for x in blocks]).alias("n"), F.array(*[F.lit(x).cast("long") for x in weights]).alias("w"))
+    # released and not done in this period: (deadline, stream); the least goes into slot t
     due = f"""array_min(transform(
-        filter(sequence(0, {k - 1}), s -> acc.done[s] < c[s] AND (acc.done[s] * len) div c[s] <= t),
-        s -> struct(((acc.done[s] + 1) * len + c[s] - 1) div c[s] AS due, s AS s))).s"""
-    fold = f"""aggregate(sequence(0L, len - 1),
+        filter(sequence(0, {last}), s -> e.done[s] < c[s] AND (e.done[s] * len) div greatest(c[s], 1L) <= t),
+        s -> struct(((e.done[s] + 1) * len + c[s] - 1) div c[s] AS due, s AS s))).s"""
+    period = f"""aggregate(sequence(0L, len - 1),
         struct(transform(c, x -> 0L) AS done, cast(array() AS array<int>) AS slots),
-        (acc, t) -> transform(array({due}), p -> struct(
-            transform(acc.done, (v, s) -> v + IF(s = p, 1L, 0L)) AS done, concat(acc.slots, array(p)) AS slots))[0],
-        acc -> acc.slots)"""
-    kinds = kinds.withColumn("slots", F.expr(fold))
-    whole = kinds.agg(F.array_sort(F.collect_list(F.struct("kind", "lo", "hi", "len", "c", "slots"))).alias("kinds"))
-    whole = whole.withColumn("bases", F.expr("transform(kinds, (x, i) -> aggregate(slice(kinds, 1, i), 0L, (a, y) -> a + (y.hi - y.lo) * y.len))"))
-    return whole.select(F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("stream"), "kinds", "bases").select(
-        "stream",
-        F.expr("""transform(kinds, (x, i) -> struct(x.lo AS lo, x.hi AS hi, bases[i] AS base, x.len AS len, x.c[stream] AS c,
-            filter(transform(x.slots, (s, t) -> IF(s = stream, t, -1)), t -> t >= 0) AS slots))""").alias("plan"),
+        (e, t) -> transform(array({due}), p -> struct(
+            transform(e.done, (v, s) -> v + IF(s = p, 1L, 0L)) AS done, concat(e.slots, array(p)) AS slots))[0],
+        e -> e.slots)"""
+    # the first slot after the last block of the stream that ends first
+    end = f"""array_min(transform(filter(sequence(0, {last}), s -> c[s] > 0), s -> ((acc.have[s] - 1) div c[s]) * len
+        + filter(transform(slots, (x, i) -> IF(x = s, cast(i AS bigint), -1L)), i -> i >= 0)[int((acc.have[s] - 1) % c[s])] + 1))"""
+    took = "transform(c, (x, s) -> (upto div len) * x + size(filter(slice(slots, 1, int(upto % len)), v -> v = s)))"
+    phase = f"""transform(array(zip_with(acc.have, w, (h, x) -> IF(h > 0, x, 0L))), c ->
+        transform(array(aggregate(c, 0L, (a, x) -> a + x)), len -> IF(len = 0, acc,
+            transform(array({period}), slots -> transform(array({end}), upto -> transform(array({took}), took -> struct(
+                zip_with(acc.have, took, (h, x) -> h - x) AS have,
+                zip_with(acc.done, took, (d, x) -> d + x) AS done,
+                acc.base + upto AS base,
+                concat(acc.phases, array(struct(acc.base AS base, len AS len, c AS c, acc.done AS lo, zip_with(acc.done, took, (d, x) -> d + x) AS hi, slots AS slots))) AS phases
+            ))[0])[0])[0]))[0])[0]"""
+    fold = f"""aggregate(sequence(0, {last}),
+        struct(n AS have, transform(n, x -> 0L) AS done, 0L AS base,
+            cast(array() AS array<struct<base: bigint, len: bigint, c: array<bigint>, lo: array<bigint>, hi: array<bigint>, slots: array<int>>>) AS phases),
+        (acc, step) -> {phase}, acc -> acc.phases)"""
+    made = one.select(F.expr(fold).alias("phases"), F.explode(F.sequence(F.lit(0), F.lit(last))).alias("plan_stream"))
+    return made.select(
+        "plan_stream",
+        F.expr("""transform(filter(phases, x -> x.hi[plan_stream] > x.lo[plan_stream]), x -> struct(
+            x.base AS base, x.len AS len, x.c[plan_stream] AS c, x.lo[plan_stream] AS lo, x.hi[plan_stream] AS hi,
+            filter(transform(x.slots, (s, t) -> IF(s = plan_stream, t, -1)), t -> t >= 0) AS slots))""").alias("plan"),
     )
 
 
@@ -88,9 +101,10 @@ def mix(docs: DataFrame, weights: dict[str, int], other: int = 1, block_rows: in
     tmp = free_name(docs, "mix_row")
     out = free_name(docs, "mix")
     like = docs if like is None else like
-    counts = like.groupBy(stream_of(F.col("source"), names).alias("stream")).agg(F.count("*").alias("n"))
-    plans = round_plans(counts, per, block_rows)
-    buckets = max(1, -(-like.count() // bucket_rows))
+    # a row for each stream
+    have = {r[0]: r[1] for r in like.groupBy(stream_of(F.col("source"), names)).count().collect()}
+    plan = plans(docs.sparkSession, [-(-have.get(s, 0) // block_rows) for s in range(len(per))], per)
+    buckets = max(1, -(-sum(have.values()) // bucket_rows))
 
     def keyed(df: DataFrame) -> DataFrame:
         h = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
@@ -98,23 +112,26 @@ def mix(docs: DataFrame, weights: dict[str, int], other: int = 1, block_rows: in
         return df.withColumn(tmp, F.struct(stream_of(F.col("source"), names).alias("stream"), b.alias("bucket"), h.alias("h")))
 
     sizes = keyed(like.select("doc_id", "source")).groupBy(F.col(f"{tmp}.stream").alias("stream"), F.col(f"{tmp}.bucket").alias("bucket")).agg(F.count("*").alias("n"))
-    before = sizes.selectExpr("stream AS at_stream", "bucket AS at_bucket", "sum(n) OVER (PARTITION BY stream ORDER BY bucket) - n AS before")
+    sizes = sizes.selectExpr("stream", "bucket", f"bucket div {GROUP_BUCKETS} AS part", "n")
+    heads = sizes.groupBy("stream", "part").agg(F.sum("n").alias("n"))
+    heads = heads.selectExpr("stream AS of_stream", "part AS of_part", "sum(n) OVER (PARTITION BY stream ORDER BY part) - n AS head")
+    inner = sizes.selectExpr("stream AS at_stream", "part", "bucket AS at_bucket", "sum(n) OVER (PARTITION BY stream, part ORDER BY bucket) - n AS inner_n")
+    before = inner.join(heads, (F.col("at_stream") == F.col("of_stream")) & (F.col("part") == F.col("of_part")))
+    before = before.select("at_stream", "at_bucket", (F.col("head") + F.col("inner_n")).alias("before"))
     rows = keyed(docs)
-    rank = F.expr(f"row_number() OVER (PARTITION BY {tmp}.stream, {tmp}.bucket ORDER BY {tmp}.h, doc_id)").cast("long") - 1
+    rank = F.expr(f"row_number() OVER (PARTITION BY {tmp}.stream, {tmp}.bucket ORDER BY {tmp}.h, doc_id, xxhash64(source))").cast("long") - 1
     rows = rows.withColumn(tmp, F.struct(f"{tmp}.stream", f"{tmp}.bucket", rank.alias("r")))
     rows = rows.join(before, (F.col(f"{tmp}.stream") == before["at_stream"]) & (F.col(f"{tmp}.bucket") == before["at_bucket"]))
-    rows = rows.join(F.broadcast(plans.withColumnRenamed("stream", "plan_stream")), F.col("at_stream") == F.col("plan_stream"))
-    w = F.element_at(F.array(*[F.lit(x).cast("long") for x in per]), F.col("at_stream") + 1)
+    rows = rows.join(F.broadcast(plan), F.col("at_stream") == F.col("plan_stream"))  # a row for each stream
     rank = F.col(f"{tmp}.r") + F.col("before")
-    rows = rows.withColumn(tmp, F.struct(rank.alias("rank"), F.floor(rank / block_rows).alias("block"), w.alias("w")))
-    spot = f"""transform(filter(transform(plan, p -> struct({tmp}.block div {tmp}.w AS r, {tmp}.block % {tmp}.w AS k, p AS p)), x -> x.r >= x.p.lo AND x.r < x.p.hi), x ->
-        struct(x.p.base + (x.r - x.p.lo) * x.p.len AS start, x.p.slots[int(x.k)] AS own, (x.k * x.p.len) div x.p.c AS rel, ((x.k + 1) * x.p.len + x.p.c - 1) div x.p.c AS due))[0]"""
-    rows = rows.withColumn("plan_stream", F.expr(spot))
+    rows = rows.withColumn(tmp, F.struct(rank.alias("rank"), F.floor(rank / block_rows).alias("block")))
+    spot = f"""transform(filter(plan, p -> p.lo <= {tmp}.block AND {tmp}.block < p.hi), p -> transform(array({tmp}.block - p.lo), k -> struct(
+        p.base + (k div p.c) * p.len + p.slots[int(k % p.c)] AS slot, p.base + (k * p.len) div p.c AS rel, p.base + ((k + 1) * p.len + p.c - 1) div p.c AS due))[0])[0]"""
     s = "plan_stream"
-    slot = F.col(f"{s}.start") + F.col(f"{s}.own")
+    rows = rows.withColumn(s, F.expr(spot))
     made = F.struct(
-        F.col(f"{tmp}.block").alias("block"), slot.alias("slot"), (F.col(f"{s}.start") + F.col(f"{s}.rel")).alias("release"),
-        (F.col(f"{s}.start") + F.col(f"{s}.due")).alias("deadline"), (slot * block_rows + F.col(f"{tmp}.rank") % block_rows).alias("position"),
+        F.col(f"{tmp}.block").alias("block"), F.col(f"{s}.slot").alias("slot"), F.col(f"{s}.rel").alias("release"), F.col(f"{s}.due").alias("deadline"),
+        (F.col(f"{s}.slot") * block_rows + F.col(f"{tmp}.rank") % block_rows).alias("position"),
     )
     return rows.select(*docs.columns, made.alias(out))
 
@@ -133,9 +150,12 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
+    """The schedule slot by slot: of the sources with blocks left, the released
+    block of least deadline by weights; a source's last block starts a phase."""
     names, per = list(WEIGHTS), [*WEIGHTS.values(), OTHER]
     k = len(per)
     rows = ", ".join(f"({i}, '{n}', {w})" for i, (n, w) in enumerate(zip([*names, ""], per, strict=True)))
+    share = "greatest(a[s + 1], 1)"
     return f"""
 WITH RECURSIVE streams(stream, name, w) AS (VALUES {rows}),
 docs AS (
@@ -143,28 +163,19 @@ docs AS (
     row_number() OVER (PARTITION BY coalesce(s.stream, {k - 1}) ORDER BY md5(coalesce(CAST(d.doc_id AS VARCHAR), '')), d.doc_id) - 1 AS rnk
   FROM documents d LEFT JOIN streams s ON d.source = s.name AND s.stream < {k - 1}),
 n AS (SELECT s.stream, s.w, (count(d.stream) + {BLOCK_ROWS - 1}) // {BLOCK_ROWS} AS n FROM streams s LEFT JOIN docs d ON d.stream = s.stream GROUP BY ALL),
-parts AS (SELECT stream, w, n // w AS f, n % w AS p FROM n),
-cuts AS (SELECT DISTINCT x FROM (SELECT 0 AS x UNION ALL SELECT f FROM parts UNION ALL SELECT f + CASE WHEN p > 0 THEN 1 ELSE 0 END FROM parts)),
-spans AS (SELECT x AS lo, lead(x) OVER (ORDER BY x) AS hi FROM cuts),
-kinds AS (
-  SELECT lo, hi, list(c ORDER BY stream) AS c, sum(c)::BIGINT AS len FROM (
-    SELECT lo, hi, stream, CASE WHEN lo < f THEN w WHEN lo = f THEN p ELSE 0 END AS c FROM spans, parts WHERE hi IS NOT NULL)
-  GROUP BY lo, hi HAVING sum(c) > 0),
-based AS (SELECT *, coalesce(sum((hi - lo) * len) OVER (ORDER BY lo ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS base FROM kinds),
-edf(lo, c, len, t, pick, k, done) AS (
-  SELECT lo, c, len, -1::BIGINT, -1::BIGINT, -1::BIGINT, [0::BIGINT FOR s IN range({k})] FROM kinds
+sim(t, start, w, have, done, k, pick, block, release, deadline) AS (
+  SELECT -1::BIGINT, 0::BIGINT, list(w::BIGINT ORDER BY stream), list(n::BIGINT ORDER BY stream), list(0::BIGINT ORDER BY stream), list(0::BIGINT ORDER BY stream), -1::BIGINT, -1::BIGINT, 0::BIGINT, 0::BIGINT FROM n
   UNION ALL
-  SELECT lo, c, len, t + 1, p, done[p + 1], [done[s + 1] + CASE WHEN s = p THEN 1 ELSE 0 END FOR s IN range({k})] FROM (
-    SELECT *, list_min([(((done[s + 1] + 1) * len + c[s + 1] - 1) // greatest(c[s + 1], 1)) * 1000 + s FOR s IN range({k})
-      IF done[s + 1] < c[s + 1] AND (done[s + 1] * len) // greatest(c[s + 1], 1) <= t + 1]) % 1000 AS p
-    FROM edf WHERE t + 1 < len)),
-blocks AS (SELECT d.doc_id, d.source, d.rnk, d.stream, d.rnk // {BLOCK_ROWS} AS block, s.w FROM docs d JOIN streams s USING (stream))
-SELECT b.doc_id, b.source, b.block, g.base + (b.block // b.w - g.lo) * g.len + e.t AS slot,
-  g.base + (b.block // b.w - g.lo) * g.len + ((b.block % b.w) * g.len) // g.c[b.stream + 1] AS release,
-  g.base + (b.block // b.w - g.lo) * g.len + ((b.block % b.w + 1) * g.len + g.c[b.stream + 1] - 1) // g.c[b.stream + 1] AS deadline,
-  (g.base + (b.block // b.w - g.lo) * g.len + e.t) * {BLOCK_ROWS} + b.rnk % {BLOCK_ROWS} AS position
-FROM blocks b JOIN based g ON b.block // b.w >= g.lo AND b.block // b.w < g.hi
-JOIN edf e ON e.lo = g.lo AND e.pick = b.stream AND e.k = b.block % b.w
+  SELECT t + 1, CASE WHEN have[p + 1] = 1 THEN t + 2 ELSE start END, w,
+    [have[s + 1] - CASE WHEN s = p THEN 1 ELSE 0 END FOR s IN range({k})],
+    [done[s + 1] + CASE WHEN s = p THEN 1 ELSE 0 END FOR s IN range({k})],
+    [CASE WHEN have[p + 1] = 1 THEN 0 ELSE k[s + 1] + CASE WHEN s = p THEN 1 ELSE 0 END END FOR s IN range({k})],
+    p, done[p + 1], start + (k[p + 1] * total) // a[p + 1], start + ((k[p + 1] + 1) * total + a[p + 1] - 1) // a[p + 1]
+  FROM (SELECT *, list_min([(((k[s + 1] + 1) * total + a[s + 1] - 1) // {share}) * 1000 + s FOR s IN range({k})
+          IF a[s + 1] > 0 AND (k[s + 1] * total) // {share} <= t + 1 - start]) % 1000 AS p
+        FROM (SELECT *, list_sum(a)::BIGINT AS total FROM (SELECT *, [CASE WHEN have[s + 1] > 0 THEN w[s + 1] ELSE 0 END FOR s IN range({k})] AS a FROM sim)) WHERE total > 0))
+SELECT d.doc_id, d.source, m.block, m.t AS slot, m.release, m.deadline, m.t * {BLOCK_ROWS} + d.rnk % {BLOCK_ROWS} AS position
+FROM docs d JOIN sim m ON m.pick = d.stream AND m.block = d.rnk // {BLOCK_ROWS}
 """
 
 

@@ -54,39 +54,65 @@ def test_oracle(spark, name):
     assert text(got) == text(want)
 
 
-def edf(weights, slots):
-    """Pfair by brute force for streams that never end."""
-    n, total, out = [0] * len(weights), sum(weights), []
-    for t in range(slots):
-        open_ = [(-(-(n[s] + 1) * total // w), s) for s, w in enumerate(weights) if n[s] * total // w <= t]
-        s = min(open_)[1]
-        n[s] += 1
-        out.append(s)
-        for k, w in enumerate(weights):
-            assert abs(n[k] - w * (t + 1) / total) < 1
+def edf(blocks, weights):
+    """Pfair by brute force, slot by slot: (source, block) of every slot.  Every
+    source is less than one block from its share after every slot of a phase."""
+    left, done, out = list(blocks), [0] * len(blocks), []
+    while any(left):
+        share = [w if n else 0 for w, n in zip(weights, left, strict=True)]
+        total, k, t, ended = sum(share), [0] * len(blocks), 0, False
+        while not ended:
+            open_ = [(-(-(k[s] + 1) * total // w), s) for s, w in enumerate(share) if w and k[s] * total // w <= t]
+            due, s = min(open_)
+            assert t < due
+            out.append((s, done[s], len(out) - t + k[s] * total // share[s], len(out) - t + due))
+            k[s], done[s], left[s], t, ended = k[s] + 1, done[s] + 1, left[s] - 1, t + 1, left[s] == 1
+            for j, w in enumerate(share):
+                assert abs(k[j] - w * t / total) < 1
     return out
 
 
-def test_mixing_is_pfair(spark):
-    df = spark.range(4000).selectExpr("id AS doc_id", "CASE WHEN id % 10 < 5 THEN 'a' WHEN id % 10 < 8 THEN 'b' WHEN id % 10 < 9 THEN 'c' END AS source")
-    got = rows(mixing.mix(df, {"a": 5, "b": 3}, 2, block_rows=10))
-    assert len({r["doc_id"] for r in got}) == 4000
-    assert len({r["mix"]["position"] for r in got}) == 4000
+def mixed(spark, rows_of, weights, other, block_rows):
+    """(source, block, release, deadline) by slot, and the rows, of a made-up table."""
+    names = [*weights, None]
+    data = [(s * 100_000 + i, names[s]) for s, n in enumerate(rows_of) for i in range(n)]
+    got = rows(mixing.mix(spark.createDataFrame(data, "doc_id long, source string").repartition(3), weights, other, block_rows, bucket_rows=50))
+    assert len({r["doc_id"] for r in got}) == len({r["mix"]["position"] for r in got}) == len(data)
+    assert all(r["mix"]["position"] // block_rows == r["mix"]["slot"] for r in got)
     by_slot = collections.defaultdict(set)
     for r in got:
         m = r["mix"]
-        assert m["release"] <= m["slot"] < m["deadline"]
-        by_slot[m["slot"]].add({"a": 0, "b": 1}.get(r["source"], 2))
-    assert sorted(by_slot) == list(range(400)) and all(len(v) == 1 for v in by_slot.values())
-    assert [next(iter(by_slot[t])) for t in range(400)] == edf([5, 3, 2], 400)
-
-
-def test_mixing_of_sources_that_run_out(spark):
-    df = spark.range(1000).selectExpr("id AS doc_id", "CASE WHEN id < 30 THEN 'a' WHEN id < 37 THEN 'b' END AS source")
-    got = rows(mixing.mix(df, {"a": 5, "b": 3}, 2, block_rows=2))
-    slots = {(r["mix"]["slot"], r["source"]) for r in got}
-    assert len({r["mix"]["position"] for r in got}) == 1000 and {s for s, _ in slots} == set(range(len(slots)))
-    assert all(r["mix"]["release"] <= r["mix"]["slot"] < r["mix"]["deadline"] for r in got)
+        by_slot[m["slot"]].add((names.index(r["source"]), m["block"], m["release"], m["deadline"]))
+    assert all(len(v) == 1 for v in by_slot.values()) and sorted(by_slot) == list(range(len(by_slot)))
+    return [next(iter(by_slot[t])) for t in range(len(by_slot))]
+
+
+@pytest.mark.parametrize(
+    ("rows_of", "weights", "other", "block_rows"),
+    [
+        ((2000, 1200, 800), {"a": 5, "b": 3}, 2, 10),  # rows in proportion to the weights
+        ((30, 7, 963), {"a": 5, "b": 3}, 2, 2),  # and in none
+        ((500,) * 8, {"a": 50, **{f"s{i}": 7 for i in range(6)}}, 17, 32),
+        ((3000, *(170,) * 7), {"a": 50, **{f"s{i}": 7 for i in range(6)}}, 17, 32),
+        ((40, 0, 0, 3), {"a": 1, "b": 9, "c": 4}, 6, 1),
+        ((0, 0, 5), {"a": 5, "b": 3}, 2, 10),
+    ],
+)
+def test_mixing_follows_the_weights(spark, rows_of, weights, other, block_rows):
+    blocks = [-(-n // block_rows) for n in rows_of]
+    assert mixed(spark, rows_of, weights, other, block_rows) == edf(blocks, [*weights.values(), other])
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_mixing_of_the_tables_is_within_a_block_of_the_weights(spark, sf):
+    got = rows(QUERIES["op1_source_mixing"](spark, f"/root/testdata/{sf}"))
+    names, per = list(mixing.WEIGHTS), [*mixing.WEIGHTS.values(), mixing.OTHER]
+    of = {n: i for i, n in enumerate(names)}
+    have = collections.Counter(of.get(r["source"], len(names)) for r in got)
+    want = edf([-(-have[s] // mixing.BLOCK_ROWS) for s in range(len(per))], per)
+    assert {(r["slot"], of.get(r["source"], len(names)), r["block"], r["release"], r["deadline"]) for r in got} == {(t, *x) for t, x in enumerate(want)}
+    first = [s for s, *_ in want[:40]]
+    assert first.count(0) >= min(10, have[0] // mixing.BLOCK_ROWS)  # its share of 40 slots, 50 of 183, is 10.9
 
 
 def test_mixing_edges(docs, empty):
