@@ -6,38 +6,44 @@ logistic classifier over hashed byte trigrams predicts each bit, and decoding
 picks the codeword of least loss, where each bit's logistic loss is weighted by
 its classifier's accuracy on rows kept from its training.
 
-Training rows are a bounded sample: at most ``PER_LANGUAGE`` labelled rows of a
-language, by hash of doc_id, of those outside the held-out fifth.  Whole texts
-become fixed-size vectors on the executors, so the driver gets at most
-PER_LANGUAGE x languages x DIM numbers.  Prediction covers every whole text.
+Every language that a label names is learned.  Training rows are a bounded sample:
+of each language those of least hash of doc_id outside the held-out fifth,
+``PER_LANGUAGE`` of them, or fewer where there are so many languages that they come
+to more than ``TRAIN_ROWS`` (but one at least).  Two scans find them: counts of hash levels give each
+language a hash bound, and the rows within the bound become fixed-size vectors on the
+executors.  The driver gets max(TRAIN_ROWS, languages) x DIM numbers at most.
+Prediction covers every whole text.
 
 Defined results: ``und`` with score 0 for null, empty and letterless texts and
-where no label could be learned; a null doc_id counts as held out; repeated rows
-get equal results; equal losses go to the first language by name; extra
-columns are ignored.  ``ambiguous`` marks a weighted loss margin below
-``AMBIGUOUS`` between the two nearest codewords.
+where no label could be learned; an empty table gives an empty result; a null
+doc_id counts as held out; repeated rows get equal results; of rows of equal
+doc_id and label that of least text hash is learned; equal losses go to the first
+language by name; a text of any length is one vector of DIM numbers, made in
+pieces; extra columns are ignored.  ``ambiguous`` marks a weighted loss margin
+below ``AMBIGUOUS`` between the two nearest codewords.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 from itertools import product
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from massflow.llm.common import bucket5, free_name, map_text, table
+from massflow.llm.common import bucket5, free_name, map_text, materialise, table
 
 DIM = 4096
+#: Most rows that are learned of a language, and of all.
 PER_LANGUAGE = 400
-#: Languages that are learned; of more, the first by name.
-MAX_LANGUAGES = 64
+TRAIN_ROWS = 25_600
 AMBIGUOUS = 0.5
 SEED = 17
+#: Trigrams that are hashed at once.
+SPAN = 1 << 20
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -56,11 +62,15 @@ def has_letter(text: bytes | None) -> bool:
 
 def vector(text: bytes | None) -> np.ndarray:
     """Square roots of the shares of hashed byte trigrams of a whole text."""
-    raw = _FOLD[np.frombuffer(b" " + (text or b"") + b" ", np.uint8)].astype(np.uint32)
-    if len(raw) < 3:
+    whole = _FOLD[np.frombuffer(b" " + (text or b"") + b" ", np.uint8)]
+    if len(whole) < 3:
         return np.zeros(DIM, np.float32)
-    code = (raw[:-2] * np.uint32(2654435761) + raw[1:-1] * np.uint32(2246822519) + raw[2:] * np.uint32(3266489917)) >> np.uint32(20)
-    return np.sqrt(np.bincount(code, minlength=DIM) / len(code)).astype(np.float32)
+    counts = np.zeros(DIM, np.int64)
+    for at in range(0, len(whole) - 2, SPAN):
+        raw = whole[at : at + SPAN + 2].astype(np.uint32)
+        code = (raw[:-2] * np.uint32(2654435761) + raw[1:-1] * np.uint32(2246822519) + raw[2:] * np.uint32(3266489917)) >> np.uint32(20)
+        counts += np.bincount(code, minlength=DIM)
+    return np.sqrt(counts / (len(whole) - 2)).astype(np.float32)
 
 
 def codewords(k: int) -> np.ndarray:
@@ -72,7 +82,7 @@ def codewords(k: int) -> np.ndarray:
         return bits.T.astype(float)
     width = max(15, int(np.ceil(10 * np.log2(k))))
     best, apart = None, -1
-    for seed in range(200):
+    for seed in range(min(200, max(4, 20_000 // k))):
         code = np.random.default_rng(SEED + seed).choice((-1.0, 1.0), (k, width))
         far = int(((width - code @ code.T) / 2 + width * np.eye(k)).min())
         if far > apart:
@@ -91,7 +101,9 @@ class Model:
     def decode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Index of the language, its probability, and the loss margin."""
         f = x @ self.coef + self.bias
-        loss = np.stack([(self.weight * np.logaddexp(0, -f * m)).sum(1) for m in self.code], 1)
+        near, far = self.weight * np.logaddexp(0, -f), self.weight * np.logaddexp(0, f)  # loss of a bit where a codeword has +1, or -1
+        up = (self.code > 0).T.astype(float)
+        loss = near @ up + far @ (1 - up)
         order = np.argsort(loss, axis=1, kind="stable")
         rows = np.arange(len(x))
         low = loss[rows, order[:, 0]]
@@ -126,15 +138,33 @@ def fit(x: np.ndarray, labels: list[str]) -> Model:
     return Model(languages, code, coef, bias, weight / weight.mean())
 
 
-def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
-    rows = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & (bucket5(F.col("doc_id")) != 0))
-    names = sorted(r[0] for r in rows.select("lang").distinct().orderBy("lang").limit(MAX_LANGUAGES).collect())
-    if not names:
-        return Model([], np.ones((0, 1)), np.zeros((DIM, 1)), np.zeros(1), np.ones(1))
-    each = [rows.filter(F.col("lang") == n).select("doc_id", "lang").orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_language) for n in names]
-    picked = reduce(DataFrame.unionByName, each).distinct().withColumnsRenamed({"doc_id": "pick_id", "lang": "pick_lang"})
-    # at most per_language rows of each of MAX_LANGUAGES languages
-    text = rows.join(F.broadcast(picked), (F.col("doc_id") == F.col("pick_id")) & (F.col("lang") == F.col("pick_lang"))).select("doc_id", "lang", "text")
+def level(h: Column) -> Column:
+    """The level of a hash among 64 x 16, finer toward 0: its bits and the four
+    after the first one."""
+    bits = F.length(F.bin(h))
+    top = F.when(bits > 5, F.expr("shiftrightunsigned(h, int(length(bin(h)) - 5))")).otherwise(h)
+    return F.when(h < 16, h).otherwise((bits - 1) * 16 + top.bitwiseAND(F.lit(15))).cast("int")
+
+
+def sample_bounds(rows: DataFrame, per_language: int = PER_LANGUAGE, train_rows: int = TRAIN_ROWS) -> DataFrame:
+    """(pick_lang, most, each): the level up to which a language's rows hold
+    ``each`` rows or all; ``rows`` has lang and h."""
+    counts = rows.groupBy("lang", level(F.col("h")).alias("level")).agg(F.count("*").alias("n"))
+    counts = materialise(counts, "levels")
+    known = counts.select("lang").distinct().count()
+    each = min(per_language, max(1, train_rows // max(1, known)))
+    upto = counts.selectExpr("lang", "level", "sum(n) OVER (PARTITION BY lang ORDER BY level) AS upto")
+    most = F.coalesce(F.min(F.when(F.col("upto") >= each, F.col("level"))), F.max("level"))
+    return materialise(upto.groupBy(F.col("lang").alias("pick_lang")).agg(most.alias("most")).withColumn("each", F.lit(each)), "bounds")
+
+
+def train(docs: DataFrame, per_language: int = PER_LANGUAGE, train_rows: int = TRAIN_ROWS) -> Model:
+    rows = docs.select("doc_id", "lang", "text").filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & (bucket5(F.col("doc_id")) != 0))
+    rows = rows.withColumn("h", F.expr("shiftrightunsigned(xxhash64(doc_id), 1)"))
+    bounds = sample_bounds(rows.select("lang", "h"), per_language, train_rows)
+    # a row for each language: Spark broadcasts the table while its file is below the threshold
+    near = rows.join(bounds, (F.col("lang") == F.col("pick_lang")) & (level(F.col("h")) <= F.col("most")))
+    near = near.select("doc_id", "lang", "h", "each", F.xxhash64("text").alias("th"), "text")
 
     def make():
         def fn(texts, _):
@@ -142,8 +172,11 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
 
         return fn
 
-    got = map_text(text, ["doc_id", "lang"], make, [T.StructField("ok", T.BooleanType()), T.StructField("x", T.BinaryType())])
-    got = got.filter("ok").dropDuplicates(["doc_id", "lang"]).select("doc_id", "lang", "x").collect()
+    got = map_text(near, ["doc_id", "lang", "h", "each", "th"], make, [T.StructField("ok", T.BooleanType()), T.StructField("x", T.BinaryType())])
+    got = got.filter("ok").groupBy("lang", "h", "doc_id").agg(F.min(F.struct("th", "x")).alias("s"), F.max("each").alias("each"))
+    # a level holds at most a sixteenth of the rows below twice its hash, so a window's group is small
+    got = got.withColumn("place", F.expr("row_number() OVER (PARTITION BY lang ORDER BY h, doc_id)")).filter("place <= each")
+    got = got.select("doc_id", "lang", "s.x").collect()  # max(train_rows, languages) rows at most
     got.sort(key=lambda r: (r[0], r[1]))
     if not got:
         return Model([], np.ones((0, 1)), np.zeros((DIM, 1)), np.zeros(1), np.ones(1))

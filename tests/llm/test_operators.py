@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import itertools
+import math
 import re
 import zlib
 
@@ -12,6 +13,7 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from massflow.llm import language, licenses, media, mixing, pieces, quality_model, quality_rules, simhash, token_counts, warc
 from massflow.llm.queries import QUERIES, SQL
@@ -338,6 +340,64 @@ def test_language(spark, docs, empty):
     assert kept.columns == docs.columns and kept.filter("doc_id IN (3, 4, 5, 9)").count() == 0
 
 
+def test_language_decoding_by_brute_force():
+    rng = np.random.default_rng(3)
+    for k in (2, 4, 7):
+        code = language.codewords(k)
+        bits = code.shape[1]
+        model = language.Model([str(i) for i in range(k)], code, rng.normal(size=(6, bits)), rng.normal(size=bits), rng.random(bits) + 0.1)
+        x = rng.normal(size=(40, 6))
+        best, score, margin = model.decode(x)
+        for i, row in enumerate(x):
+            loss = []
+            for word in code:
+                total = 0.0
+                for b in range(bits):
+                    f = sum(row[j] * model.coef[j, b] for j in range(6)) + model.bias[b]
+                    total += model.weight[b] * math.log1p(math.exp(-f * word[b]))
+                loss.append(total)
+            low, second = sorted(loss)[:2]
+            assert loss[best[i]] == pytest.approx(low) and margin[i] == pytest.approx(second - low)
+            assert score[i] == pytest.approx(math.exp(-low) / sum(math.exp(-v) for v in loss))
+
+
+def test_language_vectors_by_brute_force(monkeypatch):
+    for span in (language.SPAN, 7):
+        monkeypatch.setattr(language, "SPAN", span)
+        for text in (b"", b"a", b"Ab 9z\xc3\xa9 the end" * 5):
+            raw = b" " + bytes(c + 32 if 65 <= c <= 90 else c if c > 127 or chr(c).isalpha() else 32 for c in text) + b" "
+            want = np.zeros(language.DIM)
+            for i in range(len(raw) - 2):
+                want[((raw[i] * 2654435761 + raw[i + 1] * 2246822519 + raw[i + 2] * 3266489917) % 2**32) >> 20] += 1
+            assert np.allclose(language.vector(text), np.sqrt(want / max(1, len(raw) - 2)))
+
+
+def test_every_language_is_learned(spark):
+    """90 languages, one of them with most rows; fewer rows are learned of each."""
+    names = [f"l{i:02d}" for i in range(90)]
+    text = lambda i: f"{chr(97 + i % 26)}{chr(97 + i // 26)}{chr(97 + i * 7 % 26)} " * 12
+    data = [(i, text(i % 90), names[i % 90]) for i in range(90 * 8)] + [(i, text(0), names[0]) for i in range(1000, 3000)]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string").repartition(3)
+    model = language.train(df, 40, 90 * 5)
+    assert model.languages == names
+    truth = {r[0]: r[2] for r in data}
+    got = rows(language.identify(df, model, ["doc_id"]))
+    assert sum(r["lang_pred"] == truth[r["doc_id"]] for r in got) > 0.9 * len(got)
+
+
+def test_language_sample_is_by_least_hash(spark):
+    df = spark.range(5000).selectExpr("id AS doc_id", "IF(id % 3 = 0, 'a', IF(id % 50 = 1, 'b', 'c')) AS lang", "shiftrightunsigned(xxhash64(id), 1) AS h")
+    all_ = collections.defaultdict(list)
+    for r in rows(df):
+        all_[r["lang"]].append(r["h"])
+    for each in (1, 20, 400):
+        for b in rows(language.sample_bounds(df, each)):
+            level = {h: lv for h, lv in df.select("h", language.level(F.col("h"))).collect()}
+            inside = sorted(h for h in all_[b["pick_lang"]] if level[h] <= b["most"])
+            assert inside == sorted(all_[b["pick_lang"]])[: len(inside)] and len(inside) >= min(each, len(all_[b["pick_lang"]]))
+            assert len(inside) <= 1.3 * each + 8
+
+
 @pytest.mark.parametrize("k", [2, 3, 4, 5, 9, 30])
 def test_codewords_are_apart(k):
     code = language.codewords(k)
