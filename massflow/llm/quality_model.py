@@ -5,12 +5,16 @@ a node is a conjunctive rule; a lasso logistic model weighs the rules, and those
 with weight become one Spark column expression over the statistics.
 
 Training rows are a bounded sample: at most ``TRAIN_ROWS`` labelled rows by hash
-of doc_id, of those outside the held-out fifth, as ``len(STATS)`` numbers each.
+of doc_id, of those outside the held-out fifth, as ``len(STATS)`` numbers each.  A
+tree is grown on ``TREE_ROWS`` draws with replacement from them (as many as there
+are rows, if those are fewer).
 
 Defined results: null and empty texts have all statistics zero and get a score
-like any other; without usable labels every score is 0.5; a doc_id with
-several labels counts with the least; null labels are skipped; repeated rows get
-equal results; extra columns are ignored.
+like any other; an empty table gives an empty result; without usable labels every
+score is 0.5; a doc_id with several labels counts with the least; null labels are
+skipped; of rows of equal doc_id that of least text hash is learned; repeated rows
+get equal results; a long text is measured whole, with its words in memory once;
+extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,9 +29,12 @@ from pyspark.sql import types as T
 
 from massflow.llm.common import bucket5, map_text, table
 
-TRAIN_ROWS = 4000
+#: Labelled rows that are learned, and draws from them for each tree.
+TRAIN_ROWS, TREE_ROWS = 4000, 1200
 TREES, DEPTH, LEAST_LEAF, CUTS = 40, 3, 10, 24
 LASSO = 2e-3
+#: Most steps of the fit, which stops at the optimum.
+STEPS = 5_000
 CUTOFF = 0.3
 SEED = 29
 
@@ -100,8 +107,9 @@ def holds(rule: Rule, x: np.ndarray) -> np.ndarray:
     return ok
 
 
-def tree_rules(x: np.ndarray, y: np.ndarray, rng: np.random.Generator, depth: int) -> list[Rule]:
-    """All node paths of one tree by Gini gain on random statistics."""
+def tree_rules(x: np.ndarray, y: np.ndarray, rng: np.random.Generator, depth: int, tree_rows: int = TREE_ROWS) -> list[Rule]:
+    """All node paths of one tree, grown on ``tree_rows`` draws, by Gini gain on
+    random statistics."""
     found: list[Rule] = []
 
     def grow(rows: np.ndarray, path: Rule) -> None:
@@ -127,7 +135,7 @@ def tree_rules(x: np.ndarray, y: np.ndarray, rng: np.random.Generator, depth: in
             found.append(tuple(sorted(rule)))
             grow(rows[(x[rows, best[1]] <= best[2]) == below], rule)
 
-    grow(rng.choice(len(x), min(len(x), 1200), replace=True), ())
+    grow(rng.choice(len(x), min(len(x), tree_rows), replace=True), ())
     return found
 
 
@@ -142,16 +150,24 @@ def fit(x: np.ndarray, y: np.ndarray) -> RuleModel:
         return RuleModel([], [], base)
     r = np.stack([holds(k, x) for k in rules], 1).astype(np.float64)
     mean, sd = r.mean(0), np.maximum(r.std(0), 0.02)
-    z = (r - mean) / sd
-    w, ahead, b, t = np.zeros(len(rules)), np.zeros(len(rules)), base, 1.0
+    z = np.hstack([(r - mean) / sd, np.ones((len(x), 1))])  # the last weight is the bias, without penalty
+    pays = np.r_[np.full(len(rules), LASSO), 0.0]
+    w = np.r_[np.zeros(len(rules)), base]
+    ahead, t = w, 1.0
     step = 4 * len(z) / (np.linalg.norm(z, 2) ** 2)
-    for _ in range(500):  # proximal gradient with momentum
-        g = 1 / (1 + np.exp(-(z @ ahead + b))) - y
-        new = ahead - step * (z.T @ g) / len(y)
-        new = np.sign(new) * np.maximum(np.abs(new) - step * LASSO, 0)
-        b -= g.mean()
+    for _ in range(STEPS):  # proximal gradient with momentum, which ends where it leads uphill
+        slope = z.T @ (1 / (1 + np.exp(-(z @ ahead))) - y) / len(y)
+        off = np.where(ahead != 0, np.abs(slope + pays * np.sign(ahead)), np.maximum(np.abs(slope) - pays, 0))
+        if off.max() < LASSO / 100:
+            w = ahead
+            break
+        new = ahead - step * slope
+        new = np.sign(new) * np.maximum(np.abs(new) - step * pays, 0)
+        if (ahead - new) @ (new - w) > 0:
+            t = 1.0
         t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
         ahead, w, t = new + (t - 1) / t2 * (new - w), new, t2
+    w, b = w[:-1], float(w[-1])
     use = np.flatnonzero(np.abs(w) > 1e-6)
     return RuleModel([rules[i] for i in use], [float(w[i] / sd[i]) for i in use], float(b - (w * mean / sd).sum()))
 
@@ -173,8 +189,8 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> R
     known = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (bucket5(F.col("doc_id")) != 0))
     known = known.groupBy("doc_id").agg(F.min("quality").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
     picked = F.broadcast(known.withColumnRenamed("doc_id", "pick_id"))  # train_rows rows at most
-    text = docs.select("doc_id", "text").join(picked, F.col("doc_id") == F.col("pick_id")).select("doc_id", "y", "text")
-    got = measure(text, ["doc_id", "y"]).dropDuplicates(["doc_id"]).collect()
+    text = docs.select("doc_id", "text").join(picked, F.col("doc_id") == F.col("pick_id")).select("doc_id", "y", F.xxhash64("text").alias("th"), "text")
+    got = measure(text, ["doc_id", "y", "th"]).groupBy("doc_id", "y").agg(F.min(F.struct("th", *STATS)).alias("s")).select("doc_id", "y", "s.*").collect()
     got.sort(key=lambda r: r["doc_id"])
     x = np.array([[r[s] for s in STATS] for r in got]).reshape(-1, len(STATS))
     return fit(x, np.array([float(r["y"]) for r in got]))
