@@ -5,12 +5,14 @@ get adaptive bounds for each language and source: a ratio is put in a bucket of
 a sketch (exact below 64, then 32 buckets an octave, so 3 % wide), sketches are
 tables of (language, source, rule, bucket, count) that merge by adding, and a
 group's bounds are its quartiles widened by ``FENCE`` times their distance plus
-the rule's slack.  Groups under ``LEAST_ROWS`` rows use the merged sketch of
-their language, then the one of the whole table.
+the rule's slack.  A group's quartiles are weighed by its rows against ``PRIOR_ROWS``
+rows at the quartiles of its language, and those against as many of the whole
+table: small groups lean on larger ones, and no size is a special case.
 
 Defined results: null text counts as text without words (base_failed); null
 language or source is a group of its own; repeated rows get equal results;
-empty tables give empty results; extra columns are kept out of the way.
+empty tables give empty results; a long text is counted whole, in one row's
+arrays of its words and window hashes; extra columns are kept out of the way.
 Window hashes are XXH64 of eight words.
 """
 
@@ -19,13 +21,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from massflow.llm.common import NOT_SPACE, SPACE, fresh_path, free_name, materialise, table
+from massflow.llm.common import BROADCAST_ROWS, NOT_SPACE, SPACE, free_name, join_spread, materialise, table
 
 WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 FENCE = 6
-LEAST_ROWS = 50
+PRIOR_ROWS = 50
 #: Ratio (SQL over the counts), slack above its upper quartile, slack below its
 #: lower quartile or None where small values are no fault.
 RULES: dict[str, tuple[str, int, int | None]] = {
@@ -82,7 +84,7 @@ def sketches(measured: DataFrame) -> DataFrame:
 
 
 def thresholds(sketch: DataFrame) -> DataFrame:
-    """(lang, source, bounds): map of rule to struct(lo, hi).
+    """lang, source, own_rows (rows of the group) and each rule's bounds.
 
     A window here spans the buckets of one sketch, a bounded number."""
     def bounds(df: DataFrame, keys: list[str], name: str) -> DataFrame:
@@ -98,14 +100,21 @@ def thresholds(sketch: DataFrame) -> DataFrame:
     lang = bounds(sketch, ["lang"], "mid").withColumnRenamed("lang", "mid_lang")
     whole = bounds(sketch, [], "whole")
     joined = own.join(lang, own["lang"].eqNullSafe(lang["mid_lang"])).join(F.broadcast(whole))  # one row
-    used = F.when(F.col("own_rows") >= LEAST_ROWS, F.col("own")).when(F.col("mid_rows") >= LEAST_ROWS, F.col("mid")).otherwise(F.col("whole"))
+
+    def leaning(rows: str, q: str, far: str) -> str:
+        return f"(({rows} * {q} + {PRIOR_ROWS} * {far}) div ({rows} + {PRIOR_ROWS}))"
+
+    for k in RULES:
+        for end in ("lo", "hi"):
+            mid = leaning("mid_rows", f"mid['{k}'].{end}", f"whole['{k}'].{end}")
+            joined = joined.withColumn(f"{k}_{end}_q", F.expr(leaning("own_rows", f"own['{k}'].{end}", mid)))
     cuts = []
     for k, (_, above, below) in RULES.items():
-        q = F.element_at("q", F.lit(k))
-        far = FENCE * (q["hi"] - q["lo"])
-        low = (q["lo"] - far - below) if below is not None else F.lit(-1).cast("long")
-        cuts += [low.alias(f"{k}_lo"), (q["hi"] + far + above).alias(f"{k}_hi")]
-    return joined.select("lang", "source", used.alias("q")).select("lang", "source", *cuts)
+        lo, hi = F.col(f"{k}_lo_q"), F.col(f"{k}_hi_q")
+        far = FENCE * (hi - lo)
+        low = (lo - far - below) if below is not None else F.lit(-1).cast("long")
+        cuts += [low.alias(f"{k}_lo"), (hi + far + above).alias(f"{k}_hi")]
+    return joined.select("lang", "source", "own_rows", *cuts)
 
 
 def verdict(prefix: str = "") -> str:
@@ -122,13 +131,24 @@ def _over(ratio: str, prefix: str) -> str:
 BASE_FAILED = f"{{0}}n_words < {MIN_WORDS} OR 100 * {{0}}n_repeat_words > {MAX_REPEAT_PERCENT} * {{0}}n_words"
 
 
+def with_cuts(own: DataFrame, counts_of: DataFrame) -> DataFrame:
+    """``own`` with the bounds of its group; ``counts_of`` has lang, source and
+    counts.  The table of groups is counted: it is broadcast up to
+    ``BROADCAST_ROWS`` rows, and beyond that large groups are dealt to several tasks."""
+    key = free_name(own, "rule_group")
+    cuts = materialise(thresholds(sketches(counts_of)).selectExpr(f"struct(lang, source) AS {key}", "* EXCEPT (lang, source)"), "thresholds")
+    keyed = own.withColumn(key, F.struct("lang", "source"))
+    if cuts.count() <= BROADCAST_ROWS:
+        return keyed.join(F.broadcast(cuts.drop("own_rows")), key, "left").drop(key)
+    return join_spread(keyed, cuts, key, "own_rows", own.count(), "left").drop(key)
+
+
 def assess(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed and kept of every row."""
     own = docs.select("doc_id", "lang", "source", counts().alias("c")).select("doc_id", "lang", "source", "c.*")
     own = materialise(own.withColumn("base_failed", F.expr(BASE_FAILED.format(""))), "counts")
-    cuts = materialise(thresholds(sketches(own)).selectExpr("lang AS t_lang", "source AS t_source", "* EXCEPT (lang, source)"), "thresholds")
-    both = own.join(cuts, own["lang"].eqNullSafe(cuts["t_lang"]) & own["source"].eqNullSafe(cuts["t_source"]), "left")
+    both = with_cuts(own, own)
     return both.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.expr(verdict()).alias("kept"))
 
 
@@ -136,12 +156,8 @@ def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with its columns.  Counts are
     written once beside the rows and read back for the verdict."""
     c = free_name(docs, "rule_counts")
-    path = fresh_path(docs.sparkSession, "rules")
-    own = docs.withColumn(c, counts())
-    own.write.option("compression", "zstd").parquet(path)
-    own = docs.sparkSession.read.schema(own.schema).parquet(path)
-    cuts = materialise(thresholds(sketches(own.select("lang", "source", f"{c}.*"))).selectExpr("lang AS t_lang", "source AS t_source", "* EXCEPT (lang, source)"), "thresholds")
-    both = own.join(cuts, own["lang"].eqNullSafe(cuts["t_lang"]) & own["source"].eqNullSafe(cuts["t_source"]), "left")
+    own = materialise(docs.withColumn(c, counts()), "rules")
+    both = with_cuts(own, own.select("lang", "source", f"{c}.*"))
     good = verdict(f"{c}.").replace(f"{c}.base_failed", f"({BASE_FAILED.format(c + '.')})")
     return both.filter(good).select(*docs.columns)
 
@@ -190,11 +206,12 @@ sketch AS (SELECT lang, source, rule, {b('x')} AS bucket, count(*) AS n FROM ({e
 {level('mid', 'lang')},
 {level('whole', '')},
 slack(rule, above, below) AS (VALUES {slack}),
-used AS (
-  SELECT o.lang, o.source, rule,
-    CASE WHEN o.total >= {LEAST_ROWS} THEN o.lo WHEN m.total >= {LEAST_ROWS} THEN m.lo ELSE w.lo END AS lo,
-    CASE WHEN o.total >= {LEAST_ROWS} THEN o.hi WHEN m.total >= {LEAST_ROWS} THEN m.hi ELSE w.hi END AS hi
+leaning AS (
+  SELECT o.lang, o.source, rule, o.total, o.lo, o.hi,
+    (m.total * m.lo + {PRIOR_ROWS} * w.lo) // (m.total + {PRIOR_ROWS}) AS mid_lo, (m.total * m.hi + {PRIOR_ROWS} * w.hi) // (m.total + {PRIOR_ROWS}) AS mid_hi
   FROM own o JOIN mid m USING (rule) JOIN whole w USING (rule) WHERE o.lang IS NOT DISTINCT FROM m.lang),
+used AS (
+  SELECT lang, source, rule, (total * lo + {PRIOR_ROWS} * mid_lo) // (total + {PRIOR_ROWS}) AS lo, (total * hi + {PRIOR_ROWS} * mid_hi) // (total + {PRIOR_ROWS}) AS hi FROM leaning),
 cuts AS (SELECT lang, source, rule, CASE WHEN below IS NULL THEN -1 ELSE lo - {FENCE} * (hi - lo) - below END AS lo, hi + {FENCE} * (hi - lo) + above AS hi FROM used JOIN slack USING (rule)),
 m AS (SELECT lang AS t_lang, source AS t_source, {cols} FROM cuts GROUP BY lang, source),
 judged AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed FROM counts)
