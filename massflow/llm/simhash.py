@@ -18,7 +18,9 @@ never all pairs; forests are merged by hooking and contraction.
 Defined results: null text, empty text and text without words have fingerprint
 zero and link like any other; repeated rows get equal results; a null doc_id is
 ignored for component_id unless the whole component has none (then null);
-an empty table gives an empty result; extra columns are ignored.
+an empty table gives an empty result; a long text has its words in memory once and
+its bits are counted in pieces; extra columns are ignored.  Joins on fingerprints
+and components deal a key with many rows to several tasks.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from massflow.llm.common import free_name, map_arrow, map_text, materialise
+from massflow.llm.common import free_name, join_spread, map_arrow, map_text, materialise, remove, table, written
 
 RADIUS = 3
 SHINGLE_WORDS = 3
@@ -240,27 +242,30 @@ def connect(edges: DataFrame) -> DataFrame:
     """``v`` and ``root`` for every vertex of ``edges`` (a, b): equal roots for
     connected vertices.  Each round hooks a vertex to its neighbour of least
     hash, follows two more hooks, and keeps only edges between different trees;
-    random hashes keep hooks short, so rounds grow with the log of the size."""
-    edges = materialise(edges.select("a", "b").filter("a <> b").distinct(), "edges")
-    roots = None
+    random hashes keep hooks short, so rounds grow with the log of the size.
+    Tables of a round go when the next one has been written."""
+    spark = edges.sparkSession
+    edges, edges_at = written(edges.select("a", "b").filter("a <> b").distinct(), "edges")
+    roots = roots_at = None
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         hook = both.groupBy("a").agg(F.min(F.struct(F.xxhash64("b").alias("h"), F.col("b").alias("x"))).alias("m"))
         hook = hook.select(F.col("a").alias("v"), F.when(F.struct(F.xxhash64("a").alias("h"), F.col("a").alias("x")) <= F.col("m"), F.col("a")).otherwise(F.col("m.x")).alias("up"))
-        hook = materialise(hook, "hooks")
+        hook, first_at = written(hook, "hooks")
         for _ in range(2):
             far = hook.select(F.col("v").alias("up"), F.col("up").alias("top"))
             hook = hook.join(far, "up").select("v", F.col("top").alias("up"))
-        hook = materialise(hook, "hooks")
-        if roots is None:
-            roots = hook.select("v", F.col("up").alias("root"))
-        else:
-            step = hook.select(F.col("v").alias("root"), F.col("up").alias("top"))
-            roots = materialise(roots.join(step, "root", "left").select("v", F.coalesce("top", "root").alias("root")), "roots")
+        hook, hook_at = written(hook, "hooks")
+        step = hook.select(F.col("v").alias("root"), F.col("up").alias("top"))
+        now = hook.select("v", F.col("up").alias("root")) if roots is None else roots.join(step, "root", "left").select("v", F.coalesce("top", "root").alias("root"))
+        old = [first_at, hook_at, edges_at, *([roots_at] if roots_at else [])]
+        roots, roots_at = written(now, "roots")
         for side in ("a", "b"):
             step = hook.select(F.col("v").alias(side), F.col("up").alias("top"))
             edges = edges.join(step, side).drop(side).withColumnRenamed("top", side)
-        edges = materialise(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
+        edges, edges_at = written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
+        for path in old:
+            remove(spark, path)
     if roots is None:
         return edges.select(F.col("a").alias("v"), F.col("b").alias("root"))
     return roots
@@ -276,29 +281,31 @@ def components(prints: DataFrame, radius: int = RADIUS, tree_max: int = TREE_MAX
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle_words: int = SHINGLE_WORDS, tree_max: int = TREE_MAX) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id of every row."""
     prints = materialise(fingerprints(docs.select("doc_id", "text"), shingle_words), "prints")
-    parts = components(prints, radius, tree_max)
-    least = prints.groupBy("fp").agg(F.min("doc_id").alias("least")).join(parts, "fp")
-    named = least.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = parts.join(named, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    parts = materialise(components(prints, radius, tree_max), "parts")
+    each = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).join(parts, "fp"), "each")
+    roots = materialise(each.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("kinds")), "roots")
+    named = join_spread(each.select("fp", "n", "root"), roots, "root", "kinds", each.count())
+    named = materialise(named.select("fp", "n", "component_id"), "named")
+    made = join_spread(prints, named, "fp", "n", prints.count())
+    return made.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def dedup(docs: DataFrame, radius: int = RADIUS, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each component, the row
-    with the least doc_id (nulls last, then by a hash of the text) stays; of
-    repeated rows one stays.  The columns are those of ``docs``."""
-    hashed = F.xxhash64("text")
-    prints = materialise(fingerprints(docs.select("doc_id", "text", hashed.alias("th")), shingle_words), "prints")
+    with the least doc_id (nulls last, then by a hash of the text, then by a hash
+    of the columns without maps) stays; of rows that are equal in all of these one
+    stays.  The columns are those of ``docs``."""
+    flat = [c for c, kind in docs.dtypes if "map<" not in kind and kind != "variant"]
+    key = free_name(docs, "row_hash")
+    rank = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.hex(F.xxhash64("text")), F.lit(":"), F.hex(F.xxhash64(*[F.col(f"`{c}`") for c in flat])))
+    prints = materialise(fingerprints(docs.select("doc_id", "text", rank.alias("row"), F.xxhash64("text").alias("th")), shingle_words), "prints")
     parts = components(prints, radius)
-    one = prints.join(parts, "fp").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("s"))
-    key = free_name(docs, "text_hash")
-    stay = materialise(one.select(F.col("s.doc_id").alias("stay_id"), F.col("s.th").alias("stay_th")), "stay")
-    own = docs.withColumn(key, hashed)
-    kept = own.join(stay, own["doc_id"].eqNullSafe(stay["stay_id"]) & (own[key] == stay["stay_th"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", key]).select(*docs.columns)
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "row")).alias("s")
+    stay = prints.groupBy("fp").agg(best).join(parts, "fp").groupBy("root").agg(F.min("s").alias("s"))
+    stay = materialise(stay.select(F.col("s.row").alias(key)), "stay")
+    # one key of the join and of the grouping: texts are dealt out once
+    return docs.withColumn(key, rank).join(stay, key, "left_semi").dropDuplicates([key]).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from massflow.llm.common import table
-
     return near_duplicates(table(spark, sf_dir, "documents"))

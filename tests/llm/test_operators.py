@@ -4,6 +4,7 @@ import collections
 import hashlib
 import itertools
 import math
+import os
 import re
 import zlib
 
@@ -15,7 +16,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from massflow.llm import language, licenses, media, mixing, pieces, quality_model, quality_rules, simhash, token_counts, warc
+from massflow.llm import common, language, licenses, media, mixing, pieces, quality_model, quality_rules, simhash, token_counts, warc
 from massflow.llm.queries import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
@@ -45,15 +46,7 @@ def rows(df):
 
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_oracle(spark, name):
-    got = QUERIES[name](spark, SF).toPandas()
-    con = duckdb.connect()
-    for t in ("documents", "pages"):
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
-    want = con.execute(SQL[name]).df()
-    cols = sorted(got)
-    assert cols == sorted(want) and len(got) == len(want)
-    text = lambda df: sorted(tuple("" if x is None or x != x else str(int(x) if isinstance(x, float) and x == int(x) else x) for x in r) for r in df[cols].astype(object).where(df[cols].notna(), None).itertuples(index=False))
-    assert text(got) == text(want)
+    against_sql(spark, name, SF)
 
 
 def edf(blocks, weights):
@@ -147,6 +140,78 @@ def test_quality_rules_edges(spark, docs, empty):
     assert kept.columns == docs.columns and kept.count() == sum(r["kept"] for r in got)
 
 
+def against_sql(spark, name, sf):
+    got = QUERIES[name](spark, sf).toPandas()
+    con = duckdb.connect()
+    for t in ("documents", "pages"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    want = con.execute(SQL[name]).df()
+    cols = sorted(got)
+    assert cols == sorted(want) and len(got) == len(want)
+    text = lambda df: sorted(tuple("" if x is None or x != x else str(int(x) if isinstance(x, float) and x == int(x) else x) for x in r) for r in df[cols].astype(object).where(df[cols].notna(), None).itertuples(index=False))
+    assert text(got) == text(want)
+    return got
+
+
+def test_quality_rules_of_large_groups(spark, monkeypatch):
+    """Groups of some rows to 3,000; verdicts that the base leaves to the bounds."""
+    got = against_sql(spark, "op6_quality_rules", "/root/testdata/sf0.1")
+    assert (~got.base_failed & ~got.kept).sum() > 100
+    monkeypatch.setattr(quality_rules, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(common, "HOT_ROWS", 20)
+    again = QUERIES["op6_quality_rules"](spark, "/root/testdata/sf0.01").toPandas()
+    monkeypatch.undo()
+    plain = QUERIES["op6_quality_rules"](spark, "/root/testdata/sf0.01").toPandas()
+    by = ["doc_id", "n_words", "word_chars"]
+    assert again.sort_values(by).reset_index(drop=True).equals(plain.sort_values(by).reset_index(drop=True))
+
+
+def test_bounds_by_brute_force(spark):
+    """A large, a small and a null group of one language, and one of another."""
+    ratio = {("en", "big"): [100 + i % 40 for i in range(700)], ("en", "few"): [900, 900, 950], ("en", None): [20] * 60, ("fr", "big"): [300 + i % 9 for i in range(90)]}
+    data = [(*k, 100, 100 * v // 100, 0, 1, 0, 0) for k, vs in ratio.items() for v in vs]
+    own = spark.createDataFrame(data, "lang string, source string, n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long")
+
+    def low(x):  # the least number of its bucket
+        e = max(0, x.bit_length() - 6)
+        return x >> e << e
+
+    def quartiles(xs):
+        xs = sorted(map(low, xs))
+        return [xs[-(-len(xs) * q // 4) - 1] for q in (1, 3)]
+
+    whole = quartiles([x for xs in ratio.values() for x in xs])
+    lean = lambda n, q, far: [(n * a + quality_rules.PRIOR_ROWS * b) // (n + quality_rules.PRIOR_ROWS) for a, b in zip(q, far, strict=True)]
+    got = {(r["lang"], r["source"]): r for r in rows(quality_rules.thresholds(quality_rules.sketches(own)))}
+    assert set(got) == set(ratio)
+    for (lang, source), xs in ratio.items():
+        tongue = [x for k, v in ratio.items() if k[0] == lang for x in v]
+        lo, hi = lean(len(xs), quartiles(xs), lean(len(tongue), quartiles(tongue), whole))
+        r = got[lang, source]
+        assert (r["word_length_lo"], r["word_length_hi"]) == (lo - quality_rules.FENCE * (hi - lo) - 200, hi + quality_rules.FENCE * (hi - lo) + 200)
+        assert r["own_rows"] == len(xs)
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_join_spread(spark, monkeypatch, how):
+    data = [(i, "hot" if i % 3 == 0 else None if i % 7 == 0 else f"k{i % 50}") for i in range(3000)]
+    left = spark.createDataFrame(data, "doc_id long, word string").selectExpr("doc_id", "struct(word) AS k").repartition(5)
+    n = collections.Counter(w for _, w in data if w != "k5")
+    right = spark.createDataFrame([(w, c, f"<{w}>") for w, c in n.items()], "word string, n long, v string").selectExpr("struct(word) AS k", "n", "v")
+    want = sorted((i, f"<{w}>" if w in n else "") for i, w in data if how == "left" or w in n)
+    for hot in (10, 10_000):
+        monkeypatch.setattr(common, "HOT_ROWS", hot)
+        got = common.join_spread(left, right, "k", "n", 3000, how)
+        assert sorted((r["doc_id"], r["v"] or "") for r in got.collect()) == want
+
+
+def test_temporary_tables(spark, tmp_path):
+    df, path = common.written(spark.range(5), "probe")
+    assert df.count() == 5 and path in common._made
+    common.remove(spark, path)
+    assert path not in common._made and not os.path.exists(path.removeprefix("file:"))
+
+
 @settings(max_examples=5, deadline=None)
 @given(st.lists(st.text("ab \n\t#\x0b", max_size=90), min_size=1, max_size=30))
 def test_quality_counts_random(spark, texts):
@@ -227,6 +292,25 @@ def test_simhash_fingerprints_and_edges(docs, empty):
     assert kept.count() == len({r["component_id"] for r in got if r["component_id"] is not None}) + sum(r["component_id"] is None for r in got)
 
 
+def test_dedup_of_rows_that_differ_elsewhere(spark):
+    data = [(7, LINE * 4, "en", f"src{i % 5}", i % 40) for i in range(400)] + [(None, LINE * 4, "en", "a", 1), (3, "other words here", None, "a", 1)]
+    kept = set()
+    for n in (1, 6):
+        df = spark.createDataFrame(data[::-1] if n == 1 else data, SCHEMA).withColumn("m", F.create_map(F.lit("k"), "doc_id")).repartition(n)
+        out = simhash.dedup(df)
+        assert out.columns == df.columns
+        kept.add(tuple(sorted(str(r) for r in out.drop("m").collect())))
+    assert len(kept) == 1 and [x[11:12] for x in kept.pop()] == ["3", "7"]
+
+
+def test_hot_fingerprints_are_spread(spark, monkeypatch):
+    texts = ["", LINE, LINE + "end", "one two three"]
+    df = spark.createDataFrame([(i, texts[0] if i < 900 else texts[i % 4]) for i in range(1500)], "doc_id long, text string").repartition(4)
+    plain = sorted(map(str, simhash.near_duplicates(df).collect()))
+    monkeypatch.setattr(common, "HOT_ROWS", 10)
+    assert sorted(map(str, simhash.near_duplicates(df).collect())) == plain
+
+
 @pytest.mark.parametrize("tree_max", [2048, 8, 3])
 def test_bk_shards_find_every_component(spark, tree_max):
     rng = np.random.default_rng(5)
@@ -417,6 +501,61 @@ def test_quality_model(spark, docs, empty):
     assert rows(quality_model.score(empty, own)) == [] and len(rows(quality_model.score(docs, own.limit(0)))) == len(ROWS)
 
 
+def brute_statistics(text):
+    """The statistics of STATS by plain counting."""
+    raw = text or b""
+    if not raw:
+        return dict.fromkeys(quality_model.STATS, 0.0)
+    n = len(raw)
+    share = lambda ok: sum(map(ok, raw)) / n
+    words = re.findall(rb"[^\x20\x09-\x0d]+", raw)
+    lines = [x for x in raw.split(b"\n") if re.search(rb"[^\x20\x09-\x0d]", x)]
+    return {
+        "log_bytes": math.log(1 + n), "words": len(words), "word_bytes": sum(map(len, words)) / max(1, len(words)), "distinct_words": len(set(words)) / max(1, len(words)),
+        "lines": len(lines), "dup_lines": (len(lines) - len(set(lines))) / max(1, len(lines)), "words_per_line": len(words) / max(1, len(lines)),
+        "symbols": share(lambda c: chr(c) in "#*$%&|<>"), "digits": share(lambda c: 48 <= c <= 57), "upper": share(lambda c: 65 <= c <= 90), "punctuation": share(lambda c: chr(c) in ".,;:!?'\"()-"),
+        "non_ascii": share(lambda c: c > 127), "controls": share(lambda c: c < 32 and c not in (9, 10)), "entropy": -sum(raw.count(c) / n * math.log2(raw.count(c) / n) for c in set(raw)),
+        "top_word": max(map(words.count, words), default=0) / max(1, len(words)),
+    }
+
+
+def test_statistics_by_brute_force():
+    for text in (None, b"", b" \n\t", "Áé 12, the the\nthe the\n\nEND* <x>\x01\r\n".encode() * 3, b"x" * 999):
+        # a text of blank lines only has no lines: its share of repeated ones is 0 here
+        want, got = brute_statistics(text), dict(zip(quality_model.STATS, quality_model.statistics(text), strict=True))
+        if not want["lines"]:
+            want["dup_lines"], got["dup_lines"] = 0, 0
+        assert got == pytest.approx(want)
+
+
+def test_lasso_is_at_its_optimum():
+    """Conditions of the optimum of the penalised loss, at the fitted weights."""
+    rng = np.random.default_rng(4)
+    x = rng.random((500, len(quality_model.STATS)))
+    y = (rng.random(500) < 1 / (1 + np.exp(-6 * (x[:, 3] - 0.5)))).astype(float)
+    model = quality_model.fit(x, y)
+    assert model.rules
+    error = model.score(x) - y
+    assert abs(error.mean()) < 1e-3
+    for rule, w in zip(model.rules, model.weights, strict=True):
+        r = quality_model.holds(rule, x).astype(float)
+        slope = ((r - r.mean()) / max(r.std(), 0.02) * error).mean()
+        assert slope == pytest.approx(-math.copysign(quality_model.LASSO, w), abs=3e-4)
+
+
+def test_training_rows_of_equal_ids(spark):
+    """Rows of one id with different texts give one model, however they are dealt."""
+    data = [(i % 150, f"{'clean words here' if i % 2 else '### $$$ 123'} {i % 7}", "en" if i % 3 else "fr") for i in range(600)]
+    labels = spark.createDataFrame([(i, int(i % 2)) for i in range(150)], "doc_id long, quality int")
+    got = set()
+    for n in (1, 7):
+        df = spark.createDataFrame(data if n == 1 else data[::-1], "doc_id long, text string, lang string").repartition(n)
+        model = quality_model.train(df, labels)
+        tongue = language.train(df)
+        got.add((str(model), tuple(tongue.languages), tongue.coef.tobytes()))
+    assert len(got) == 1
+
+
 def test_compiled_rules_equal_numpy(spark):
     rng = np.random.default_rng(1)
     x = rng.random((300, len(quality_model.STATS)))
