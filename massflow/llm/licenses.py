@@ -7,9 +7,9 @@ threshold: Dice >= t needs |A| between t / (2 - t) |B| and (2 - t) / t |B|.
 
 A licence that no segment shows may share its line with other words or span
 paragraphs, so windows of the whole text's words are compared with its templates.
-A window starts and ends with a run of the template's bigrams (growing over a run
-never lowers Dice) and has at most (2 / t - 2) |B| other bigrams in it (more cannot
-reach t).  A window below the template's size counts with |A| = |B|, as if the
+A window starts and ends with one of the template's bigrams and has at most
+(2 / t - 2) |B| others in it, repeats included; growing over a run of the template's
+bigrams never lowers Dice, so only windows from run to run are tried.  A window below the template's size counts with |A| = |B|, as if the
 words around it were inside: else "Apache License, Version 1.1" in a sentence would
 be cut to the words it shares with version 2.0.
 
@@ -20,8 +20,9 @@ and a segment at the threshold shares t / (2 - t) of them at least, so a segment
 
 All of it is arithmetic within a row: no join, no shuffle, no expansion to rows;
 templates are constants of the code.  Null, empty and unmatched texts give 0
-matches with empty names and dice 0; repeated rows get equal results; extra
-columns are ignored.
+matches with empty names and dice 0; repeated rows get equal results; equal Dice
+goes to the first name; an empty table gives an empty result; a long text is read
+whole, and one with an anchor has its bigrams in memory; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -77,13 +78,23 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
 }
 
 
+# Words of most English texts, the last choice for anchors.
+COMMON = frozenset("a all an and any are as at be by can do for from if in is it its may no not of on or our shall such that the these this those to under was we which will with without you your".split())
+
+
 def bigrams(text: str) -> list[str]:
     words = re.sub("[^a-z0-9]+", " ", text.lower()).strip().split(" ")
     return list(dict.fromkeys(f"{a} {b}" for a, b in zip(words, words[1:])))  # noqa: B905
 
 
+def least_share(threshold: float) -> float:
+    """The smaller set's share of the larger that the threshold allows; less by a
+    trifle, as rounding must not prune a Dice of just the threshold."""
+    return threshold / (2 - threshold) - 1e-9
+
+
 def anchors(templates: dict[str, tuple[str, ...]], threshold: float) -> list[str]:
-    """Words, long and shared ones first, of which each template has one in
+    """Words, rare, long and shared ones first, of which each template has one in
     more of its bigrams than a match may lack."""
     share = threshold / (2 - threshold)
     sets = [bigrams(t) for ts in templates.values() for t in ts]
@@ -94,7 +105,7 @@ def anchors(templates: dict[str, tuple[str, ...]], threshold: float) -> list[str
 
     while short := [g for g in sets if lacks(g)]:
         score = Counter(w for grams in short for g in grams for w in set(g.split(" ")) if w not in found and not any(x in found for x in g.split(" ")))
-        found.append(max(score, key=lambda w: (min(len(w), 7) >= 7, len(w) >= 4, score[w], w)))
+        found.append(max(score, key=lambda w: (w not in COMMON, len(w) >= 7, len(w) >= 4, score[w], w)))
     return sorted(found)
 
 
@@ -105,7 +116,7 @@ def scan(docs: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES, thr
     rows = [(name, bigrams(t)) for name, ts in templates.items() for t in ts]
     lits: list[Column] = [F.struct(F.lit(n).alias("name"), F.array(*map(F.lit, g)).alias("g")) for n, g in rows]
     every = F.array(*map(F.lit, dict.fromkeys(x for _, g in rows for x in g)))
-    share = threshold / (2 - threshold)
+    share = least_share(threshold)
     made = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t"), F.array(*lits).alias("templates"), every.alias("every"))
     segments = r"array_distinct(concat(split(t, '\n'), split(t, '\\n[ \\t\\r]*\\n'), array(t)))"
     rx = anchor_regex(templates, threshold)
@@ -116,7 +127,7 @@ def scan(docs: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES, thr
     grams = grams.format(segments, rx.replace("\\", "\\\\"), words.format("s"), pairs)
     none = "cast(array() AS array<struct<dice: double, name: string>>)"
     found = f"""flatten(transform(grams, a -> filter(
-        transform(filter(templates, b -> size(a) >= {share}D * size(b.g) AND size(a) <= size(b.g) / {share}D),
+        transform(filter(templates, b -> size(a) >= {share}D * size(b.g) AND size(a) * {share}D <= size(b.g)),
             b -> struct(2D * size(array_intersect(a, b.g)) / (size(a) + size(b.g)) AS dice, b.name AS name)),
         x -> x.dice >= {threshold}D)))"""
     # the last segment is the whole text; a window shares threshold * |B| bigrams at least
@@ -145,7 +156,7 @@ def scan(docs: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES, thr
 
 
 def anchor_regex(templates: dict[str, tuple[str, ...]] = TEMPLATES, threshold: float = THRESHOLD) -> str:
-    return "(?:" + "|".join(anchors(templates, threshold)) + ")"
+    return "(?<![a-z0-9])(?:" + "|".join(anchors(templates, threshold)) + ")(?![a-z0-9])"
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,18 +164,31 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    rows = ", ".join("('{}', [{}])".format(n, ", ".join(f"'{x}'" for x in bigrams(t))) for n, ts in TEMPLATES.items() for t in ts)
-    share = THRESHOLD / (2 - THRESHOLD)
+    """Segments, then every window of the templates that no segment shows."""
+    rows = ", ".join("({}, '{}', [{}])".format(i, n, ", ".join(f"'{x}'" for x in bigrams(t))) for i, (n, t) in enumerate((n, t) for n, ts in TEMPLATES.items() for t in ts))
+    share, slack = least_share(THRESHOLD), 2 / THRESHOLD - 2
     return rf"""
-WITH templates(name, g) AS (VALUES {rows}),
+WITH templates(tid, name, g) AS (VALUES {rows}),
 docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
 segs AS (SELECT DISTINCT r, s FROM (
   SELECT r, unnest(string_split(t, chr(10))) AS s FROM docs UNION ALL SELECT r, unnest(regexp_split_to_array(t, '\n[ \t\r]*\n')) FROM docs UNION ALL SELECT r, t FROM docs)),
 words AS (SELECT r, string_split(trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM segs),
-grams AS (SELECT r, list_distinct([w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]) AS a FROM words WHERE len(w) BETWEEN 2 AND 1000000),
-hits AS (SELECT r, name, 2.0::DOUBLE * len(list_intersect(a, g)) / (len(a) + len(g)) AS dice FROM grams, templates
-  WHERE len(a) >= {share}::DOUBLE * len(g) AND len(a) <= len(g) / {share}::DOUBLE),
-good AS (SELECT r, count(*) AS n, string_agg(DISTINCT name, ',' ORDER BY name) AS names, arg_min(name, {{'d': -dice, 'n': name}}) AS best, max(dice) AS dice FROM hits WHERE dice >= {THRESHOLD}::DOUBLE GROUP BY r)
+grams AS (SELECT r, list_distinct([w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]) AS a FROM words WHERE len(w) >= 2),
+hits AS (SELECT * FROM (SELECT r, name, 2.0::DOUBLE * len(list_intersect(a, g)) / (len(a) + len(g)) AS dice FROM grams, templates
+  WHERE len(a) >= {share}::DOUBLE * len(g) AND len(a) * {share}::DOUBLE <= len(g)) WHERE dice >= {THRESHOLD}::DOUBLE),
+whole AS (SELECT r, [w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))] AS s FROM (
+  SELECT r, string_split(trim(regexp_replace(lower(t), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM docs) WHERE len(w) >= 2),
+parts AS (SELECT tid, name, len(g) AS n, unnest(g) AS x FROM templates),
+spots AS (SELECT r, i, s[i] AS x FROM (SELECT r, s, unnest(range(1, len(s) + 1)) AS i FROM whole) WHERE s[i] IN (SELECT x FROM parts)),
+hidden AS (SELECT r, tid, name, n FROM spots JOIN parts USING (x) WHERE NOT EXISTS (SELECT 1 FROM hits h WHERE h.r = spots.r AND h.name = parts.name)
+  GROUP BY ALL HAVING count(DISTINCT x) / n >= {THRESHOLD}::DOUBLE),
+places AS (SELECT r, tid, name, n, i, row_number() OVER (PARTITION BY r, tid ORDER BY i) AS k FROM hidden JOIN spots USING (r) JOIN parts USING (tid, name, n, x)),
+spans AS (SELECT r, tid, name, a.i AS lo, e.i AS hi FROM places a JOIN places e USING (r, tid, name, n)
+  WHERE e.k >= a.k AND (e.i - e.k) - (a.i - a.k) <= {slack}::DOUBLE * n AND (e.k - a.k + 1) / n >= {THRESHOLD}::DOUBLE),
+inside AS (SELECT r, name, max(2.0::DOUBLE * len(list_intersect(x, g)) / (greatest(len(x), len(g)) + len(g))) AS dice
+  FROM (SELECT r, tid, p.name, g, list_distinct(s[lo : hi]) AS x FROM spans p JOIN whole USING (r) JOIN templates USING (tid)) GROUP BY r, name),
+found AS (SELECT * FROM hits UNION ALL SELECT * FROM inside WHERE dice >= {THRESHOLD}::DOUBLE),
+good AS (SELECT r, count(*) AS n, string_agg(DISTINCT name, ',' ORDER BY name) AS names, arg_min(name, {{'d': -dice, 'n': name}}) AS best, max(dice) AS dice FROM found GROUP BY r)
 SELECT doc_id, coalesce(n, 0) AS n_matches, coalesce(names, '') AS licenses, coalesce(best, '') AS best_license, coalesce(round(dice, 6), 0.0::DOUBLE) AS best_dice
 FROM docs LEFT JOIN good USING (r)
 """

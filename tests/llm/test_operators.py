@@ -257,6 +257,81 @@ def test_licenses_inside_lines_and_over_paragraphs(spark):
         assert (got[i]["licenses"], got[i]["n_matches"]) == (names, n) and dice <= got[i]["best_dice"] <= (dice if dice in (0, 1) else 1)
 
 
+def brute_licences(text, templates, t=0.8):
+    """(matches, best Dice of each name) by every segment and every window."""
+    grams = lambda x: [f"{a} {b}" for a, b in itertools.pairwise(re.sub("[^a-z0-9]+", " ", x.lower()).strip().split(" "))]
+    pairs = [(name, set(grams(x))) for name, xs in templates.items() for x in xs]
+    found = []
+    for seg in {text, *text.split("\n"), *re.split(r"\n[ \t\r]*\n", text)}:
+        a = set(grams(seg))
+        found += [(name, d) for name, b in pairs if a and (d := 2 * len(a & b) / (len(a) + len(b))) >= t]
+    shown, s, best = {n for n, _ in found}, grams(text), {}
+    for name, b in pairs:
+        at = [i for i, x in enumerate(s) if x in b]
+        if name in shown or len(set(s) & b) / len(b) < t:
+            continue
+        for i in at:
+            for j in at:
+                x = set(s[i : j + 1])
+                if j >= i and sum(y not in b for y in s[i : j + 1]) <= (2 / t - 2) * len(b):
+                    d = 2 * len(x & b) / (max(len(x), len(b)) + len(b))
+                    best[name] = max(best.get(name, 0), d)
+    found += [(n, d) for n, d in best.items() if d >= t]
+    return len(found), {n: max(d for m, d in found if m == n) for n, _ in found}
+
+
+def test_licences_by_brute_force(spark):
+    rng = np.random.default_rng(8)
+    small = {k: tuple(x for x in v if len(x) < 200) for k, v in licenses.TEMPLATES.items()}
+    small = {k: v for k, v in small.items() if v}
+    texts, filler = [], "this work software river by license under the a of all rights 4 0 and version".split()
+    for _ in range(300):
+        out = []
+        for _ in range(int(rng.integers(1, 4))):
+            w = list(small.values())[rng.integers(len(small))]
+            w = w[rng.integers(len(w))].split(" ")
+            for _ in range(int(rng.integers(0, 3))):
+                w.insert(int(rng.integers(len(w) + 1)), filler[rng.integers(len(filler))])
+            if rng.random() < 0.3:
+                w.pop(int(rng.integers(len(w))))
+            out += [*(filler[rng.integers(len(filler))] for _ in range(int(rng.integers(0, 9)))), *w]
+        for _ in range(int(rng.integers(0, 4))):
+            out.insert(int(rng.integers(len(out) + 1)), ("\n", "\n\n", "\n# ", "* ")[rng.integers(4)])
+        texts.append(" ".join(out))
+    got = {r["doc_id"]: r for r in rows(licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), small))}
+    windows = 0
+    for i, text in enumerate(texts):
+        n, names = brute_licences(text, small)
+        r = got[i]
+        assert (r["n_matches"], r["licenses"]) == (n, ",".join(sorted(names))), text
+        if n:
+            assert r["best_dice"] == pytest.approx(max(names.values()), abs=1e-6)
+        windows += n > 0
+    assert windows > 100
+
+
+def test_licence_recall(spark, tmp_path):
+    """Every template as people paste it: wrapped, commented, indented, inside prose
+    and with a word changed; Spark and SQL find it."""
+    forms, want = [], []
+    prose = " ".join(f"stone{i}" for i in range(60))
+    for name, ts in licenses.TEMPLATES.items():
+        for text in ts:
+            words = text.split(" ")
+            lines = [" ".join(words[i : i + 6]) for i in range(0, len(words), 6)]
+            swapped = " ".join("thing" if len(words) > 30 and i == 9 else w for i, w in enumerate(words))
+            for form in (text, "\n".join(lines), "\n".join(f"# {x}" for x in lines), "/*\n" + "\n".join(f" * {x}" for x in lines) + "\n */", f"{prose} {text} {prose}", f"{prose}\n\n" + "\n".join(f"    {x}" for x in lines) + f"\n\n{prose}", f"{prose}\n{swapped.upper()} {prose}"):
+                forms.append((len(forms), form))
+                want.append(name)
+    spark.createDataFrame(forms, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in rows(licenses.query(spark, str(tmp_path)))}
+    assert all(name in got[i]["licenses"].split(",") for i, name in enumerate(want))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    sql = {r[0]: r[1:] for r in con.execute(f"SELECT doc_id, n_matches, licenses, best_license, best_dice FROM ({SQL['op5_license_scans']})").fetchall()}
+    assert sql == {i: (r["n_matches"], r["licenses"], r["best_license"], r["best_dice"]) for i, r in got.items()}
+
+
 def brute_fingerprint(text):
     words = (text or "").encode().lower().split()
     sh = [b" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []
