@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from massflow.llm.common import fresh_path, map_arrow, materialise, table
+from massflow.llm.common import BROADCAST_ROWS, SLICE_ROWS, fresh_path, join_spread, map_arrow, materialise, table
 
 REVISIT_BYTES = 100
 BLOCK_LINES = 512
@@ -105,9 +105,14 @@ def classify(pages: DataFrame) -> DataFrame:
     """page_id, url, html (null for revisits), bytes, digest, first (the
     response's page_id, for revisits)."""
     own = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumns({"bytes": F.octet_length("html").cast("long"), "digest": F.sha2("html", 256)})
-    groups = own.filter(F.col("bytes") >= REVISIT_BYTES).groupBy(F.col("digest").alias("dup")).agg(F.count("*").alias("n"), F.min("page_id").alias("least"))
-    groups = materialise(groups.filter("n > 1").select("dup", "least"), "repeats")
-    both = own.join(groups, F.col("digest") == F.col("dup"), "left")
+    narrow = pages.select("page_id", F.coalesce("html", F.lit("")).alias("html")).select("page_id", F.octet_length("html").alias("bytes"), F.sha2("html", 256).alias("digest"))
+    groups = narrow.filter(F.col("bytes") >= REVISIT_BYTES).groupBy("digest").agg(F.count("*").alias("n"), F.min("page_id").alias("least"))
+    groups = materialise(groups.filter("n > 1"), "repeats")
+    few = groups.agg(F.count("*").alias("k"), F.sum("n").alias("n")).first()
+    if few["k"] <= BROADCAST_ROWS:
+        both = own.join(F.broadcast(groups.drop("n")), "digest", "left")
+    else:
+        both = join_spread(own, groups, "digest", "n", few["n"], "left")
     first = F.when(F.col("least").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("least")), F.col("least"))
     return both.withColumn("first", first).select("page_id", "url", F.when(F.col("first").isNull(), F.col("html")).alias("html"), "bytes", "digest", "first")
 
@@ -232,15 +237,24 @@ def lookup(urls: DataFrame, heads: list[tuple[bytes, bytes, str]]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(shards, pa.int32())], names=["key", "shard"])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.string(), pa.string(), pa.int64(), pa.int64())
+
+        def pack(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["key", "file", "at", "size"])
+
         number, shard = -1, None
         for batch in batches:
-            rows = []
+            rows: list[tuple] = []
             for key, i in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if i != number:
                     number, shard = i, Shard(heads[i][2])
-                rows += [(key, file, at, n) for _, at, n, file in shard.find(key.encode() + b"\0", key.encode() + b"\1")]
-            cols = list(zip(*rows, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["key", "file", "at", "size"])
+                for _, at, n, file in shard.find(key.encode() + b"\0", key.encode() + b"\1"):
+                    rows.append((key, file, at, n))
+                    if len(rows) == SLICE_ROWS:
+                        yield pack(rows)
+                        rows = []
+            if rows:
+                yield pack(rows)
 
     routed = map_arrow(urls.select("url"), route, "key string, shard int").distinct()
     dealt = routed.repartition("shard").sortWithinPartitions("shard", "key")
