@@ -8,7 +8,8 @@ with a hash of the low-frequency cosine terms of the image.
 Defined results: null and empty texts are one row of blanks; repeated rows get
 equal results; a broken image (signature, checksum, order of chunks, length,
 filter, other than 8-bit grey or RGB, interlaced) gives nulls and a message in
-``error``; extra columns are ignored.
+``error``; an empty table gives an empty result; a long text is one image, whole in
+memory while it is made and read; extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -20,9 +20,11 @@ Decoding joins the pieces' bytes.  A blank is one marker byte that no UTF-8 text
 holds, so a text's own U+2581 (which no piece matches then) comes back as itself.
 
 Defined results: null text gives null ids and null text; an empty text gives no
-ids; a null row key counts as 0; repeated rows get equal results; a pre-token
-over ``LONG`` bytes takes the same sums one place at a time; bytes that are not UTF-8
-are replaced by U+FFFD first; extra columns are ignored.
+ids; an empty table gives an empty result; a null row key counts as 0; repeated rows
+get equal results; a pre-token over ``LONG`` bytes takes the same sums one place at a
+time, as logarithms, and so gets the same pieces but for rounding; a long text is
+sampled whole, alone in its chunk; bytes that are not UTF-8 are replaced by U+FFFD
+first; extra columns are ignored.
 """
 
 from __future__ import annotations

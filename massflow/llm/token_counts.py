@@ -10,9 +10,10 @@ The join is a lookup inside the task, which holds the document's frequencies
 anyway, so nothing is shuffled; the table of counts restarts at ``CACHE_ENTRIES``
 (that costs work, not rows).  Both conditions are checked against the model.
 
-Defined results: a null text is empty; empty texts have 0 tokens; repeated rows
-get equal results; a text without blanks is one pre-token; extra columns are
-ignored.
+Defined results: a null text is empty; empty texts have 0 tokens; an empty table
+gives an empty result; repeated rows get equal results; a long text is counted whole,
+with its distinct pre-tokens in memory, and one without blanks is one pre-token; extra
+columns are ignored.
 """
 
 from __future__ import annotations
