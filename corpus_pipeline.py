@@ -8,6 +8,13 @@ Every stage but the last returns the columns of ``documents``.  Readers of sever
 files do not keep the order of rows, so the last stage gives each row the position
 in the mix as a column; it is a function of the rows, the same in both stages but
 for rows of equal source and id.
+
+Defined results: a document of null or empty text, or of any with too few words, is
+rejected by the rules; a null language or source is a group of its own there and part
+of the pooled stream in the mix; of repeated rows, and of equal texts under several
+ids, one stays (the least id; nulls last); texts of any length pass whole; an empty
+table gives an empty result; extra columns pass all stages but the last under their
+names, whatever those are.
 """
 
 from __future__ import annotations
