@@ -2,59 +2,90 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
 from itertools import permutations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from massflow.operators.windows import before, running
+from massflow.operators.geometry import matrix
+from massflow.operators.joins import join_spread
+from massflow.operators.windows import BLOCK, before, dense_index, running
+from massflow.session import cut
 
 
-def mmd(x: DataFrame, y: DataFrame, bandwidth: float, key: str, column: str = "sample") -> DataFrame:
-    """(key, mmd2): biased squared Gaussian MMD of the samples of equal key.
+#: Numbers of the largest temporary array of a kernel.
+KERNEL_NUMBERS = 1 << 21
 
-    Pairs of atoms are formed within a row's two arrays, L x L numbers at a time."""
-    both = x.select(key, F.col(column).alias("a")).join(y.select(key, F.col(column).alias("b")), key)
-    return both.select(key, mmd_of(F.col("a"), F.col("b"), bandwidth).alias("mmd2"))
 
+def _kernel_means(x: np.ndarray, y: np.ndarray, bandwidth: float) -> np.ndarray:
+    """Mean Gaussian kernel of all pairs of atoms, row by row."""
+    out, step = np.empty(len(x)), max(1, KERNEL_NUMBERS // max(1, x.shape[1] * y.shape[1]))
+    for i in range(0, len(x), step):
+        d = x[i : i + step, :, None] - y[i : i + step, None, :]
+        np.multiply(d, d, out=d)
+        d *= -0.5 / bandwidth**2
+        out[i : i + step] = np.exp(d, out=d).mean((1, 2))
+    return out
 
-def mmd_of(a: Column, b: Column, bandwidth: float) -> Column:
+
+def with_mmd(df: DataFrame, a: str, b: str, bandwidth: float, name: str = "mmd2") -> DataFrame:
+    """Adds the biased squared Gaussian MMD of two array columns of a row."""
     if not bandwidth > 0:
         raise ValueError("bandwidth must be positive")
+    names = list(df.columns)
+    schema = T.StructType([*df.schema.fields, T.StructField(name, T.DoubleType())])
 
-    def kernel(p: Column, q: Column) -> Column:
-        def row(s: Column, u: Column) -> Column:
-            return s + F.aggregate(q, F.lit(0.0), lambda t, v: t + F.exp(-0.5 * F.pow((u - v) / bandwidth, 2)))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = batch.column(names.index(a)), batch.column(names.index(b))
+            shape = np.stack([c.value_lengths().to_numpy(zero_copy_only=False) for c in (x, y)], 1)
+            out = np.empty(len(shape))
+            for size in np.unique(shape, axis=0):  # rows of equal lengths together
+                rows = np.flatnonzero((shape == size).all(1))
+                p, q = matrix(x.take(pa.array(rows))), matrix(y.take(pa.array(rows)))
+                out[rows] = np.maximum(0, _kernel_means(p, p, bandwidth) + _kernel_means(q, q, bandwidth) - 2 * _kernel_means(p, q, bandwidth))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], names=schema.fieldNames())
 
-        return F.aggregate(p, F.lit(0.0), row) / (F.size(p) * F.size(q))
+    return df.mapInArrow(run, schema)
 
-    return F.greatest(F.lit(0.0), kernel(a, a) + kernel(b, b) - 2 * kernel(a, b))
+
+def mmd(x: DataFrame, y: DataFrame, bandwidth: float, key: str, column: str = "sample") -> DataFrame:
+    """(key, mmd2): biased squared Gaussian MMD of the samples of equal key.
+
+    Pairs of atoms are formed within a row's two arrays, L x L numbers at a time."""
+    both = x.select(key, F.col(column).alias("a")).join(y.select(key, F.col(column).alias("b")), key)
+    return with_mmd(both, "a", "b", bandwidth).select(key, "mmd2")
 
 
 def adjacent_mmd(picked: DataFrame, bandwidth: float, keys: list[str]) -> DataFrame:
-    """Mean MMD of consecutive separated windows, within and between labels."""
-    w = Window.partitionBy(*keys).orderBy("endpoint")
-    made = picked.withColumn("_b", F.lead("sample").over(w)).withColumn("_l", F.lead("label").over(w)).filter("_b IS NOT NULL")
-    made = made.select(*keys, (F.col("label") == F.col("_l")).alias("same_label"), mmd_of(F.col("sample"), F.col("_b"), bandwidth).alias("m"))
-    return made.groupBy(*keys, "same_label").agg(F.count("*").alias("pairs"), F.avg("m").alias("mean_mmd2"))
+    """Mean MMD of consecutive separated windows, within and between labels.  Windows
+    are numbered by blocks of endpoints, so a long series is spread."""
+    numbered = dense_index(picked.select(*keys, "endpoint", "sample", "label"), keys, ["endpoint"], F.floor(F.col("endpoint") / BLOCK), "_no")
+    made = before(numbered, keys, {"_b": "sample", "_l": "label"}, "_no").filter("_b IS NOT NULL")
+    made = with_mmd(made.select(*keys, (F.col("label") == F.col("_l")).alias("same_label"), F.col("sample").alias("_a"), "_b"), "_a", "_b", bandwidth, "_m")
+    return made.groupBy(*keys, "same_label").agg(F.count("*").alias("pairs"), F.avg("_m").alias("mean_mmd2"))
 
 
 def percentiles(scored: DataFrame, calibration: DataFrame, threshold: float, value: str = "nearest") -> DataFrame:
     """Adds ``percentile``, the share of calibration values at most the row's,
-    and ``ood``.  Ranks come from one sort of both tables by value, in value
-    ranges, so neither table is broadcast or held in one task."""
-    both = scored.withColumn("_cal", F.lit(0)).unionByName(calibration.select(value).withColumn("_cal", F.lit(1)), allowMissingColumns=True)
-    by_value = both.groupBy(value).agg(F.sum("_cal").alias("_n"))
-    edges = by_value.approxQuantile(value, [i / 64 for i in range(1, 64)], 0.005) if by_value.take(1) else []
+    and ``ood``.  Distinct values are ranked in value ranges, from one written table
+    of counts; a value that many rows share is dealt to several tasks."""
+    both = scored.select(value, F.lit(0).alias("_cal"), F.lit(1).alias("_row")).unionByName(calibration.select(value, F.lit(1).alias("_cal"), F.lit(0).alias("_row")))
+    by_value = cut(both.groupBy(value).agg(F.sum("_cal").alias("_n"), F.sum("_row").alias("_rows")))
+    sums = by_value.agg(F.sum(F.when(F.col(value).isNotNull(), F.col("_n"))).alias("cal"), F.sum("_rows").alias("rows"), F.count("*").alias("k")).first()
+    edges = by_value.approxQuantile(value, [i / 64 for i in range(1, 64)], 0.005) if sums["k"] else []
     part = F.size(F.filter(F.array(*[F.lit(float(e)) for e in sorted(set(edges))]), lambda e: e < F.col(value))) if edges else F.lit(0)
     by_value = by_value.withColumn("_part", part)
     sizes = by_value.groupBy("_part").agg(F.sum("_n").alias("_sum"))
-    before = sizes.withColumn("_before", F.sum("_sum").over(Window.orderBy("_part")) - F.col("_sum")).drop("_sum")  # 64 rows
-    ranks = by_value.withColumn("_upto", F.sum("_n").over(Window.partitionBy("_part").orderBy(value))).join(before, "_part")
-    total = calibration.agg(F.count(value).alias("_total"))
-    ranks = ranks.join(F.broadcast(total)).select(value, F.try_divide(F.col("_upto") + F.col("_before"), F.col("_total")).alias("percentile"))
-    return scored.join(ranks, value).withColumn("ood", F.col("percentile") >= threshold)
+    earlier = sizes.withColumn("_before", F.sum("_sum").over(Window.orderBy("_part")) - F.col("_sum")).drop("_sum")  # 64 rows
+    ranks = by_value.withColumn("_upto", F.sum("_n").over(Window.partitionBy("_part").orderBy(value))).join(F.broadcast(earlier), "_part")
+    total = float(sums["cal"]) if sums["cal"] else None
+    ranks = cut(ranks.select(value, "_rows", ((F.col("_upto") + F.col("_before")) / F.lit(total)).alias("percentile")))
+    return join_spread(scored, ranks, value, "_rows", sums["rows"] or 0).withColumn("ood", F.col("percentile") >= threshold)
 
 
 def over_quantile(scored: DataFrame, calibration: DataFrame, q: float = 0.99, value: str = "nearest") -> DataFrame:
@@ -120,35 +151,48 @@ def occupancy(labels: DataFrame, k: int, label: str = "label") -> DataFrame:
     return states.join(labels.groupBy(label).agg(F.count("*").alias("n")), label, "left").select(label, F.coalesce("n", F.lit(0)).alias("n"))
 
 
+#: Rows of the largest sample that a silhouette takes.
+SILHOUETTE_ROWS = 1_000
+
+
+def _silhouettes(df: DataFrame) -> tuple[list, np.ndarray, np.ndarray]:
+    """ids, labels and silhouettes of a bounded sample (id, label, sample); a lone
+    row has 0, and all have NaN where there is one cluster."""
+    rows = df.select("id", "label", "sample").limit(SILHOUETTE_ROWS + 1).collect()
+    if len(rows) > SILHOUETTE_ROWS:
+        raise ValueError(f"a silhouette takes a sample of at most {SILHOUETTE_ROWS} rows")
+    rows.sort(key=lambda r: r["id"])
+    x, label = np.array([r["sample"] for r in rows], float), np.array([r["label"] for r in rows])
+    kinds, place = np.unique(label, return_inverse=True)
+    if len(kinds) < 2:
+        return [r["id"] for r in rows], label, np.full(len(rows), np.nan)
+    x = x - x.mean(0)
+    square = (x * x).sum(1)
+    d = np.sqrt(np.maximum(square[:, None] + square - 2 * x @ x.T, 0))
+    np.fill_diagonal(d, 0)
+    member = np.eye(len(kinds))[place]
+    size = member.sum(0)
+    mean = d @ member / np.maximum(size - member, 1)
+    at = np.arange(len(x)), place
+    own = mean[at]
+    mean[at] = np.inf
+    near = mean.min(1)
+    return [r["id"] for r in rows], label, np.where(size[place] == 1, 0, (near - own) / np.maximum(np.maximum(own, near), 1e-300))
+
+
 def silhouette(df: DataFrame) -> float | None:
-    """Mean Euclidean silhouette of a bounded sample (id, label, sample), of at
-    most some hundred rows; None if there are fewer than two clusters."""
-    rows = df.collect()
-    x = np.array([r["sample"] for r in rows], float)
-    label = np.array([r["label"] for r in rows])
-    kinds = np.unique(label)
-    if len(kinds) < 2 or len(kinds) >= len(x):
-        return None
-    d = np.sqrt(np.maximum(((x[:, None] - x[None]) ** 2).sum(2), 0)) if len(x) <= 1000 else None
-    if d is None:
-        raise ValueError("silhouette takes a sample of at most 1000 rows")
-    mean = np.stack([d[:, label == c].sum(1) / np.maximum((label == c).sum() - (label == c), 1) for c in kinds], 1)
-    own = mean[np.arange(len(x)), np.searchsorted(kinds, label)]
-    mean[np.arange(len(x)), np.searchsorted(kinds, label)] = np.inf
-    other = mean.min(1)
-    alone = np.array([(label == v).sum() == 1 for v in label])
-    return float(np.where(alone, 0, (other - own) / np.maximum(np.maximum(own, other), 1e-300)).mean())
+    """Mean Euclidean silhouette of a bounded sample (id, label, sample); None
+    unless there are two clusters at least and fewer than rows."""
+    _, label, value = _silhouettes(df)
+    kinds = len(np.unique(label))
+    return float(value.mean()) if 2 <= kinds < len(value) else None
 
 
 def silhouette_rows(df: DataFrame) -> DataFrame:
-    """(id, label, silhouette) of a bounded sample, as one plan: every row meets
-    the sample held as one array, so pairs stay inside a row."""
-    whole = df.agg(F.collect_list(F.struct("id", "label", "sample")).alias("all"))  # a bounded sample
-    dist = F.sqrt(F.aggregate(F.zip_with("sample", F.col("o.sample"), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v))
-    pairs = df.join(F.broadcast(whole)).select("id", "label", "sample", F.explode("all").alias("o")).filter(F.col("id") != F.col("o.id"))
-    by = pairs.select("id", "label", F.col("o.label").alias("other"), dist.alias("d")).groupBy("id", "label", "other").agg(F.avg("d").alias("d"))
-    made = by.groupBy("id", "label").agg(F.max(F.when(F.col("label") == F.col("other"), F.col("d"))).alias("own"), F.min(F.when(F.col("label") != F.col("other"), F.col("d"))).alias("near"))
-    return made.select("id", "label", F.when(F.col("own").isNull(), F.lit(0.0)).otherwise(F.coalesce(F.try_divide(F.col("near") - F.col("own"), F.greatest("own", "near")), F.lit(0.0))).alias("silhouette"))
+    """(id, label, silhouette) of a bounded sample; null where there is one cluster."""
+    ids, label, value = _silhouettes(df)
+    kinds = T.StructType([T.StructField("id", df.schema["id"].dataType), T.StructField("label", df.schema["label"].dataType), T.StructField("silhouette", T.DoubleType())])
+    return df.sparkSession.createDataFrame([(i, v.item(), None if np.isnan(s) else float(s)) for i, v, s in zip(ids, label, value, strict=True)], kinds)
 
 
 def assignment(cost: np.ndarray) -> list[int]:
@@ -207,32 +251,36 @@ def component_fractions(parts: DataFrame) -> DataFrame:
     return sums.select(*[F.coalesce(F.try_divide(c, "total"), F.lit(0.0)).alias(c) for c in ("location", "scale", "shape")])
 
 
-def conditional_outcomes(labelled: DataFrame, outcome: str, drawn: DataFrame) -> DataFrame:
-    """Mean outcome of each state and a bootstrap interval; ``labelled`` has idx,
-    label, outcome; a draw is shared by all states."""
-    point = labelled.filter(F.col(outcome).isNotNull()).groupBy("label").agg(F.avg(outcome).alias("mean"), F.count("*").alias("n"))
-    weights = drawn.groupBy("rep", "idx").agg(F.count("*").alias("w"))
-    reps = labelled.filter(F.col(outcome).isNotNull()).join(weights, "idx").groupBy("rep", "label").agg((F.sum(F.col(outcome) * F.col("w")) / F.sum("w")).alias("m"))
-    spread = reps.groupBy("label").agg(F.percentile("m", F.lit(0.025)).alias("lo"), F.percentile("m", F.lit(0.975)).alias("hi"))
-    return point.join(spread, "label", "left")
+def conditional_outcomes(labelled: DataFrame, outcome: str, drawn: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Mean outcome of each state (of each series of ``keys``) and a bootstrap
+    interval; ``labelled`` has keys, idx, label, outcome; a draw is shared by all
+    states."""
+    known = labelled.filter(F.col(outcome).isNotNull())
+    point = known.groupBy(*keys, "label").agg(F.avg(outcome).alias("mean"), F.count("*").alias("n"))
+    weights = drawn.groupBy(*keys, "rep", "idx").agg(F.count("*").alias("w"))
+    reps = known.join(weights, [*keys, "idx"]).groupBy(*keys, "rep", "label").agg((F.sum(F.col(outcome) * F.col("w")) / F.sum("w")).alias("m"))
+    spread = reps.groupBy(*keys, "label").agg(F.percentile("m", F.lit(0.025)).alias("lo"), F.percentile("m", F.lit(0.975)).alias("hi"))
+    return point.join(spread, [*keys, "label"], "left")
 
 
 def state_profile(labelled: DataFrame, features: list[str]) -> DataFrame:
     return labelled.groupBy("label").agg(F.count("*").alias("n"), *[F.avg(c).alias(c) for c in features])
 
 
-def detection_delay(labels: DataFrame, switch: int, state: int, end: int) -> DataFrame:
+def detection_delay(labels: DataFrame, switch: int, state: int, end: int, keys: Sequence[str] = ()) -> DataFrame:
     """Endpoints from an internal switch to the first correct one; censored if none."""
     first = F.min(F.when((F.col("endpoint") >= switch) & (F.col("endpoint") < end) & (F.col("label") == state), F.col("endpoint")))
-    return labels.agg((first - switch).alias("delay")).withColumn("censored", F.col("delay").isNull())
+    return labels.groupBy(*keys).agg((first - switch).alias("delay")).withColumn("censored", F.col("delay").isNull())
 
 
-def episode_delay(labels: DataFrame, state: int, start: int, end: int, needed: int = 5) -> DataFrame:
+def episode_delay(labels: DataFrame, state: int, start: int, end: int, needed: int = 5, keys: Sequence[str] = ()) -> DataFrame:
     """First ``needed`` labels of a state on consecutive endpoints in [start, end)."""
     inside = labels.filter((F.col("endpoint") >= start) & (F.col("endpoint") < end)).withColumn("_k", F.lit(0))
-    long = runs(inside, ["_k"], "endpoint").filter((F.col("label") == state) & (F.col("length") >= needed))
-    made = long.agg((F.min("first") - start).alias("delay"))
-    return made.select("delay", (F.col("delay") + needed - 1).alias("confirmation_delay"), F.col("delay").isNull().alias("censored"))
+    long = runs(inside, [*keys, "_k"], "endpoint").filter((F.col("label") == state) & (F.col("length") >= needed))
+    made = long.groupBy(*keys).agg((F.min("first") - start).alias("delay"))
+    if keys:
+        made = labels.select(*keys).distinct().join(made, list(keys), "left")
+    return made.select(*keys, "delay", (F.col("delay") + needed - 1).alias("confirmation_delay"), F.col("delay").isNull().alias("censored"))
 
 
 def replicate_summary(df: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -243,13 +291,39 @@ def replicate_summary(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 
 def refit_comparison(old: DataFrame, new: DataFrame, old_centers: np.ndarray, new_centers: np.ndarray, key: str = "endpoint") -> dict:
-    """Agreement of two fits on common windows and their centers' displacement."""
+    """Agreement of two fits on common windows (labels of each by ``key``), how many
+    states each uses there, and, for equal K, the mapping of the new centers and their
+    mean displacement."""
     both = old.select(key, F.col("label").alias("old")).join(new.select(key, F.col("label").alias("new")), key)
     row = agreement(both, "old", "new").first()
-    same = len(old_centers) == len(new_centers)
-    out = {"common": row["n"], "ari": row["ari"], "k_changed": not same, "single_state": both.agg(F.count_distinct("new").alias("k")).first()["k"] == 1, "mapping": None, "displacement": None}
-    if same:
+    used = both.agg(F.count_distinct("old").alias("old"), F.count_distinct("new").alias("new")).first()
+    out = {
+        "common": row["n"], "ari": row["ari"], "previous_k": len(old_centers), "current_k": len(new_centers), "k_changed": len(old_centers) != len(new_centers),
+        "previous_occupied": used["old"], "current_occupied": used["new"], "both_single_state": used["old"] == used["new"] == 1, "mapping": None, "displacement": None,
+    }
+    if not out["k_changed"]:
         order = align_centers(old_centers, new_centers)
-        q = [np.sqrt(((np.sort(new_centers[i]) - np.sort(old_centers[j])) ** 2).mean()) for i, j in enumerate(order)]
-        out |= {"mapping": order, "displacement": [float(x) for x in q]}
+        far = [np.sqrt(((np.sort(new_centers[i]) - np.sort(old_centers[j])) ** 2).mean()) for i, j in enumerate(order)]
+        out |= {"mapping": order, "displacement": float(np.mean(far))}
+    return out
+
+
+def partition_diagnostics(labels: DataFrame, k: int, reference: DataFrame | None = None, key: str = "endpoint") -> dict:
+    """Counts, occupied states and temporal summary of one series of labels (by
+    ``key``), and agreement with ``reference`` on the same anchors."""
+    n = {r["label"]: r["n"] for r in occupancy(labels, k).collect()}
+    if any(v not in range(k) for v in n):
+        raise ValueError("labels must lie below k")
+    counts = [n[j] for j in range(k)]
+    if not sum(counts):
+        raise ValueError("there are no labels")
+    time = temporal_summary(labels.withColumn("_k", F.lit(0)), ["_k"], key).drop("_k").first().asDict()
+    occupied = sum(c > 0 for c in counts)
+    out = {"n": sum(counts), "counts": counts, "occupancy": [c / sum(counts) for c in counts], "occupied": occupied, "single_state": occupied == 1, "temporal": time}
+    if reference is not None:
+        both = reference.select(key, F.col("label").alias("a")).join(labels.select(key, F.col("label").alias("b")), key)
+        other = {r["a"]: r["count"] for r in both.groupBy("a").count().collect()}
+        if sum(other.values()) != out["n"] or reference.count() != out["n"]:
+            raise ValueError("the reference must have the same anchors")
+        out |= {"ari": agreement(both, "a", "b").first()["ari"], "reference_counts": [other.get(j, 0) for j in range(k)], "both_single_state": len(other) == 1 and occupied == 1}
     return out

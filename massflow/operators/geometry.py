@@ -87,12 +87,113 @@ def distances(df: DataFrame, centers: np.ndarray, p: int = 2, column: str = "sam
 
 
 def barycenters(df: DataFrame, p: int = 2, by: str = "label", column: str = "sample") -> DataFrame:
-    """(by, center): coordinate means or medians of the sorted members.  Each
-    (label, place) is a group of its own, so a large cluster is spread."""
-    atoms = df.select(by, F.posexplode(F.array_sort(column)).alias("pos", "x"))
-    middle = F.avg("x") if p == 2 else F.median("x")
-    made = atoms.groupBy(by, "pos").agg(middle.alias("x"))
-    return made.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("center"))
+    """(by, center): coordinate means or medians of the sorted members, for a few
+    groups.  Means are grouped by (group, place), so a large group is spread; medians
+    take counts from tasks (``medians``)."""
+    atoms = F.array_sort(column)
+    if p == 2:
+        made = df.select(by, F.posexplode(atoms).alias("pos", "x")).groupBy(by, "pos").agg(F.avg("x").alias("x"))
+        return made.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("center"))
+    groups = [r[0] for r in df.select(by).distinct().orderBy(by).collect()]  # a few
+    kind = df.schema[by].dataType
+    if not groups:
+        return df.sparkSession.createDataFrame([], T.StructType([T.StructField(by, kind), T.StructField("center", ARRAY)]))
+    number = F.coalesce(*[F.when(F.col(by).eqNullSafe(F.lit(g)), F.lit(i)) for i, g in enumerate(groups)]).cast("int")
+    found = medians(df.select(number.alias("g"), atoms.alias("q")), len(groups))
+    rows = [(g, v.tolist()) for g, v in zip(groups, found, strict=True)]
+    return df.sparkSession.createDataFrame(rows, T.StructType([T.StructField(by, kind), T.StructField("center", ARRAY)]))
+
+
+#: Numbers that come to the driver at most when medians are settled.
+SETTLE_NUMBERS = 1_000_000
+
+
+def _ordered_bits(x: np.ndarray) -> np.ndarray:
+    """Unsigned integers in the order of the doubles."""
+    b = np.ascontiguousarray(x + 0.0).view(np.int64)
+    return (b ^ ((b >> 63) & 0x7FFFFFFFFFFFFFFF)).view(np.uint64) ^ np.uint64(1 << 63)
+
+
+def medians(members: DataFrame, k: int, settle: int = SETTLE_NUMBERS) -> np.ndarray:
+    """Exact coordinate medians (k x L; midpoint for even counts; NaN for an empty
+    group) of ``members`` (g from 0 to k - 1, q).
+
+    A radix search over the bits of the doubles: every pass counts, for each group and
+    place, the next eight bits of the numbers that share the bits found so far, until
+    what is left of all groups and places is at most ``settle`` numbers, which come to
+    the driver.  A task sends 256 counts a group and place, whatever the group's size."""
+    sizes = {r["g"]: (r["n"], r["width"]) for r in members.groupBy("g").agg(F.count("*").alias("n"), F.max(F.size("q")).alias("width")).collect()}
+    if not sizes:
+        return np.zeros((k, 0))
+    width = next(iter(sizes.values()))[1]
+    n = np.array([sizes.get(g, (0, 0))[0] for g in range(k)], np.int64)
+    cells = k * width
+    rank = np.repeat(np.maximum(n - 1, 0) // 2, width)
+    left = np.repeat(n, width)
+    prefix, known = np.zeros(cells, np.uint64), 0
+
+    def scan(last: bool):
+        seen, at = prefix.copy(), known
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            counts, above = np.zeros(cells * 256, np.int64), np.full(cells, np.inf)
+            cell_out: list[np.ndarray] = []
+            value_out: list[np.ndarray] = []
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                x = matrix(b.column(1))
+                cell = (b.column(0).to_numpy().astype(np.int64)[:, None] * width + np.arange(width)).ravel()
+                x, bits_ = x.ravel(), _ordered_bits(x).ravel()
+                top = bits_ >> np.uint64(64 - at) if at else np.zeros(len(bits_), np.uint64)
+                same = top == seen[cell]
+                if not last:
+                    digit = (bits_[same] >> np.uint64(56 - at)) & np.uint64(255)
+                    counts += np.bincount(cell[same] * 256 + digit.astype(np.int64), minlength=cells * 256)
+                    continue
+                over = top > seen[cell]
+                np.minimum.at(above, cell[over], x[over])
+                if at < 64:
+                    cell_out.append(cell[same])
+                    value_out.append(x[same])
+            if not last:
+                hit = np.flatnonzero(counts)
+                yield pa.RecordBatch.from_arrays([pa.array(hit), pa.array(counts[hit].astype(float))], names=["at", "v"])
+                return
+            far = np.flatnonzero(np.isfinite(above))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*cell_out, -1 - far]).astype(np.int64)), pa.array(np.concatenate([*value_out, above[far]]))], names=["at", "v"])
+
+        pdf = members.select("g", "q").mapInArrow(run, "at long, v double").toPandas()
+        return pdf["at"].to_numpy(np.int64), pdf["v"].to_numpy(float)
+
+    while left.sum() > settle and known < 64:
+        at, v = scan(False)
+        counts = np.bincount(at, weights=v, minlength=cells * 256).astype(np.int64).reshape(cells, 256)
+        upto = counts.cumsum(1)
+        digit = (upto <= rank[:, None]).sum(1).clip(max=255)
+        rank = rank - np.where(digit > 0, upto[np.arange(cells), np.maximum(digit - 1, 0)], 0)
+        left = counts[np.arange(cells), digit]
+        prefix = (prefix << np.uint64(8)) | digit.astype(np.uint64)
+        known += 8
+    at, v = scan(True)
+    above = np.full(cells, np.inf)
+    np.minimum.at(above, -1 - at[at < 0], v[at < 0])
+    own, value = at[at >= 0], v[at >= 0]
+    order = np.lexsort((value, own))
+    own, value = own[order], value[order]
+    starts = np.searchsorted(own, np.arange(cells))
+    out = np.full(cells, np.nan)
+    signed = prefix ^ np.uint64(1 << 63)
+    back = signed.view(np.int64)
+    exact = (back ^ ((back >> 63) & 0x7FFFFFFFFFFFFFFF)).view(np.float64)  # of the whole 64 bits
+    for c in range(cells):
+        size = int(n[c // width])
+        if not size:
+            continue
+        pick = lambda r, c=c: (exact[c] if known == 64 else value[starts[c] + r]) if r < left[c] else above[c]
+        low = pick(rank[c])
+        out[c] = low if size % 2 else (low + pick(rank[c] + 1)) / 2
+    return out.reshape(k, width)
 
 
 def asset_scales(returns: DataFrame) -> DataFrame:

@@ -113,23 +113,42 @@ def baum_welch(x: np.ndarray, k: int, seed: int, max_iter: int = 200, tol: float
     return Hmm(start[order], trans[np.ix_(order, order)], means[order], covs[order], shift, scale, ll, done, post[-1][order])
 
 
+def _best(x: np.ndarray, k: int, n_init: int, seed: int, full: bool, how: dict) -> Hmm:
+    """The best log likelihood of the converged restarts, else of all."""
+    runs = [baum_welch(x, k, seed + i, full=full, least=1e-6 if full else 1e-8, **how) for i in range(n_init)]
+    return max([m for m in runs if m.converged] or runs, key=lambda m: m.loglik)
+
+
 def fit(spark: SparkSession, x: np.ndarray, k: int, n_init: int = 5, seed: int = 0, full: bool = True, **how) -> Hmm:
-    """The best log likelihood of the converged restarts, else of all; restarts
-    run as tasks.  ``x`` is one bounded training series."""
+    """The best of ``n_init`` restarts, which run as tasks.  ``x`` is one bounded
+    training series; for series that stay on executors see ``fit_each``."""
     x = np.asarray(x, float).reshape(len(x), -1)
-    least = 1e-6 if full else 1e-8
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for s in b["seed"]:
-                m = baum_welch(x, k, int(s), full=full, least=least, **how)
+                m = _best(x, k, 1, int(s), full, how)
                 yield pd.DataFrame({"seed": [s], "ll": [m.loglik], "converged": [m.converged]})
 
     seeds = spark.createDataFrame([(seed + i,) for i in range(n_init)], "seed long").repartition(n_init)
     got = seeds.mapInPandas(run, "seed long, ll double, converged boolean").collect()
     good = [r for r in got if r["converged"]] or got
     best = max(sorted(good, key=lambda r: r["seed"]), key=lambda r: r["ll"])
-    return baum_welch(x, k, int(best["seed"]), full=full, least=least, **how)
+    return _best(x, k, 1, int(best["seed"]), full, how)
+
+
+def fit_each(df: DataFrame, key: str, value: str, k: int, n_init: int = 5, seed: int = 0, full: bool = True, **how) -> DataFrame:
+    """(key, idx, state, posterior): a model for each series, fitted to all of it and
+    filtered causally, inside one task a series (its numbers are one array)."""
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("idx")
+        x = np.array(g[value].tolist(), float).reshape(len(g), -1)
+        post = _best(x, k, n_init, seed, full, how).filter(x)
+        return g[[key, "idx"]].assign(state=post.argmax(1).astype("int32"), posterior=list(post))
+
+    return df.select(key, "idx", value).groupBy(key).applyInPandas(run, f"`{key}` {kind}, idx long, state int, posterior array<double>")
 
 
 def causal_filter(df: DataFrame, model: Hmm, keys: list[str], value: str, initial: np.ndarray | None = None) -> DataFrame:

@@ -2,8 +2,8 @@
 
 A window's sorted atoms are its coordinates, so W2 clustering is Euclidean on
 them (inertia divided by L) and W1 uses coordinate medians.  Each iteration is
-one pass over the stored coordinates: tasks send k partial sums (W2), or medians
-are grouped by cluster and place (W1); centers live on the driver.
+one pass over the stored coordinates, in which tasks send k partial sums (W2), or a
+few passes that send counts for the medians (W1); centers live on the driver.
 Random choices compare hashes of (seed, id), so they depend on rows alone."""
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from massflow.operators.geometry import barycenters, distances, list_column, matrix, power_cost
+from massflow.operators.geometry import ARRAY, T, barycenters, distances, list_column, matrix, medians, panel_features, power_cost, with_arrays
 
 
 @dataclass
@@ -41,8 +41,9 @@ def coordinates(df: DataFrame, id_col: str, column: str = "sample", ordered: boo
 
 
 def _unit(seed: int):
-    """A number in (0, 1) of each row, by its id."""
-    return (F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(2**53 - 1)) + 1) / F.lit(float(2**53))
+    """A number in (0, 1) of each row: 52 bits of the MD5 of seed and id."""
+    h = F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string")).cast("binary"))
+    return (F.conv(F.substring(h, 1, 13), 16, 10).cast("double") + 0.5) / F.lit(2.0**52)
 
 
 def _pass(q: DataFrame, centers: np.ndarray, old: np.ndarray | None, p: int) -> tuple[np.ndarray, np.ndarray, float, int]:
@@ -141,9 +142,8 @@ def fit(
                 new = np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], centers)
             else:
                 labelled = distances(q, centers, p, "q", ordered=False).select("label", "q")
-                new = centers.copy()
-                for r in barycenters(labelled, 1, "label", "q").collect():  # k rows
-                    new[r["label"]] = r["center"]
+                middle = medians(labelled.select(F.col("label").alias("g"), "q"), k)
+                new = np.where(np.isnan(middle), centers, middle)
             if (counts == 0).any():
                 new = _reseed(q, new, counts, p)
             older, old, centers = old, centers, new
@@ -159,42 +159,73 @@ def fit(
     return min(good or found, key=lambda f: f.objective)
 
 
-def choose_k(q: DataFrame, validation: DataFrame, ks: list[int], p: int = 2, sample: int = 800, **how) -> tuple[int, dict[int, float]]:
-    """The K of highest validation silhouette (smaller on ties); the silhouette
-    takes at most ``sample`` rows, by hash."""
+def choose_k(q: DataFrame, validation: DataFrame, ks: list[int], p: int = 2, sample: int = 800, n_init: int = 20, **how) -> tuple[int, dict[int, float], dict[int, Fit]]:
+    """The K of highest validation silhouette (smaller on ties), the silhouettes and
+    the fits, which say whether they converged; the silhouette takes at most
+    ``sample`` rows, by hash."""
     from massflow.operators.evaluate import silhouette
 
     rows = validation.orderBy(_unit(0), "id").limit(sample)
-    scores = {}
+    scores, fits = {}, {}
     for k in sorted(ks):
-        labelled = distances(rows, fit(q, k, p, **how).centers, p, "q", ordered=False).select("id", "label", F.col("q").alias("sample"))
+        fits[k] = fit(q, k, p, n_init=n_init, **how)
+        labelled = distances(rows, fits[k].centers, p, "q", ordered=False).select("id", "label", F.col("q").alias("sample"))
         value = silhouette(labelled)
         if value is not None:
             scores[k] = value
     if not scores:
         raise ValueError("no K gives two clusters")
-    return max(sorted(scores), key=lambda k: scores[k]), scores
+    return max(sorted(scores), key=lambda k: scores[k]), scores, fits
+
+
+#: Numbers of two rows closer than this, in itself and in proportion, are equal.
+NEAR = 1e-12
+
+
+def distinct_rows(df: DataFrame, id_col: str, column: str, limit: int) -> int:
+    """How many rows differ by more than rounding, up to ``limit``: each pass finds
+    the row of least id that is near none of those found."""
+    far, found = df.select(F.col(id_col).alias("id"), F.col(column).alias("q")), 0
+    while found < limit:
+        row = far.agg(F.min_by("q", "id").alias("q")).first()
+        if row["q"] is None:
+            break
+        found += 1
+        mine = F.array(*[F.lit(float(v)) for v in row["q"]])
+        far = far.filter(F.exists(F.zip_with("q", mine, lambda a, b: F.abs(a - b) > NEAR + NEAR * F.abs(b)), lambda x: x))
+    return found
 
 
 class FeatureKMeans:
     """Standardised features, k-means on them, and the mean sorted atoms of each
-    occupied label as prototypes."""
+    label as prototypes; k is reduced to the number of distinct rows.  Features of
+    ``scaled`` = False are taken as they are."""
 
-    def __init__(self, k: int, n_init: int = 5, seed: int = 0):
-        self.k, self.n_init, self.seed = k, n_init, seed
+    def __init__(self, k: int, n_init: int = 20, seed: int = 0, max_iter: int = 300, scaled: bool = True):
+        self.k, self.n_init, self.seed, self.max_iter, self.scaled = k, n_init, seed, max_iter, scaled
 
-    def fit(self, df: DataFrame, id_col: str, features: str = "features", sample: str = "sample") -> FeatureKMeans:
+    def _standards(self, df: DataFrame, id_col: str, features: str) -> int:
+        """Sets mean and scale; returns the clusters to make."""
+        if len(df.select(id_col).limit(self.k).collect()) < self.k:
+            raise ValueError("there are fewer rows than clusters")
         atoms = df.select(F.posexplode(features).alias("pos", "x")).groupBy("pos").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s")).orderBy("pos").collect()
-        self.mean = np.array([r["m"] for r in atoms])
-        self.scale = np.array([r["s"] if r["s"] > 1e-12 else 1.0 for r in atoms])
+        self.mean = np.array([r["m"] if self.scaled else 0.0 for r in atoms])
+        self.scale = np.array([r["s"] if self.scaled and r["s"] > NEAR else 1.0 for r in atoms])
+        return distinct_rows(df, id_col, features, self.k)
+
+    def _prototypes(self, df: DataFrame, labels: DataFrame, id_col: str, sample: str) -> None:
+        own = df.select(F.col(id_col).cast("long").alias("id"), sample).join(labels, "id")
+        self.prototypes = np.array([r["center"] for r in barycenters(own, 2, "label", sample).orderBy("label").collect()])
+
+    def fit(self, df: DataFrame, id_col: str, features: str = "features", sample: str = "sample") -> FeatureKMeans:
+        k = self._standards(df, id_col, features)
         q = self._scaled(df, id_col, features).cache()
-        distinct = q.select("q").distinct().limit(self.k).count()
-        got = fit(q, min(self.k, distinct), 2, n_init=self.n_init, seed=self.seed)
+        got = fit(q, k, 2, n_init=self.n_init, max_iter=self.max_iter, seed=self.seed)
         labels = distances(q, got.centers, 2, "q", ordered=False).select("id", "label")
-        kept = sorted(r["label"] for r in labels.select("label").distinct().collect())
-        self.centers = got.centers[kept]
-        own = df.select(F.col(id_col).cast("long").alias("id"), sample).join(distances(q, self.centers, 2, "q", ordered=False).select("id", "label"), "id")
-        self.prototypes = np.array([r["center"] for r in barycenters(own, 2, "label", sample).orderBy("label").collect()])
+        if labels.select("label").distinct().count() != k:
+            raise ValueError("a cluster is empty")
+        self.centers, self.converged = got.centers, got.converged
+        self._prototypes(df, labels, id_col, sample)
         q.unpersist()
         return self
 
@@ -204,4 +235,41 @@ class FeatureKMeans:
         return df.select(F.col(id_col).cast("long").alias("id"), z.alias("q"))
 
     def predict(self, df: DataFrame, id_col: str, features: str = "features") -> DataFrame:
-        return distances(self._scaled(df, id_col, features), np.array(self.centers), 2, "q", ordered=False).select("id", "label")
+        return distances(self._scaled(df, id_col, features), np.array(self.centers), 2, "q", ordered=False).select("id", "label", "distance")
+
+
+class PanelKMeans(FeatureKMeans):
+    """k-means on marginal, covariance or correlation features of joint windows, after
+    frozen asset scales; marginal features are not standardised."""
+
+    def __init__(self, kind: str, k: int, scales: np.ndarray | None = None, n_init: int = 20, seed: int = 0, max_iter: int = 300):
+        if kind not in ("marginal", "covariance", "correlation"):
+            raise ValueError(f"unknown feature kind: {kind}")
+        super().__init__(k, n_init, seed, max_iter, kind != "marginal")
+        self.kind, self.scales = kind, scales
+
+    def _features(self, wins: DataFrame, id_col: str) -> DataFrame:
+        scales, shape, kind = np.asarray(self.scales, float), tuple(self.shape), self.kind
+
+        def fn(x: np.ndarray):
+            if x.shape[1] != shape[0] * shape[1]:
+                raise ValueError("the panel does not have the model's shape")
+            return [list_column(panel_features(x.reshape(len(x), *shape) / scales, kind))]
+
+        return with_arrays(wins.select(id_col, "sample"), "sample", [T.StructField("features", ARRAY)], fn, [id_col], inner=2)
+
+    def fit(self, wins: DataFrame, id_col: str = "endpoint") -> PanelKMeans:
+        row = wins.select(F.size("sample").alias("length"), F.size(F.col("sample")[0]).alias("dims")).first()
+        if row is None:
+            raise ValueError("there are no windows")
+        self.shape = [row["length"], row["dims"]]
+        self.scales = np.ones(row["dims"]) if self.scales is None else np.asarray(self.scales, float)
+        if self.scales.shape != (row["dims"],) or not np.isfinite(self.scales).all() or (self.scales <= 0).any():
+            raise ValueError("asset scales must be positive")
+        f = self._features(wins, id_col).withColumn("sample", F.col("features")).cache()
+        super().fit(f, id_col)
+        f.unpersist()
+        return self
+
+    def predict(self, wins: DataFrame, id_col: str = "endpoint") -> DataFrame:
+        return super().predict(self._features(wins, id_col), id_col)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import re
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -68,10 +68,42 @@ def risk_origins(rows: DataFrame, start: str, end: str, calibration_end: str, wh
     return marked.filter("reason = 'scored'").drop("reason"), marked.groupBy("reason").agg(F.count("*").alias("n"))
 
 
-def check_contiguous(rows: DataFrame) -> DataFrame:
-    """Rows that break the order: prices that do not chain, or an availability
-    that does not increase or precedes its session (empty if all is well)."""
-    w = Window.partitionBy("symbol").orderBy("idx")
-    made = rows.withColumn("_end", F.lag("price_end").over(w)).withColumn("_at", F.lag("available_at").over(w))
-    bad = (F.col("_end") != F.col("price_start")) | (F.col("_at") >= F.col("available_at")) | (F.col("available_at") < F.col("price_end").cast("timestamp"))
-    return made.filter(bad).drop("_end", "_at")
+def moment(text: str) -> dt.datetime:
+    """An ISO moment with its time zone, in UTC."""
+    if not isinstance(text, str):
+        raise ValueError("a moment is written as ISO text")
+    at = dt.datetime.fromisoformat(text)
+    if at.tzinfo is None:
+        raise ValueError("a moment must name its time zone")
+    return at.astimezone(dt.UTC)
+
+
+def check_contiguous(rows: DataFrame, calendar: DataFrame | None = None) -> DataFrame:
+    """Rows that break a rule, with ``fault``, the first one broken (empty if all is
+    well): ``gap`` (no row at the idx before), ``chain`` (prices do not start where
+    those before ended), ``session`` (not the calendar's next session), ``order``
+    (available no later than the row before) or ``early`` (available before its
+    session's close; without a calendar, before the day)."""
+    from massflow.operators.windows import before
+
+    made = before(rows, ["symbol"], {"_end": "price_end", "_at": "available_at"})
+    made = made.join(rows.groupBy("symbol").agg(F.min("idx").alias("_first")), "symbol")
+    close, next_session = F.col("price_end").cast("timestamp"), F.lit(True)
+    if calendar is not None:
+        days = calendar.select(F.col("session_date").alias("_day"), F.col("close_utc").alias("_close"), F.col("session_no").alias("_no"))
+        starts = calendar.select(F.col("session_date").alias("_from"), F.col("session_no").alias("_from_no"))
+        made = made.join(F.broadcast(days), made["price_end"] == F.col("_day"), "left").join(F.broadcast(starts), made["price_start"] == F.col("_from"), "left")  # a calendar's days
+        close, next_session = F.col("_close"), F.coalesce(F.col("_no") == F.col("_from_no") + 1, F.lit(False))
+    later = F.col("idx") > F.col("_first")
+    fault = (
+        F.when(later & F.col("_end").isNull(), "gap").when(later & (F.col("_end") != F.col("price_start")), "chain").when(~next_session, "session")
+        .when(later & (F.col("_at") >= F.col("available_at")), "order").when(F.col("available_at") < close, "early")
+    )
+    return made.withColumn("fault", fault).filter("fault IS NOT NULL").select(*rows.columns, "fault")
+
+
+def check_prefix(origins: DataFrame, keys: list[str], scored: str = "scored") -> DataFrame:
+    """Keys whose scored origins are not the first ones in idx order (empty if all
+    is well)."""
+    ends = origins.groupBy(*keys).agg(F.max(F.when(F.col(scored), F.col("idx"))).alias("last"), F.min(F.when(~F.col(scored), F.col("idx"))).alias("open"))
+    return ends.filter("last > open")

@@ -9,8 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BLOCK = 8192
 
@@ -138,12 +140,21 @@ def non_overlapping(wins: DataFrame, length: int, keys: Sequence[str] = ("symbol
     ends = before(wins.select(*keys, "endpoint"), keys, {"_prior": "endpoint"}, "endpoint", stride)
     ends = running(ends, keys, {"_run": F.col("_prior").isNull().cast("long")}, "endpoint")
     spans = ends.groupBy(*keys, "_run").agg(F.min("endpoint").alias("lo"), F.max("endpoint").alias("hi"))
-    spans = spans.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("_s"))
     step = -(-(length + 1) // stride) * stride
-    fold = f"""aggregate(_s, struct(cast(NULL AS bigint) AS last, cast(array() AS array<struct<lo: bigint, hi: bigint>>) AS out), (a, x) ->
-        transform(array(IF(a.last IS NULL OR x.lo > a.last + {length}, x.lo, x.lo + cast(ceil((a.last + {length + 1} - x.lo) / {stride}) AS bigint) * {stride})), f ->
-            IF(f > x.hi, a, struct(f + (x.hi - f) div {step} * {step} AS last, concat(a.out, array(struct(f AS lo, x.hi AS hi))) AS out)))[0], a -> a.out)"""
-    picked = spans.select(*keys, F.explode(F.expr(fold)).alias("p")).select(*keys, F.explode(F.expr(f"sequence(p.lo, p.hi, {step}L)")).alias("endpoint"))
+    kinds = T.StructType([*[spans.schema[k] for k in keys], T.StructField("_from", T.LongType()), T.StructField("_to", T.LongType())])
+
+    def choose(g: pd.DataFrame) -> pd.DataFrame:
+        last, out = None, []
+        for lo, hi in sorted(zip(g["lo"].tolist(), g["hi"].tolist(), strict=True)):
+            first = lo if last is None or lo > last + length else lo + -(-(last + length + 1 - lo) // stride) * stride
+            if first <= hi:
+                last = first + (hi - first) // step * step
+                out.append((first, last))
+        head = {k: g[k].iloc[0] for k in keys}
+        return pd.DataFrame([{**head, "_from": a, "_to": b} for a, b in out], columns=kinds.fieldNames())
+
+    picked = spans.groupBy(*keys).applyInPandas(choose, kinds)
+    picked = picked.select(*keys, F.explode(F.sequence("_from", "_to", F.lit(step).cast("long"))).alias("endpoint"))
     return wins.join(picked, [*keys, "endpoint"])
 
 

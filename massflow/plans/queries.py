@@ -126,7 +126,38 @@ def ingest_crop(spark, d):
     return ingest.crop(P.weekly_returns(spark, d), "1996-01-01", "1996-12-31").select("symbol", "idx", "session_date")
 
 
-@query("session_calendar")
+def _nth_sql(month: int, weekday: int, n: int) -> str:
+    """The n-th (last: -1) weekday (0: Monday) of a month of year y, as DuckDB SQL."""
+    if n > 0:
+        first = f"make_date(y, {month}, 1)"
+        return f"({first} + ((({weekday} - (isodow({first}) - 1)) % 7 + 7) % 7 + {7 * (n - 1)})::INTEGER)"
+    last = f"(make_date(y, {month + 1}, 1) - 1)"
+    return f"({last} - (((isodow({last}) - 1 - {weekday}) % 7 + 7) % 7)::INTEGER)"
+
+
+def _observed_sql(d: str) -> str:
+    return f"({d} + (CASE isodow({d}) WHEN 6 THEN -1 WHEN 7 THEN 1 ELSE 0 END))"
+
+
+_CLOSED = [
+    (_nth_sql(1, 0, 3), "y >= 1998"), (_nth_sql(2, 0, 3), "true"), (_nth_sql(5, 0, -1), "true"), (_observed_sql("make_date(y, 6, 19)"), "y >= 2022"), (_observed_sql("make_date(y, 7, 4)"), "true"),
+    (_nth_sql(9, 0, 1), "true"), (_nth_sql(11, 3, 4), "true"), (_observed_sql("make_date(y, 12, 25)"), "true"), (_observed_sql("make_date(y, 1, 1)"), "isodow(make_date(y, 1, 1)) <> 6"), ("easter - 2", "true"),
+]
+#: Good Friday by the Gregorian computus, one quantity a step.
+_EASTER = """e1 AS (SELECT y, y % 19 AS a, y // 100 AS b, y % 100 AS c FROM range(1993, 2027) t(y)),
+e2 AS (SELECT *, (19 * a + b - b // 4 - (b - (b + 8) // 25 + 1) // 3 + 15) % 30 AS h FROM e1),
+e3 AS (SELECT *, (32 + 2 * (b % 4) + 2 * (c // 4) - h - c % 4) % 7 AS k FROM e2),
+e4 AS (SELECT *, (a + 11 * h + 22 * k) // 451 AS m FROM e3),
+years AS (SELECT y::INTEGER AS y, make_date(y::INTEGER, ((h + k - 7 * m + 114) // 31)::INTEGER, ((h + k - 7 * m + 114) % 31 + 1)::INTEGER) AS easter FROM e4)"""
+_CALENDAR = f"""WITH {_EASTER}, closed AS ({" UNION ".join(f"SELECT {d} AS d FROM years WHERE {ok}" for d, ok in _CLOSED)} UNION SELECT unnest([{", ".join(f"DATE '{x}'" for x in calendar.SINGLE_CLOSURES)}])),
+days AS (SELECT t.d::DATE AS d, year(t.d)::INTEGER AS y FROM generate_series(TIMESTAMP '1993-01-01', TIMESTAMP '2026-12-31', INTERVAL 1 DAY) t(d)),
+open AS (SELECT d, y, d = {_nth_sql(11, 3, 4)} + 1 OR (month(d) = 12 AND day(d) = 24 AND isodow(d) < 5) OR (month(d) = 7 AND day(d) = 3 AND isodow(d) < 5) AS early,
+  CASE WHEN y >= 2007 THEN d >= {_nth_sql(3, 6, 2)} AND d < {_nth_sql(11, 6, 1)} ELSE d >= {_nth_sql(4, 6, 1)} AND d < {_nth_sql(10, 6, -1)} END AS summer
+  FROM days WHERE isodow(d) < 6 AND d NOT IN (SELECT d FROM closed))
+SELECT row_number() OVER (ORDER BY d) - 1 AS session_no, d AS session_date, d::TIMESTAMP + to_hours((CASE WHEN early THEN 13 ELSE 16 END + CASE WHEN summer THEN 4 ELSE 5 END)::INTEGER) AS close_utc FROM open"""
+
+
+@query("session_calendar", _CALENDAR)
 def session_calendar(spark, d):
     return calendar.new_york(spark, "1993-01-01", "2026-12-31")
 
@@ -393,7 +424,7 @@ def assign_weekly(spark, d):
 
 @query("novelty_percentile", BASE + f", cal2 AS (SELECT nearest AS c FROM lab WHERE session_date <= DATE '{TRAIN}') SELECT symbol, endpoint, {r('(SELECT count(*) FROM cal2 WHERE c <= nearest) / (SELECT count(*) FROM cal2)')} AS percentile, (SELECT count(*) FROM cal2 WHERE c <= nearest) / (SELECT count(*) FROM cal2) >= 0.95 AS ood FROM lab")
 def novelty_percentile(spark, d):
-    got = P.labelled(spark, d).select("symbol", "endpoint", "session_date", "nearest").cache()
+    got = P.labelled(spark, d).select("symbol", "endpoint", "session_date", "nearest")
     made = evaluate.percentiles(got, got.filter(F.col("session_date") <= F.lit(TRAIN).cast("date")), 0.95)
     return made.select("symbol", "endpoint", rnd("percentile").alias("percentile"), "ood")
 
@@ -468,7 +499,7 @@ def _kernel(p, q, h=BANDWIDTH):
 
 @query("mmd_pairs", PAIRS + f" SELECT id, {r('greatest(0, ' + _kernel('s', 's') + ' + ' + _kernel('t', 't') + ' - 2 * ' + _kernel('s', 't') + ')')} AS mmd2 FROM p")
 def mmd_pairs(spark, d):
-    return sample_pairs(spark, d).select("id", rnd(evaluate.mmd_of(F.col("sample"), F.col("other"), BANDWIDTH)).alias("mmd2"))
+    return evaluate.with_mmd(sample_pairs(spark, d).select("id", "sample", "other"), "sample", "other", BANDWIDTH).select("id", rnd("mmd2").alias("mmd2"))
 
 
 @query("mmd_adjacent", BASE.replace("WITH ", "WITH RECURSIVE ", 1) + f""", pick(symbol, endpoint) AS (SELECT symbol, min(endpoint) FROM lab GROUP BY symbol
@@ -495,15 +526,16 @@ def state_profile(spark, d):
     return got.select("label", "n", rnd("sd").alias("sd"), rnd("mean").alias("mean"))
 
 
-@query("detection_delay", BASE + "SELECT min(endpoint) FILTER (WHERE endpoint >= 100 AND endpoint < 300 AND label = 1) - 100 AS delay, min(endpoint) FILTER (WHERE endpoint >= 100 AND endpoint < 300 AND label = 1) IS NULL AS censored FROM lab WHERE symbol = 'N'")
+@query("detection_delay", BASE + "SELECT symbol, min(endpoint) FILTER (WHERE endpoint >= 100 AND endpoint < 300 AND label = 1) - 100 AS delay, min(endpoint) FILTER (WHERE endpoint >= 100 AND endpoint < 300 AND label = 1) IS NULL AS censored FROM lab GROUP BY symbol")
 def detection_delay(spark, d):
-    return evaluate.detection_delay(P.labelled(spark, d).filter("symbol = 'N'"), 100, 1, 300)
+    return evaluate.detection_delay(P.labelled(spark, d), 100, 1, 300, ["symbol"])
 
 
-@query("episode_delay", BASE + """, l2 AS (SELECT endpoint, label FROM lab WHERE symbol = 'N' AND endpoint >= 50 AND endpoint < 350), g AS (SELECT *, endpoint - row_number() OVER (PARTITION BY label ORDER BY endpoint) AS g FROM l2),
-  h AS (SELECT min(endpoint) AS f FROM g WHERE label = 2 GROUP BY g HAVING count(*) >= 5) SELECT min(f) - 50 AS delay, min(f) - 50 + 4 AS confirmation_delay, min(f) IS NULL AS censored FROM h""")
+@query("episode_delay", BASE + """, l2 AS (SELECT symbol, endpoint, label FROM lab WHERE endpoint >= 50 AND endpoint < 350), g AS (SELECT *, endpoint - row_number() OVER (PARTITION BY symbol, label ORDER BY endpoint) AS g FROM l2),
+  h AS (SELECT symbol, min(endpoint) AS f FROM g WHERE label = 2 GROUP BY symbol, g HAVING count(*) >= 5)
+  SELECT symbol, min(f) - 50 AS delay, min(f) - 50 + 4 AS confirmation_delay, min(f) IS NULL AS censored FROM (SELECT DISTINCT symbol FROM lab) LEFT JOIN h USING (symbol) GROUP BY symbol""")
 def episode_delay(spark, d):
-    return evaluate.episode_delay(P.labelled(spark, d).filter("symbol = 'N'"), 2, 50, 350)
+    return evaluate.episode_delay(P.labelled(spark, d), 2, 50, 350, keys=["symbol"])
 
 
 @query("replicate_summary", f"SELECT event_type, count(value) AS n, {r('avg(value)')} AS mean, min(value) AS least, max(value) AS most, {r('stddev_samp(value) / sqrt(count(value))')} AS standard_error FROM events GROUP BY event_type")
@@ -513,79 +545,142 @@ def replicate_summary(spark, d):
 
 
 # --- estimators -----------------------------------------------------------
-def _lloyd_sql(steps: int) -> str:
-    """Lloyd from the vectors of id 0 to 3, unrolled."""
-    parts = [SAMPLES, "c0 AS (SELECT id AS k, q AS c FROM e WHERE id < 4)"]
+_UNIT = lambda seed: f"((('0x' || substr(md5('{seed}:' || id), 1, 13))::BIGINT + 0.5) / {2.0**52!r}::DOUBLE)"
+
+
+def _lloyd_sql(e: str, k: int, steps: int, p: int = 2, seed: int | None = None) -> list[str]:
+    """Lloyd on the table ``e`` (id, q), unrolled: from the rows of id below k, or by
+    k-means++ draws of a seed; the last table is a{steps} (id, q, k, d)."""
+    cost = "list_distance(q, c) ** 2 / len(q)" if p == 2 else "list_avg([abs(q[i] - c[i]) FOR i IN range(1, len(q) + 1)])"
+    if seed is None:
+        parts = [f"c0 AS (SELECT id AS k, q AS c FROM {e} WHERE id < {k})"]
+    else:
+        parts = [f"s0 AS (SELECT 0 AS k, arg_min(q, {{'u': {_UNIT(seed)}, 'id': id}}) AS c FROM {e})"]
+        for i in range(1, k):
+            far = f"SELECT id, any_value(q) AS q, min({cost}) AS d FROM {e}, s{i - 1} GROUP BY id"
+            parts.append(f"s{i} AS (SELECT * FROM s{i - 1} UNION ALL SELECT {i}, arg_min(q, {{'u': -ln({_UNIT(seed * 1000 + i)}) / d, 'id': id}}) FROM ({far}) WHERE d > 0)")
+        parts.append(f"c0 AS (SELECT * FROM s{k - 1})")
     for t in range(steps + 1):
-        parts.append(f"a{t} AS (SELECT id, q, k, d FROM (SELECT id, q, k, list_distance(q, c) ** 2 / len(q) AS d, row_number() OVER (PARTITION BY id ORDER BY list_distance(q, c), k) AS n FROM e, c{t}) WHERE n = 1)")
+        parts.append(f"a{t} AS MATERIALIZED (SELECT id, q, k, d FROM (SELECT id, q, k, {cost} AS d, row_number() OVER (PARTITION BY id ORDER BY {cost}, k) AS n FROM {e}, c{t}) WHERE n = 1)")
         if t < steps:
-            parts.append(f"c{t + 1} AS (SELECT k, list(x ORDER BY i) AS c FROM (SELECT k, i, avg(q[i]) AS x FROM (SELECT k, q, unnest(range(1, len(q) + 1)) AS i FROM a{t}) GROUP BY k, i) GROUP BY k)")
-    return f"WITH {', '.join(parts)} SELECT k AS label, count(*) AS n, {r('sum(d)')} AS inertia FROM a{steps} GROUP BY k"
+            parts.append(f"c{t + 1} AS (SELECT k, list(x ORDER BY i) AS c FROM (SELECT k, i, {'avg' if p == 2 else 'median'}(q[i]) AS x FROM (SELECT k, q, unnest(range(1, len(q) + 1)) AS i FROM a{t}) GROUP BY k, i) GROUP BY k)")
+    return parts
 
 
-@query("lloyd_explicit", _lloyd_sql(3))
+@query("lloyd_explicit", f"WITH {', '.join([SAMPLES, *_lloyd_sql('e', 4, 3)])} SELECT k AS label, count(*) AS n, {r('sum(d)')} AS inertia FROM a3 GROUP BY k")
 def lloyd_explicit(spark, d):
     e = P.samples(spark, d)
     q = lloyd.coordinates(e, "id").cache()
     start = np.array([x["q"] for x in q.filter("id < 4").orderBy("id").collect()])
     got = lloyd.fit(q, 4, 2, init=start, max_iter=3)
+    q.unpersist()
     made = got.transform(e.select("id", "sample")).groupBy("label").agg(F.count("*").alias("n"), rnd(F.sum(F.col("nearest") * F.col("nearest"))).alias("inertia"))
     return made.select(F.col("label").cast("long").alias("label"), "n", "inertia")
 
 
-@query("lloyd_kmeans_pp")
+#: An id of a window: its endpoint and three hex digits of its symbol's MD5.
+_WINDOW_ID = "endpoint * 4096 + ('0x' || substr(md5(symbol), 1, 3))::BIGINT"
+
+
+def with_id(wins: DataFrame) -> DataFrame:
+    code = F.conv(F.substring(F.md5(F.col("symbol").cast("binary")), 1, 3), 16, 10).cast("long")
+    return wins.withColumn("id", F.col("endpoint") * 4096 + code)
+
+
+@query("lloyd_kmeans_pp", f"""WITH {TICK}, {win(63, 1, 'tick')}, e AS (SELECT {_WINDOW_ID} AS id, symbol, q FROM win), {', '.join(_lloyd_sql('e', 3, 4, seed=3))}
+  SELECT symbol, k::INTEGER AS label, count(*) AS n, {r('sum(sqrt(d))', 3)} AS distance FROM a4 JOIN (SELECT id, symbol FROM e) USING (id) GROUP BY symbol, k""")
 def lloyd_kmeans_pp(spark, d):
-    w = windows.windows(P.ticks(spark, d), 63, 7).withColumn("id", F.xxhash64("symbol", "endpoint"))
+    w = with_id(windows.windows(P.ticks(spark, d), 63))
     q = lloyd.coordinates(w, "id").cache()
-    got = lloyd.fit(q, 3, 2, n_init=1, max_iter=20, tol=1e-6, seed=3)
-    return got.transform(w.select("symbol", "endpoint", "sample")).groupBy("symbol", "label").agg(F.count("*").alias("n"), rnd(F.sum("nearest"), 4).alias("distance"))
+    got = lloyd.fit(q, 3, 2, n_init=1, max_iter=4, seed=3)
+    q.unpersist()
+    return got.transform(w.select("symbol", "endpoint", "sample")).groupBy("symbol", "label").agg(F.count("*").alias("n"), rnd(F.sum("nearest"), 3).alias("distance"))
 
 
-@query("lloyd_w1")
+@query("lloyd_w1", f"WITH {', '.join([SAMPLES, *_lloyd_sql('e', 3, 4, 1)])} SELECT id, truth, k::INTEGER AS label, {r('d')} AS nearest FROM a4 JOIN (SELECT id, truth FROM e) USING (id)")
 def lloyd_w1(spark, d):
     e = P.samples(spark, d)
-    got = lloyd.fit(lloyd.coordinates(e, "id").cache(), 3, 1, init="random", n_init=1, max_iter=10, prefer_converged=True)
+    q = lloyd.coordinates(e, "id").cache()
+    start = np.array([x["q"] for x in q.filter("id < 3").orderBy("id").collect()])
+    got = lloyd.fit(q, 3, 1, init=start, max_iter=4)
+    q.unpersist()
     return got.transform(e.select("id", "truth", "sample")).select("id", "truth", "label", rnd("nearest").alias("nearest"))
 
 
 @query("choose_k")
 def choose_k(spark, d):
     q = lloyd.coordinates(P.samples(spark, d), "id").cache()
-    best, scores = lloyd.choose_k(q.filter("id % 2 = 0"), q.filter("id % 2 = 1"), [2, 3, 4], max_iter=15)
-    return spark.createDataFrame([(k, float(v), k == best) for k, v in scores.items()], "k int, silhouette double, chosen boolean")
+    best, scores, fits = lloyd.choose_k(q.filter("id % 2 = 0"), q.filter("id % 2 = 1"), [2, 3, 4], n_init=5)
+    q.unpersist()
+    return spark.createDataFrame([(k, float(v), fits[k].converged, k == best) for k, v in scores.items()], "k int, silhouette double, converged boolean, chosen boolean")
+
 
+_RICH = f"[m, s, list_avg([((v - m) / s) ** 3 FOR v IN sample]), list_avg([((v - m) / s) ** 4 FOR v IN sample]) - 3, {', '.join(_Q(p) for p in D.QUANTILES)}, sqrt(list_avg([least(v, 0) ** 2 FOR v IN sample])), {drawdown_sql('sample')}]"
 
-@query("feature_kmeans")
+
+def _scaled_sql(source: str) -> str:
+    """Standardised features e (id, q) of ``source`` (id, f)."""
+    return f"""ft AS (SELECT id, unnest(f) AS x, unnest(range(len(f))) AS i FROM {source}), st AS (SELECT i, avg(x) AS m, stddev_pop(x) AS s FROM ft GROUP BY i),
+e AS (SELECT id, list((x - m) / CASE WHEN s > 1e-12::DOUBLE THEN s ELSE 1 END ORDER BY i) AS q FROM ft JOIN st USING (i) GROUP BY id)"""
+
+
+STEPS_OF_FIT = 12
+
+
+@query("feature_kmeans", f"""WITH {RET}, {win()}, mm AS (SELECT symbol, endpoint, sample, q, {MEAN.format('sample')} AS m, {SD.format('sample')} AS s FROM win),
+  fs AS (SELECT {_WINDOW_ID} AS id, symbol, endpoint, {_RICH} AS f FROM mm), {_scaled_sql('fs')}, {', '.join(_lloyd_sql('e', 3, STEPS_OF_FIT, seed=1))}
+  SELECT symbol, endpoint, k::INTEGER AS label, {r('sqrt(d)')} AS nearest FROM a{STEPS_OF_FIT} JOIN (SELECT id, symbol, endpoint FROM fs) USING (id)""")
 def feature_kmeans(spark, d):
-    w = P.weekly_windows(spark, d).withColumn("id", F.xxhash64("symbol", "endpoint")).withColumn("features", D.features(F.col("sample"), "rich")).cache()
-    got = lloyd.FeatureKMeans(3, n_init=1).fit(w, "id").predict(w, "id")
-    return w.select("id", "symbol", "endpoint").join(got, "id").drop("id")
+    w = with_id(P.weekly_windows(spark, d)).withColumn("features", D.features(F.col("sample"), "rich")).cache()
+    got = lloyd.FeatureKMeans(3, n_init=1, seed=1, max_iter=STEPS_OF_FIT).fit(w, "id").predict(w, "id")
+    return w.select("id", "symbol", "endpoint").join(got, "id").select("symbol", "endpoint", "label", rnd(F.array_min("distance")).alias("nearest"))
 
 
 @query("feature_gmm")
 def feature_gmm(spark, d):
-    w = P.weekly_windows(spark, d).withColumn("id", F.xxhash64("symbol", "endpoint")).withColumn("features", D.features(F.col("sample"), "moments")).cache()
-    got = mixture.FeatureGmm(3, n_init=1).fit(w, "id").predict(w, "id")
+    w = with_id(P.weekly_windows(spark, d)).withColumn("features", D.features(F.col("sample"), "moments")).cache()
+    got = mixture.FeatureGmm(3, n_init=2).fit(w, "id").predict(w, "id")
     return w.select("id", "symbol", "endpoint").join(got, "id").select("symbol", "endpoint", "label")
 
 
-@query("panel_kmeans")
+@query("panel_kmeans", f"""WITH {RET}, {JWIN}, fs AS (SELECT endpoint AS id, [{', '.join(_cov(i, j) for i in (1, 2, 3) for j in (1, 2, 3) if i <= j)}] AS f FROM jw),
+  {_scaled_sql('fs')}, {', '.join(_lloyd_sql('e', 3, STEPS_OF_FIT, seed=1))} SELECT id AS endpoint, k::INTEGER AS label, {r('sqrt(d)')} AS nearest FROM a{STEPS_OF_FIT}""")
 def panel_kmeans(spark, d):
-    w = windows.joint_windows(P.weekly_panel(spark, d), L)
-    f = geometry.with_arrays(w, "sample", [geometry.T.StructField("features", geometry.ARRAY)], lambda x: [geometry.list_column(geometry.panel_features(x.reshape(len(x), L, 3), "covariance"))], ["endpoint"], inner=2)
-    f = f.withColumn("sample", F.col("features")).cache()
-    return lloyd.FeatureKMeans(3, n_init=1).fit(f, "endpoint").predict(f, "endpoint")
+    w = windows.joint_windows(P.weekly_panel(spark, d), L).cache()
+    got = lloyd.PanelKMeans("covariance", 3, n_init=1, seed=1, max_iter=STEPS_OF_FIT).fit(w).predict(w)
+    return got.select(F.col("id").alias("endpoint"), "label", rnd(F.array_min("distance")).alias("nearest"))
+
 
+@query("panel_kmeans_marginal", f"""WITH {RET}, {JWIN}, e AS (SELECT endpoint AS id, [v / sqrt({3 * L}.0::DOUBLE) FOR v IN list_concat({', '.join(f'list_sort([x[{i}] FOR x IN sample])' for i in (1, 2, 3))})] AS q FROM jw),
+  {', '.join(_lloyd_sql('e', 2, STEPS_OF_FIT, seed=2))} SELECT id AS endpoint, k::INTEGER AS label, {r('sqrt(d)')} AS nearest FROM a{STEPS_OF_FIT}""")
+def panel_kmeans_marginal(spark, d):
+    w = windows.joint_windows(P.weekly_panel(spark, d), L).cache()
+    got = lloyd.PanelKMeans("marginal", 2, n_init=1, seed=2, max_iter=STEPS_OF_FIT).fit(w).predict(w)
+    return got.select(F.col("id").alias("endpoint"), "label", rnd(F.array_min("distance")).alias("nearest"))
 
-@query("iid_null_dwell")
+
+LENGTHS = "(SELECT symbol, count(*) AS n FROM ret GROUP BY symbol)"
+
+
+def lengths(df: DataFrame) -> DataFrame:
+    return df.groupBy("symbol").agg(F.count("*").alias("n"))
+
+
+@query("iid_null_dwell", f"""WITH {RET}, {win()}, {CENTERS}, nl AS (SELECT symbol || ':' || rep AS symbol, pos AS idx, log_return, NULL::DATE AS session_date, NULL::TIMESTAMP AS available_at, NULL::DATE AS price_start, NULL::DATE AS price_end
+    FROM {resample.draws_sql(LENGTHS, 5, 7, 'iid', keys=['symbol'])} JOIN ret USING (symbol, idx)),
+  {win(source='nl').replace('win AS', 'nwin AS', 1)}, ds AS (SELECT symbol, endpoint, list(list_distance(q, c) / sqrt({L}.0::DOUBLE) ORDER BY k) AS d FROM nwin, centers GROUP BY ALL),
+  lb AS (SELECT symbol, endpoint, list_position(d, list_min(d)) - 1 AS label FROM ds), nr AS (SELECT *, lag(endpoint) OVER w AS pe, lag(label) OVER w AS pl FROM lb WINDOW w AS (PARTITION BY symbol ORDER BY endpoint)),
+  ru AS (SELECT symbol, run, count(*) AS length FROM (SELECT *, sum(CASE WHEN pe IS NULL OR pe <> endpoint - 1 OR pl <> label THEN 1 ELSE 0 END) OVER (PARTITION BY symbol ORDER BY endpoint) AS run FROM nr) GROUP BY symbol, run),
+  dw AS (SELECT symbol, avg(length) AS mean_dwell, count(*) AS runs FROM ru GROUP BY symbol)
+  SELECT split_part(symbol, ':', 1) AS symbol, split_part(symbol, ':', 2)::BIGINT AS rep, count(*) FILTER (WHERE pe = endpoint - 1) AS pairs, count(*) FILTER (WHERE pe = endpoint - 1 AND pl <> label) AS switches, {r('any_value(mean_dwell)')} AS mean_dwell, any_value(runs) AS runs FROM nr JOIN dw USING (symbol) GROUP BY ALL""")
 def iid_null_dwell(spark, d):
     """Dwell of the fixed centers' labels when the order of returns is random."""
     wins = P.weekly_windows(spark, d)
-    base = P.weekly_returns(spark, d).filter("symbol = 'N'").select("idx", "log_return")
-    null = resample.resample(base, resample.draws(spark, base.count(), 5, 7, "iid"))
-    made = windows.windows(null, L, keys=("rep",))
-    labels = geometry.distances(made, P.centers(wins), 2, keep=["rep", "endpoint"])
-    return evaluate.temporal_summary(labels, ["rep"], "endpoint")
+    base = P.weekly_returns(spark, d).select("symbol", "idx", "log_return")
+    null = resample.resample(base, resample.draws(spark, lengths(base), 5, 7, "iid"), ["symbol"])
+    made = windows.windows(null, L, keys=("symbol", "rep"))
+    labels = geometry.distances(made, P.centers(wins), 2, keep=["symbol", "rep", "endpoint"])
+    return evaluate.temporal_summary(labels, ["symbol", "rep"], "endpoint").select("symbol", "rep", "pairs", "switches", rnd("mean_dwell").alias("mean_dwell"), "runs")
 
 
 @query("sliced_medoids")
@@ -610,38 +705,52 @@ def hmm_filter(spark, d):
 
 @query("hmm_fit")
 def hmm_fit(spark, d):
-    r_ = P.weekly_returns(spark, d).filter("log_return IS NOT NULL AND symbol = 'N'").orderBy("idx")
-    model = hmm.fit(spark, np.array([x["log_return"] for x in r_.collect()]), 2, n_init=2, full=False, max_iter=40)
-    return hmm.causal_filter(r_, model, ["symbol"], "log_return").select("symbol", "idx", "state")
+    """A model for each symbol, fitted inside a task, and its causal states."""
+    return hmm.fit_each(P.weekly_returns(spark, d).filter("log_return IS NOT NULL"), "symbol", "log_return", 2, n_init=2, full=False)
 
 
 @query("panel_hmm_fit")
 def panel_hmm_fit(spark, d):
-    p = P.weekly_panel(spark, d).filter("x IS NOT NULL").orderBy("idx").withColumn("k", F.lit("panel"))
-    model = hmm.fit(spark, np.array([x["x"] for x in p.collect()]), 2, n_init=2, max_iter=30)
-    return hmm.causal_filter(p, model, ["k"], "x").select("idx", "state")
+    p = P.weekly_panel(spark, d).filter("x IS NOT NULL").withColumn("k", F.lit("panel"))
+    return hmm.fit_each(p, "k", "x", 2, n_init=2).select("idx", "state")
 
 
 # --- resampling and risk --------------------------------------------------
-@query("bootstrap_means")
+@query("bootstrap_means", f"""WITH {RET} SELECT symbol, rep, {r('avg(log_return)')} AS mean, count(*) FILTER (WHERE seam) AS seams, max(idx)::BIGINT AS last
+  FROM {resample.draws_sql(LENGTHS, 20, 11, 'stationary', 13, ['symbol'])} JOIN ret USING (symbol, idx) GROUP BY symbol, rep""")
 def bootstrap_means(spark, d):
-    base = P.weekly_returns(spark, d).filter("symbol = 'N'").select("idx", "log_return")
-    made = resample.resample(base, resample.draws(spark, base.count(), 20, 11, "stationary", 13))
-    return made.groupBy("rep").agg(F.avg("log_return").alias("mean"), F.sum(F.col("seam").cast("int")).alias("seams"))
+    base = P.weekly_returns(spark, d).select("symbol", "idx", "log_return")
+    made = resample.draws(spark, lengths(base), 20, 11, "stationary", 13).join(base, ["symbol", "idx"])
+    return made.groupBy("symbol", "rep").agg(rnd(F.avg("log_return")).alias("mean"), F.count_if("seam").alias("seams"), F.max("idx").alias("last"))
+
+
+_REACH = f"(SELECT symbol, max(endpoint) + 1 AS n FROM lab GROUP BY symbol)"
 
 
-@query("conditional_outcomes")
+@query("conditional_outcomes", BASE + f""", f AS (SELECT symbol, idx, CASE WHEN count(log_return) OVER w = 4 THEN sum(log_return) OVER w END AS x FROM ret WINDOW w AS (PARTITION BY symbol ORDER BY idx ROWS BETWEEN 1 FOLLOWING AND 4 FOLLOWING)),
+  kn AS (SELECT symbol, idx, label, x FROM lab JOIN f ON lab.symbol = f.symbol AND lab.endpoint = f.idx WHERE x IS NOT NULL),
+  rp AS (SELECT symbol, rep, label, avg(x) AS m FROM {resample.draws_sql(_REACH, 100, 3, 'moving', L + 4, ['symbol'])} JOIN kn USING (symbol, idx) GROUP BY ALL),
+  sp AS (SELECT symbol, label, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM rp GROUP BY ALL)
+  SELECT symbol, label::INTEGER AS label, {r('avg(x)')} AS mean, count(*) AS n, {r('any_value(lo)')} AS lo, {r('any_value(hi)')} AS hi FROM kn LEFT JOIN sp USING (symbol, label) GROUP BY symbol, label""".replace("SELECT symbol, idx, label, x FROM lab JOIN f", "SELECT lab.symbol, idx, label, x FROM lab JOIN f"))
 def conditional_outcomes(spark, d):
-    lab = P.labelled(spark, d).filter("symbol = 'N'").select(F.col("endpoint").alias("idx"), "label")
-    out = windows.future(P.weekly_returns(spark, d), 4).filter("symbol = 'N'").select("idx", "future_return")
-    n = lab.agg(F.max("idx").alias("n")).first()["n"] + 1
-    return evaluate.conditional_outcomes(lab.join(out, "idx"), "future_return", resample.draws(spark, n, 100, 3, "moving", L + 4))
+    lab = P.labelled(spark, d).select("symbol", F.col("endpoint").alias("idx"), "label")
+    out = windows.future(P.weekly_returns(spark, d), 4).select("symbol", "idx", "future_return")
+    reach = lab.groupBy("symbol").agg((F.max("idx") + 1).alias("n"))
+    made = evaluate.conditional_outcomes(lab.join(out, ["symbol", "idx"]), "future_return", resample.draws(spark, reach, 100, 3, "moving", L + 4), ["symbol"])
+    return made.select("symbol", "label", "n", *[rnd(c).alias(c) for c in ("mean", "lo", "hi")])
 
 
-@query("contamination")
+_MD5 = lambda *more: "md5(" + " || ':' || ".join(["'9'", "idx", *more]) + ")"
+_MOVED = {c: f"CASE WHEN hit THEN {c} + CASE WHEN substr({_MD5(repr(c))}, 1, 1) >= '8' THEN 1 ELSE -1 END * 5.0::DOUBLE * sd_{c} ELSE {c} END" for c in ("n", "a", "r")}
+
+
+@query("contamination", f"""WITH {RET}, {JOINT} px AS (SELECT idx, n, a_ AS a, r_ AS r FROM panel), sds AS (SELECT stddev_pop(n) AS sd_n, stddev_pop(a) AS sd_a, stddev_pop(r) AS sd_r, greatest(1, ceil(count(*) * 0.05::DOUBLE)) AS hits FROM px),
+  hx AS (SELECT px.*, sds.*, row_number() OVER (ORDER BY {_MD5()}, idx) <= hits AS hit FROM px, sds) SELECT idx, hit, {', '.join(f'{r(v)} AS {c}' for c, v in _MOVED.items())} FROM hx""".replace("px AS (SELECT l_returnflag", "prices AS (SELECT l_returnflag").replace("FROM px GROUP BY symbol", "FROM prices GROUP BY symbol").replace("LEFT JOIN px ON px.symbol = span.symbol AND px.session_date", "LEFT JOIN prices px ON px.symbol = span.symbol AND px.session_date"))
 def contamination(spark, d):
-    base = P.weekly_returns(spark, d).filter("symbol = 'N'").select("idx", "log_return")
-    return resample.contaminate(base, base.count(), 0.05, 5.0, 9)
+    """The panel of all symbols, each column with its own scale and signs."""
+    wide = P.weekly_panel(spark, d).select("idx", *[F.col("x")[i].alias(c) for i, c in enumerate("nar")])
+    made = resample.contaminate(wide, 0.05, 5.0, 9, ["n", "a", "r"])
+    return made.select("idx", "hit", *[rnd(c).alias(c) for c in "nar"])
 
 
 BASKET = f"bk AS (SELECT idx, session_date, max(available_at) AS available_at, CASE WHEN count(x) = 3 THEN avg(exp(x) - 1) ** 2 END AS q FROM (SELECT idx, session_date, available_at, unnest([n, a_, r_]) AS x FROM panel) GROUP BY idx, session_date)"
@@ -712,16 +821,50 @@ def risk_metrics_by_year(spark, d):
     return risk.metrics(risk_losses(spark, d), by_year=True).withColumns({"qlike": rnd("qlike"), "mse": rnd("mse", 10)})
 
 
-@query("risk_intervals")
+def _intervals_sql() -> str:
+    rows = " UNION ALL ".join(f"SELECT idx AS t, '{m}' AS method, greatest({m}, 1e-12::DOUBLE) AS f, target FROM fc WHERE target IS NOT NULL AND {m} IS NOT NULL" for m in METHODS)
+    drawn = resample.draws_sql("(SELECT count(DISTINCT t) AS n FROM lo)", 200, 5, "stationary", 13)
+    return f"""WITH RECURSIVE {RET}, {JOINT} {BASKET}, {FORECAST_SQL}, lo AS (SELECT t, method, 'qlike' AS loss_name, ln(f) + target / f AS v FROM ({rows}) UNION ALL SELECT t, method, 'mse', (target - f) ** 2 FROM ({rows})),
+  de AS (SELECT o.t, o.method, loss_name, b.v - o.v AS delta FROM lo o JOIN lo b USING (t, loss_name) WHERE b.method = 'regime' AND o.method <> 'regime'),
+  tt AS (SELECT t, row_number() OVER (ORDER BY t) - 1 AS idx FROM (SELECT DISTINCT t FROM lo)),
+  rp AS (SELECT method, loss_name, rep, avg(delta) AS m FROM {drawn} JOIN tt USING (idx) JOIN de USING (t) GROUP BY ALL)
+  SELECT method, loss_name, {r('any_value(mean_delta)', 8)} AS mean_delta, {r('quantile_cont(m, 0.025)', 8)} AS lo, {r('quantile_cont(m, 0.975)', 8)} AS hi
+  FROM rp JOIN (SELECT method, loss_name, avg(delta) AS mean_delta FROM de GROUP BY ALL) USING (method, loss_name) GROUP BY method, loss_name"""
+
+
+@query("risk_intervals", _intervals_sql())
 def risk_intervals(spark, d):
     long = risk_losses(spark, d)
     stacked = long.select(F.col("idx").alias("t"), "method", F.explode(F.create_map(F.lit("qlike"), "qlike", F.lit("mse"), "mse")).alias("loss_name", "value"))
-    return resample.paired_interval(stacked, "regime", 13, 200, 5)
+    return resample.paired_interval(stacked, "regime", 13, 200, 5).select("method", "loss_name", *[rnd(c, 8).alias(c) for c in ("mean_delta", "lo", "hi")])
+
+
+_BROKEN = """bad AS (SELECT symbol, idx, CASE WHEN idx % 50 = 7 THEN price_start - 1 ELSE price_start END AS price_start, CASE WHEN idx % 50 = 31 THEN price_end + 1 ELSE price_end END AS price_end,
+  CASE WHEN idx % 50 = 13 THEN available_at - INTERVAL 21 DAY WHEN idx % 50 = 19 THEN available_at - INTERVAL 90 MINUTE ELSE available_at END AS available_at FROM ret WHERE idx % 50 <> 23)"""
 
 
-@query("contiguity_guard", "SELECT ''::VARCHAR AS symbol, 0::BIGINT AS idx WHERE false")
+@query("contiguity_guard", f"""WITH {RET}, {_BROKEN}, no AS (SELECT session_date AS d, row_number() OVER (ORDER BY session_date) AS no FROM cal),
+  lg AS (SELECT *, lag(idx) OVER w AS pi, lag(price_end) OVER w AS pe, lag(available_at) OVER w AS pa, row_number() OVER w AS k FROM bad WINDOW w AS (PARTITION BY symbol ORDER BY idx)),
+  jn AS (SELECT lg.*, a.no AS na, b.no AS nb FROM lg LEFT JOIN no a ON a.d = price_end LEFT JOIN no b ON b.d = price_start)
+  SELECT symbol, idx, fault FROM (SELECT symbol, idx, CASE WHEN k > 1 AND pi <> idx - 1 THEN 'gap' WHEN k > 1 AND pe <> price_start THEN 'chain' WHEN na IS NULL OR nb IS NULL OR na <> nb + 1 THEN 'session'
+    WHEN k > 1 AND pa >= available_at THEN 'order' WHEN available_at < price_end::TIMESTAMP + INTERVAL 21 HOUR THEN 'early' END AS fault FROM jn) WHERE fault IS NOT NULL""")
 def contiguity_guard(spark, d):
-    return splits.check_contiguous(P.weekly_returns(spark, d)).select("symbol", "idx")
+    """Weekly returns with rows that break each rule: a lost row, prices that do not
+    chain, a session that is none, and availability too soon."""
+    at, on = F.col("available_at"), lambda n: F.col("idx") % 50 == n
+    rows = P.weekly_returns(spark, d).filter(~on(23)).select(
+        "symbol", "idx", F.when(on(7), F.date_sub("price_start", 1)).otherwise(F.col("price_start")).alias("price_start"), F.when(on(31), F.date_add("price_end", 1)).otherwise(F.col("price_end")).alias("price_end"),
+        F.when(on(13), at - F.expr("INTERVAL 21 DAY")).when(on(19), at - F.expr("INTERVAL 90 MINUTE")).otherwise(at).alias("available_at"),
+    )
+    return splits.check_contiguous(rows, P.weekly_calendar(spark)).select("symbol", "idx", "fault")
+
+
+@query("scored_prefix", f"""WITH RECURSIVE {RET}, {JOINT} {BASKET}, {FORECAST_SQL}, og AS (SELECT (idx // 60)::BIGINT AS part, idx, target IS NOT NULL AS scored FROM fc WHERE expanding IS NOT NULL)
+  SELECT part, max(idx) FILTER (WHERE scored) AS last, min(idx) FILTER (WHERE NOT scored) AS open FROM og GROUP BY part HAVING max(idx) FILTER (WHERE scored) > min(idx) FILTER (WHERE NOT scored)""")
+def scored_prefix(spark, d):
+    """Stretches of 60 origins whose scored ones do not come first."""
+    got = forecast_rows(spark, d).filter("expanding IS NOT NULL").select(F.floor(F.col("idx") / 60).alias("part"), "idx", F.col("target").isNotNull().alias("scored"))
+    return splits.check_prefix(got, ["part"])
 
 
 @query("w2_assign_ticks", f"""WITH {TICK}, {win(63, 1, 'tick')}, c AS (SELECT row_number() OVER (ORDER BY endpoint) - 1 AS k, q AS c FROM win WHERE symbol = 'click' AND endpoint IN (100, 200, 300)),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,7 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20),
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.executorEnv.OMP_NUM_THREADS": "1",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
@@ -33,10 +35,22 @@ def build(name: str = "massflow", master: str | None = None, shuffle_partitions:
     return b.getOrCreate()
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the
+    session.  Where it is unset a local master (tests) gets a new local folder, and a
+    cluster an error: executors would not see each other's files."""
+    sc = spark.sparkContext
+    found = sc._jsc.sc().getCheckpointDir()
+    if found.isDefined():
+        return found.get()
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if configured is None and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="massflow-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once into the session's ``spark.checkpoint.dir`` (a new
-    local folder where it is unset, as in tests): later plans start from there."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="massflow-"))
+    """``df`` computed once into the shared folder: later plans start from there."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()

@@ -210,7 +210,7 @@ def test_paired_interval_ways_agree(spark, monkeypatch):
 
 def test_evaluation_golden(spark):
     df = spark.createDataFrame([([0.0], [1.0]), ([1.0, 2.0], [2.0, 1.0])], "a array<double>, b array<double>")
-    assert [r[0] for r in df.select(evaluate.mmd_of(F.col("a"), F.col("b"), 1.0)).collect()] == pytest.approx([2 * (1 - math.exp(-0.5)), 0], abs=1e-12)
+    assert [r["mmd2"] for r in evaluate.with_mmd(df, "a", "b", 1.0).collect()] == pytest.approx([2 * (1 - math.exp(-0.5)), 0], abs=1e-12)
     d = spark.createDataFrame([([1.5, 3.0],), ([10.0, 9.0],), ([2.0],)], "d array<double>").select(D.novelty(F.col("d"), [1, 2, 3], 0.95).alias("v")).select("v.*").collect()
     assert [round(r["percentile"], 6) for r in d[:2]] == [0.333333, 1] and [r["ood"] for r in d[:2]] == [False, True] and [r["margin"] for r in d] == pytest.approx([0.5, 0.1, None])
     lab = spark.createDataFrame([("k", p, v) for p, v in ((1, 0), (2, 0), (10, 1), (11, 1))], "k string, position long, label int")
@@ -290,26 +290,95 @@ def test_hmm_golden(spark):
         hmm.baum_welch(np.ones((50, 1)), 2, 0)
 
 
-def test_resampling(spark):
-    rng = np.random.default_rng(0)
-    idx = resample.moving_block(50, 7, rng)
-    assert len(idx) == 50 and (np.diff(idx[:7]) == 1).all() and idx.max() < 50
-    idx, seam = resample.stationary(500, 10, rng)
-    assert ((idx[1:] == idx[:-1] + 1) | seam[1:]).all() and 20 < seam.sum() < 90
+def test_index_tables(spark):
+    idx = resample.moving_block(50, 7, 3)
+    assert len(idx) == 50 and (np.diff(idx[:7]) == 1).all() and idx.min() >= 0 and idx.max() < 50
+    idx, seam = resample.stationary(1000, 50, 7)
+    assert seam[0] and 5 < seam.sum() < 60 and idx.min() >= 0 and idx.max() < 1000
+    assert (np.diff(idx)[~seam[1:]] == 1).all() and (idx == resample.stationary(1000, 50, 7)[0]).all()
+    assert (idx != resample.stationary(1000, 50, 7, 1)[0]).any() and (idx != resample.stationary(1000, 50, 8)[0]).any()
+    assert resample.stationary(100, 1, 3)[1].all()
+    for n, block in ((0, 3), (10, 0), (10, math.nan), (True, 3), (10, math.inf)):
+        with pytest.raises(ValueError):
+            resample.stationary(n, block, 0)
     a = sorted(map(tuple, resample.draws(spark, 20, 3, 1, "stationary", 5).collect()))
     b = sorted(map(tuple, resample.draws(spark, 20, 3, 1, "stationary", 5).repartition(7).collect()))
     assert a == b and len(a) == 60
-    s = series(spark, np.random.default_rng(1).standard_normal(40).tolist()).select("idx", "log_return")
-    assert resample.contaminate(s, 40, 0.1, 5, 2).filter("hit").count() == 4
+    both = spark.createDataFrame([("a", 4), ("b", 6)], "symbol string, n long")
+    assert resample.draws(spark, both, 3, 1, "iid").groupBy("symbol").count().orderBy("symbol").collect() == [("a", 12), ("b", 18)]
+
+
+def test_draws_are_even():
+    """Indices are uniform, block lengths geometric, repetitions unrelated."""
+    free = np.concatenate([resample.index_table(40, 11, r, "iid", 1)[0] for r in range(500)])
+    n = np.bincount(free, minlength=40)
+    assert ((n - 500) ** 2 / 500).sum() < 85  # chi-squared of 39 degrees: 1 in 30,000
+    share = np.mean([resample.stationary(400, 20, 5, r)[1][1:].mean() for r in range(300)])
+    assert abs(share - (1 / 20 + 19 / 20 / 400)) < 0.003
+    u = np.array([resample.bits(1, r, np.arange(200), 0) for r in range(200)]) / 2**32
+    assert abs(np.corrcoef(u[:-1].ravel(), u[1:].ravel())[0, 1]) < 0.02 and abs(np.corrcoef(u[:, :-1].ravel(), u[:, 1:].ravel())[0, 1]) < 0.02
+
+
+@pytest.mark.parametrize(("kind", "block"), [("moving", 4), ("stationary", 3.5), ("iid", 1)])
+def test_draws_in_sql(spark, kind, block):
+    import duckdb
+
+    lengths = "(SELECT * FROM (VALUES ('a', 9), ('b', 30)) t(symbol, n))"
+    want = duckdb.sql(f"SELECT symbol, rep, pos, idx FROM {resample.draws_sql(lengths, 4, 2**40 + 9, kind, block, ['symbol'])}").fetchall()
+    both = spark.createDataFrame([("a", 9), ("b", 30)], "symbol string, n long")
+    got = resample.draws(spark, both, 4, 2**40 + 9, kind, block).select("symbol", "rep", "pos", "idx").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_contamination(spark):
+    x = np.random.default_rng(4).standard_normal((100, 3))
+    df = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(x)], "idx long, a double, b double, c double").repartition(3)
+    got = resample.contaminate(df, 0.02, 10, 1, ["a", "b", "c"]).orderBy("idx").collect()
+    y, hit = np.array([[r["a"], r["b"], r["c"]] for r in got]), np.array([r["hit"] for r in got])
+    assert hit.sum() == 2 and (y[~hit] == x[~hit]).all()
+    assert np.allclose(np.abs(y[hit] - x[hit]), np.tile(10 * x.std(0), (2, 1)))
+    signs = resample.contaminate(df, 1, 10, 1, ["a", "b", "c"]).orderBy("idx").collect()
+    up = np.array([[r["a"], r["b"], r["c"]] for r in signs]) > x
+    assert (np.abs(up.mean(0) - 0.5) < 0.2).all() and 10 < (up[:, 0] != up[:, 1]).sum() < 90
+    for share, size in ((-0.1, 1), (1.1, 1), (math.nan, 1), (True, 1), (0.1, 0), (0.1, math.inf)):
+        with pytest.raises(ValueError):
+            resample.contaminate(df, share, size, 1, ["a"])
 
 
 def test_synthetic_streams(spark):
+    seen = set()
     for kind in ("variance", "normal_t5", "signed_exponential", "equal_four_moments"):
-        x, t = synthetic.recovery_stream(kind, 1)
-        assert len(x) == len(t) == 4 * 756 and abs(x.mean()) < 0.01
-    for kind in ("gaussian_null", "student_null", "rare", "gradual"):
-        x, rho = synthetic.control_stream(kind, 1)
-        assert x.shape == (3000, 5) and len(rho) == 3000
+        for seed in range(6):
+            x, t = synthetic.recovery_stream(kind, seed)
+            assert len(x) == len(t) == 4 * 756 and abs(x.mean()) < 0.01 and (np.diff(t) != 0).sum() == 3
+            seen.add(int(t[0]))
+    assert seen == {0, 1}
+    x, t = synthetic.recovery_stream("variance", 1)
+    assert x[t == 1].std() / x[t == 0].std() == pytest.approx(3, rel=0.1)
+    blocks, truth = synthetic.exact_moment_blocks(7, 6)
+    power = np.array([[(b**k).mean() for k in range(1, 5)] for b in blocks])
+    assert blocks.shape == (6, 300) and set(truth) == {0, 1} and np.abs(power - power[0]).max() < 1e-9
+    assert (np.sort(blocks[0]) != np.sort(blocks[1])).any()
+
+
+@pytest.mark.parametrize("kind", ["gaussian_null", "student_null", "rare", "gradual"])
+def test_control_streams(kind):
+    x, rho = synthetic.control_stream(kind, 17)
+    again = synthetic.control_stream(kind, 17)
+    assert x.shape == (3000, 5) and np.isfinite(x).all() and (x == again[0]).all() and (rho == again[1]).all()
+    truth = synthetic.pure_truth(rho[2250:], 63)
+    if kind.endswith("null"):
+        assert (rho == 0.45).all()
+        assert np.corrcoef(x[:, 0], x[:, 1])[0, 1] == pytest.approx(0.45, abs=0.1) and np.corrcoef(x[1:, 0], x[:-1, 0])[0, 1] == pytest.approx(0.25, abs=0.08)
+    elif kind == "rare":
+        assert (rho == 0.8).sum() == 3 * 126 and (truth == 1).sum() == 64 and (truth == -1).sum() == 124
+    else:
+        assert set(truth) == {-1, 0, 1} and (truth == -1).sum() == 312
+    with pytest.raises(ValueError):
+        synthetic.control_stream("none", 1)
+
+
+def test_synthetic_study(spark):
     from massflow.plans.studies import synthetic_study
 
     got = {r["kind"]: r["ari"] for r in synthetic_study(spark, ["variance", "signed_exponential", "normal_t5"], 63, 1).collect()}
