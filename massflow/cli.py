@@ -1,59 +1,81 @@
-"""Command line: ``python -m massflow.cli run-jobs JOBS.json ROOT`` and others."""
+"""Command line: ``python -m massflow.cli run --config CONFIG.json`` and others.
+
+Configurations are JSON files; ``massflow.plans.config`` has their schemas."""
 
 from __future__ import annotations
 
 import argparse
 import json
 from pathlib import Path
+from typing import Any
 
 
-def main(argv: list[str] | None = None) -> int:
-    from massflow.plans import jobs, panels, studies
-    from massflow.sources import files
+def _read(path: str) -> Any:
+    return json.loads(Path(path).read_text())
 
+
+def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="massflow")
     sub = p.add_subparsers(dest="command", required=True)
-    for name, args in {
-        "run": ("sf_dir", "out"), "report": ("table", "out"), "synthetic": ("out",), "cross-asset": ("sf_dir", "out"), "joint-study": ("sf_dir", "config", "out"),
-        "joint-validate": ("sf_dir", "config", "out"), "freeze-joint": ("sf_dir", "config", "parent", "out"), "score-joint": ("sf_dir", "bundle", "as_of", "out"), "run-jobs": ("jobs", "root"),
-    }.items():
-        q = sub.add_parser(name)
-        for a in args:
-            q.add_argument(a)
-    a = p.parse_args(argv)
+
+    def add(name: str, text: str, *required: str, stages: tuple[str, ...] = (), root: str | None = None, **more: tuple[type, Any]) -> None:
+        q = sub.add_parser(name, help=text)
+        for a in required:
+            q.add_argument(f"--{a}", required=True)
+        if stages:
+            q.add_argument("--stage", choices=stages, default=stages[0])
+        if root:
+            q.add_argument("--output-root", default=root)
+        for a, (kind, default) in more.items():
+            q.add_argument(f"--{a.replace('_', '-')}", type=kind, default=default)
+
+    add("run", "study one asset year by year", "config", stages=("development", "holdout"), root="artifacts", synthetic=(str, None))
+    add("report", "write the page of a finished run again", "run")
+    add("synthetic", "recovery of known laws by all methods", "config", output=(str, "artifacts/synthetic.json"))
+    add("cross-asset", "the same study of several assets", "config", stages=("development", "holdout", "all"), root="artifacts")
+    add("joint-study", "develop or assess a joint panel", "config", stages=("development", "assessment"), root="artifacts", development=(str, None))
+    add("joint-validate", "robustness of a development", "config", "development", root="artifacts")
+    add("freeze-joint", "export a verified model", "development", root="artifacts/bundles", model=(str, "scaled_joint"))
+    add("score-joint", "score snapshots by a frozen contract", "bundle", "config", root="artifacts/jobs", threads=(int, 1), timeout=(float, 3600.0))
+    add("run-jobs", "run or resume jobs", "config", root="artifacts/jobs", workers=(int, 2), threads=(int, 1), timeout=(float, 3600.0))
+    return p
+
+
+def main(argv: list[str] | None = None) -> int:
+    a = parser().parse_args(argv)
+    from massflow.plans import artifacts, frozen, joint, jobs, reports, synthetic_suite, univariate, validation
+    from massflow.sources import files
+
+    if a.command == "report":
+        artifacts.verify(a.run)
+        print(reports.run(a.run))
+        return 0
+    if a.command == "freeze-joint":
+        print(frozen.freeze(a.development, a.output_root, a.model))
+        return 0
+    if a.command in ("score-joint", "run-jobs"):
+        todo = _read(a.config) if a.command == "run-jobs" else [{"name": "score", "type": "score", "bundle": a.bundle, "config": a.config}]
+        done = jobs.run(todo, a.output_root, getattr(a, "workers", 1), a.threads, a.timeout)
+        print(json.dumps(done))
+        return int(not done["success"])
     from massflow.session import build
 
-    spark = build()
-    out = Path(getattr(a, "out", "."))
-    read = lambda path: json.loads(Path(path).read_text())
-    if a.command in ("run", "cross-asset"):
-        labels, notes = studies.fold_study(panels.weekly_returns(spark, a.sf_dir), [1998, 1999, 2000], panels.LENGTH, 3)
-        keys = ["symbol", "label"] if a.command == "cross-asset" else ["year", "label"]
-        files.report(a.command, {"labels": labels.groupBy(*keys).count().orderBy(*keys)}, out)
-        files.write_json(out.with_suffix(".json"), notes)
-    elif a.command == "report":
-        files.report(Path(a.table).stem, {"rows": spark.read.parquet(a.table)}, out)
+    spark, cfg = build(), _read(a.config)
+    if a.command == "run":
+        out = univariate.run(spark, cfg, a.output_root, a.stage, _read(a.synthetic) if a.synthetic else None)
     elif a.command == "synthetic":
-        made = studies.synthetic_study(spark, ["variance", "normal_t5", "signed_exponential", "equal_four_moments"], 63, 4)
-        files.report("synthetic", {"recovery": made.groupBy("kind").avg("ari").orderBy("kind")}, out)
-    elif a.command in ("joint-study", "joint-validate", "freeze-joint"):
-        cfg = read(a.config)
-        panel = panels.weekly_panel(spark, a.sf_dir)
-        got = studies.develop(panel, cfg)
-        if a.command == "freeze-joint":
-            studies.freeze(spark, got, cfg, a.parent, out)
-        elif a.command == "joint-study":
-            studies.assess(panel, got["model"], got["threshold"], cfg).write.parquet(str(out))
-        else:
-            again = studies.develop(panel, {**cfg, "seed": cfg["seed"] + 1})
-            files.write_json(out, {"k": [got["k"], again["k"]], "objective": [got["model"].objective, again["model"].objective]})
-    elif a.command == "score-joint":
-        made, counts = studies.score_bundle(panels.weekly_panel(spark, a.sf_dir), a.bundle, a.as_of)
-        made.write.parquet(str(out))
-        files.write_json(out.with_suffix(".counts.json"), counts)
+        out = Path(a.output)
+        out.parent.mkdir(parents=True, exist_ok=True)
+        files.write_json(out, synthetic_suite.run(spark, cfg))
+    elif a.command == "cross-asset":
+        out = univariate.cross_asset(spark, {s: _read(path) for s, path in cfg["assets"].items()}, a.output_root, a.stage)
+    elif a.command == "joint-study":
+        if a.stage == "assessment" and not a.development:
+            raise SystemExit("an assessment needs --development")
+        out = joint.develop(spark, cfg, a.output_root) if a.stage == "development" else joint.assess(spark, cfg, a.development)
     else:
-        done = jobs.run(spark, read(a.jobs), a.root)
-        return int(any(j["state"] not in ("done", "reused") for j in done))
+        out = validation.run(spark, cfg, _read(cfg["market_config"]), a.development, a.output_root)
+    print(out)
     return 0
 
 

@@ -251,16 +251,16 @@ def component_fractions(parts: DataFrame) -> DataFrame:
     return sums.select(*[F.coalesce(F.try_divide(c, "total"), F.lit(0.0)).alias(c) for c in ("location", "scale", "shape")])
 
 
-def conditional_outcomes(labelled: DataFrame, outcome: str, drawn: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Mean outcome of each state (of each series of ``keys``) and a bootstrap
-    interval; ``labelled`` has keys, idx, label, outcome; a draw is shared by all
-    states."""
-    known = labelled.filter(F.col(outcome).isNotNull())
-    point = known.groupBy(*keys, "label").agg(F.avg(outcome).alias("mean"), F.count("*").alias("n"))
+def conditional_outcomes(labelled: DataFrame, outcome: str, drawn: DataFrame, keys: Sequence[str] = (), by: Sequence[str] = ()) -> DataFrame:
+    """Mean outcome of each state (of each series of ``keys``, and of each kind ``by``)
+    and a bootstrap interval; ``labelled`` has keys, by, idx, label, outcome; a draw is
+    shared by all states and kinds."""
+    known, each = labelled.filter(F.col(outcome).isNotNull()), [*keys, *by, "label"]
+    point = known.groupBy(*each).agg(F.avg(outcome).alias("mean"), F.count("*").alias("n"))
     weights = drawn.groupBy(*keys, "rep", "idx").agg(F.count("*").alias("w"))
-    reps = known.join(weights, [*keys, "idx"]).groupBy(*keys, "rep", "label").agg((F.sum(F.col(outcome) * F.col("w")) / F.sum("w")).alias("m"))
-    spread = reps.groupBy(*keys, "label").agg(F.percentile("m", F.lit(0.025)).alias("lo"), F.percentile("m", F.lit(0.975)).alias("hi"))
-    return point.join(spread, [*keys, "label"], "left")
+    reps = known.join(weights, [*keys, "idx"]).groupBy("rep", *each).agg((F.sum(F.col(outcome) * F.col("w")) / F.sum("w")).alias("m"))
+    spread = reps.groupBy(*each).agg(F.percentile("m", F.lit(0.025)).alias("lo"), F.percentile("m", F.lit(0.975)).alias("hi"))
+    return point.join(spread, each, "left")
 
 
 def state_profile(labelled: DataFrame, features: list[str]) -> DataFrame:

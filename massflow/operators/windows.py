@@ -94,6 +94,17 @@ def joint_windows(panel: DataFrame, length: int, stride: int = 1, keys: Sequence
     return made.select(*keys, F.col("idx").alias("endpoint"), (F.col("idx") - (length - 1)).alias("start_idx"), "session_date", "available_at", "price_start", "price_end", "sample")
 
 
+def return_windows(vectors: DataFrame, length: int, stride: int = 1, keys: Sequence[str] = (), value: str = "x", block: int = BLOCK) -> DataFrame:
+    """(keys, endpoint, sample) of ``length`` rows at consecutive idx; a null row is
+    a gap.  Rows are vectors of a stream without dates."""
+    if length < 1 or stride < 1:
+        raise ValueError("length and stride must be positive")
+    frame = Window.partitionBy(*keys, "_block").orderBy("idx").rangeBetween(-(length - 1), 0)
+    made = halo(vectors.select(*keys, "idx", value), length - 1, block=block).select(*keys, "idx", "_own", F.collect_list(value).over(frame).alias("sample"))
+    made = made.filter(F.col("_own") & (F.size("sample") == length) & (F.pmod(F.col("idx") - (length - 1), F.lit(stride)) == 0))
+    return made.select(*keys, F.col("idx").alias("endpoint"), "sample")
+
+
 def truth_windows(df: DataFrame, length: int, keys: Sequence[str] = ("symbol",), truth: str = "truth") -> DataFrame:
     """Endpoint truth and whether the window holds no switch."""
     frame = Window.partitionBy(*keys, "_block").orderBy("idx").rangeBetween(-(length - 1), 0)

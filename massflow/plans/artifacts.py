@@ -78,16 +78,27 @@ def locked(path: str | Path) -> Iterator[None]:
         yield
 
 
+def sources() -> dict[str, str]:
+    """The hash of every module of this package but the optional ones."""
+    root = Path(__file__).resolve().parents[1]
+    found = {p.relative_to(root).as_posix(): p for p in sorted(root.rglob("*.py"))}
+    return {name: sha256(p) for name, p in found.items() if not name.startswith("llm/")}
+
+
 def provenance(repo: str | Path | None = None) -> dict:
-    """Versions, and the commit and change hash of a working tree."""
+    """Versions, and the commit of a working tree with a hash of its changes, files
+    that are not tracked included."""
     import numpy
+    import pandas
     import pyarrow
     import pyspark
 
-    out = {"python": platform.python_version(), "numpy": numpy.__version__, "pyarrow": pyarrow.__version__, "pyspark": pyspark.__version__, "machine": platform.machine()}
+    out = {"python": platform.python_version(), "numpy": numpy.__version__, "pandas": pandas.__version__, "pyarrow": pyarrow.__version__, "pyspark": pyspark.__version__, "machine": platform.machine()}
     if repo is not None:
-        git = lambda *a: subprocess.run(["git", "-C", str(repo), *a], capture_output=True, text=True).stdout.strip()
-        out |= {"commit": git("rev-parse", "HEAD") or None, "changes": hashlib.sha256(git("diff", "HEAD").encode()).hexdigest()}
+        git = lambda *a: subprocess.run(["git", "-C", str(repo), *a], capture_output=True, text=True).stdout
+        new = [n for n in git("ls-files", "--others", "--exclude-standard", "-z").split("\0") if n]
+        loose = {n: sha256(Path(repo) / n) for n in new if (Path(repo) / n).is_file()}
+        out |= {"commit": git("rev-parse", "HEAD").strip() or None, "changes": identity([git("diff", "HEAD"), loose])}
     return out
 
 

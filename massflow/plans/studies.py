@@ -1,151 +1,87 @@
-"""Whole studies over DataFrames: development, assessment, frozen scoring, risk
-forecasts, refits and synthetic recovery."""
+"""Risk studies: causal forecasts, their losses and paired intervals."""
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from pathlib import Path
+from typing import Any
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from massflow.operators import evaluate, geometry, lloyd, medoids, resample, risk, splits, windows
-from massflow.plans import artifacts, config
-from massflow.sources import files, synthetic
+from massflow.functions import distributions as D
+from massflow.operators import resample, risk, splits, windows
+from massflow.plans import config, frozen, inputs
+from massflow.session import cut
 
+#: A risk job: snapshots, the period of origins, and the forecast's parameters.
+RISK_JOB = config.SCORE | {"horizon": config.integer(1), "min_history": config.integer(1), "prior": config.number(0, 1e9), "decay": config.number(0, 1), "blocks": config.integers(1), "reps": config.integer(2), "seed": config.integer(0)}
 
-def develop(panel: DataFrame, cfg: dict) -> dict:
-    """Fit sliced medoids for each K on strided training windows, choose K by
-    silhouette on a bounded sample, and calibrate novelty on training windows.
 
-    Rows after ``validation_end`` are dropped before windows are cut, so no plan
-    can see them."""
-    c = config.validate(cfg, config.STUDY)
-    seen = panel.filter(F.col("session_date") <= F.lit(c["validation_end"]).cast("date"))
-    wins = splits.split(windows.joint_windows(seen, c["length"]), c["train_end"], c["validation_end"], c["test_end"]).cache()
-    train = splits.every(wins.filter("split = 'train'"), c["stride"]).cache()
-    dims = len(c["symbols"])
-    rows = seen.filter((F.col("session_date") <= F.lit(c["train_end"]).cast("date")) & F.col("x").isNotNull()).select(F.posexplode("x").alias("asset", "v"))
-    scales = np.array([r["s"] for r in rows.groupBy("asset").agg(F.stddev_pop("v").alias("s")).orderBy("asset").collect()])
-    directions = geometry.unit_directions(c["projections"], dims, c["seed"])
-    fits, scores = {}, {}
-    anchors = train.orderBy(F.xxhash64("endpoint"), "endpoint").limit(160)
-    for k in c["ks"]:
-        fits[k] = medoids.fit(train, k, directions, scales, c["candidates"], c["n_init"], c["seed"])
-        z = geometry.with_arrays(fits[k].transform(anchors.select("endpoint", "sample")), "sample", [geometry.T.StructField("z", geometry.ARRAY)], lambda x: [geometry.list_column(geometry.project(x, directions, scales))], ["endpoint", "label"], inner=2)
-        scores[k] = evaluate.silhouette(z.select(F.col("endpoint").alias("id"), "label", F.col("z").alias("sample")))
-    usable = {k: v for k, v in scores.items() if v is not None}
-    if not usable:
-        raise ValueError("no K gives two clusters")
-    best = max(sorted(usable), key=lambda k: usable[k])
-    threshold = fits[best].transform(train.select("endpoint", "sample")).agg(F.percentile("nearest", F.lit(c["novelty"])).alias("t")).first()["t"]
-    return {"model": fits[best], "k": best, "silhouettes": scores, "threshold": threshold, "train": train, "windows": wins}
-
-
-def assess(panel: DataFrame, model: medoids.Medoids, threshold: float, cfg: dict) -> DataFrame:
-    """Labels, distances and novelty of test windows; nothing is fitted."""
-    c = config.validate(cfg, config.STUDY)
-    wins = splits.split(windows.joint_windows(panel, c["length"]), c["train_end"], c["validation_end"], c["test_end"]).filter("split = 'test'")
-    return model.transform(wins).withColumn("novel", F.col("nearest") > threshold).drop("sample")
-
-
-def freeze(spark: SparkSession, result: dict, cfg: dict, parent: str | Path, target: str | Path, basis: str = "log") -> str:
-    """Publish a bundle of a model and its contract; the sealed parent must be
-    the same before and after."""
-    c = config.validate(cfg, config.STUDY)
-    before = artifacts.verify(parent)
-    with artifacts.publish(target) as tmp:
-        files.save_model(tmp / "model.json", "medoids", result["model"])
-        contract = {"kind": "medoids", "symbols": c["symbols"], "length": c["length"], "stride": c["stride"], "k": result["k"], "train_end": c["train_end"], "threshold": result["threshold"], "basis": basis, "parent": before, "model_sha256": artifacts.sha256(tmp / "model.json")}
-        files.write_json(tmp / "contract.json", config.validate(contract, config.BUNDLE))
-        if artifacts.verify(parent) != before:
-            raise ValueError("the parent changed while the bundle was written")
-    return artifacts.verify(target)
-
-
-def score_bundle(panel: DataFrame, bundle: str | Path, as_of: str) -> tuple[DataFrame, dict]:
-    """Score a panel with a frozen bundle as of a moment: labels, nearest
-    distance, novelty; and counts of what was excluded and why."""
-    import json
-
-    bundle = Path(bundle)
-    artifacts.verify(bundle)
-    contract = config.validate(json.loads((bundle / "contract.json").read_text()), config.BUNDLE)
-    if artifacts.sha256(bundle / "model.json") != contract["model_sha256"]:
-        raise ValueError("the model is not the one of the contract")
-    model = files.load_model(bundle / "model.json")
-    if len(model.medoids) != contract["k"] or model.medoids.shape[1:] != (contract["length"], len(contract["symbols"])):
-        raise ValueError("the model does not have the contract's shape")
-    wins, counts = splits.as_of(windows.joint_windows(panel, contract["length"]), contract["train_end"], as_of)
-    made = model.transform(wins).withColumn("novel", F.col("nearest") > contract["threshold"]).drop("sample")
-    return made, counts.first().asDict()
+def intervals(scored: DataFrame, base: str, blocks: list[int], reps: int, seed: int) -> DataFrame:
+    """Paired intervals of losses against ``base``, for each block length."""
+    long = scored.select(F.col("idx").alias("t"), "method", F.explode(F.create_map(F.lit("qlike"), "qlike", F.lit("mse"), "mse")).alias("loss_name", "value"))
+    out = None
+    for b in blocks:
+        one = resample.paired_interval(long, base, b, reps, seed + b).withColumn("block", F.lit(b))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
-def risk_study(rows: DataFrame, states: list[str], k: int, cfg: dict) -> tuple[DataFrame, DataFrame]:
+def risk_study(rows: DataFrame, states: list[str], k: int, cfg: Mapping[str, Any]) -> tuple[DataFrame, DataFrame]:
     """Losses of every method and origin, and paired intervals by block length."""
     c = config.validate(cfg, config.RISK)
     made = risk.targets(risk.volatility_states(rows, c["window"], c["training_end"]), c["horizon"])
     made = risk.forecasts(made, [*states, "vol_state"], k, c["window"], c["horizon"], c["min_history"], c["prior"], c["decay"])
     methods = ["expanding", "rolling", "ewma", *[f"{s}_mean" for s in [*states, "vol_state"]]]
-    scored = risk.losses(made.filter(F.col("idx") > c["training_end"]), methods).cache()
-    long = scored.select(F.col("idx").alias("t"), "method", F.explode(F.create_map(F.lit("qlike"), "qlike", F.lit("mse"), "mse")).alias("loss_name", "value"))
-    base = f"{states[0] if states else 'vol_state'}_mean"
-    parts = [resample.paired_interval(long, base, b, c["reps"], c["seed"] + b).withColumn("block", F.lit(b)) for b in c["blocks"]]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return scored, out
-
-
-def fold_study(returns: DataFrame, years: list[int], length: int, k: int, validation_years: int = 1) -> tuple[DataFrame, list[dict]]:
-    """W2 Lloyd refits by year on one windows table, filtered per fold; test
-    labels of all folds, and how each refit agrees with the one before."""
-    wins = windows.windows(returns, length).withColumn("id", F.xxhash64("symbol", "endpoint")).cache()
-    out, notes, last = None, [], None
-    for y in years:
-        rows = splits.split(wins, *splits.fold(y, validation_years))
-        q = lloyd.coordinates(rows.filter("split = 'train'"), "id").cache()
-        got = lloyd.fit(q, k, 2, n_init=1, max_iter=25, tol=1e-6, seed=y)
-        q.unpersist()
-        labels = got.transform(rows.filter("split = 'test'").select("symbol", "endpoint", "session_date", "sample")).drop("sample", "distance").withColumn("year", F.lit(y))
-        if last is not None:
-            common = rows.filter("split = 'train'").select("id", "sample")
-            notes.append({"year": y} | evaluate.refit_comparison(last.transform(common).select("id", "label"), got.transform(common).select("id", "label"), last.centers, got.centers, "id"))
-        last = got
-        out = labels if out is None else out.unionByName(labels)
-    return out, notes
-
-
-def synthetic_study(spark: SparkSession, kinds: list[str], length: int, repeats: int, k: int = 2, seed: int = 0) -> DataFrame:
-    """Recovery of two alternating laws by Lloyd on sorted windows: one row a
-    (kind, repeat), each generated and clustered inside one task."""
-    def one(g: pd.DataFrame) -> pd.DataFrame:
-        kind, rep = g["kind"].iloc[0], int(g["rep"].iloc[0])
-        x, truth = synthetic.recovery_stream(kind, seed + rep)
-        view = np.lib.stride_tricks.sliding_window_view(x, length)[::4]
-        ends = np.arange(length - 1, len(x))[::4]
-        flips = np.cumsum(np.r_[0, np.diff(truth) != 0])
-        pure = flips[ends] == flips[ends - length + 1]
-        q = np.sort(view, axis=1)
-        best = None
-        for s in range(3):
-            c = q[np.random.default_rng([seed, rep, s]).choice(len(q), k, replace=False)]
-            for _ in range(50):
-                lab = geometry.blas_cost(q, c).argmin(1)
-                new = np.stack([q[lab == j].mean(0) if (lab == j).any() else c[j] for j in range(k)])
-                if np.allclose(new, c, atol=1e-12):
-                    break
-                c = new
-            cost = geometry.blas_cost(q, c).min(1).sum()
-            if best is None or cost < best[0]:
-                best = (cost, lab)
-        t = np.zeros((2, k))
-        np.add.at(t, (truth[ends][pure], best[1][pure]), 1)
-        pairs = lambda v: (v * (v - 1) / 2).sum()
-        a, b, ij, n = pairs(t.sum(1)), pairs(t.sum(0)), pairs(t), t.sum()
-        expected = a * b / (n * (n - 1) / 2)
-        return pd.DataFrame({"kind": [kind], "rep": [rep], "ari": [float((ij - expected) / ((a + b) / 2 - expected)) if (a + b) / 2 != expected else 1.0]})
-
-    jobs = spark.createDataFrame([(kind, r) for kind in kinds for r in range(repeats)], "kind string, rep int")
-    return jobs.groupBy("kind", "rep").applyInPandas(one, "kind string, rep int, ari double")
+    scored = cut(risk.losses(made.filter(F.col("idx") > c["training_end"]), methods))
+    return scored, intervals(scored, f"{states[0] if states else 'vol_state'}_mean", c["blocks"], c["reps"], c["seed"])
+
+
+def risk_panel(panel: DataFrame, contract: Mapping[str, Any], model: Any, c: Mapping[str, Any], calendar: DataFrame | None = None) -> tuple[DataFrame, dict[str, Any]]:
+    """Forecasts of a complete panel from a frozen model's states: origins with
+    targets and losses, and a summary with metrics and intervals."""
+    first, last, ready = splits.iso_date(c["start"]), splits.iso_date(c["end"]), splits.moment(c["as_of"])
+    length, k = contract["length"], len(model.medoids)
+    if first > last or c["min_history"] < length:
+        raise ValueError("the period or the history is not valid")
+    rows = cut(panel.select(F.lit("basket").alias("symbol"), "idx", "session_date", "price_start", "price_end", "available_at", "x"))
+    if not rows.filter("x IS NULL").isEmpty():
+        raise ValueError("risk needs complete returns")
+    if faults := splits.check_contiguous(rows.drop("x"), calendar).limit(3).collect():
+        raise ValueError(f"risk needs consecutive sessions: {[(str(r['session_date']), r['fault']) for r in faults]}")
+    states = model.transform(windows.joint_windows(panel, length).select("endpoint", "sample")).select(F.col("endpoint").alias("idx"), F.col("label").alias("joint"))
+    q = F.pow(D.mean(F.transform("x", lambda v: F.expm1(v))), 2)
+    series = rows.select(F.lit("basket").alias("series"), "idx", "session_date", "price_start", "available_at", q.alias("q")).join(states, "idx", "left").withColumn("joint", F.coalesce("joint", F.lit(-1)))
+    training_end = rows.filter(F.col("session_date") <= F.lit(contract["train_end"]).cast("date")).agg(F.max("idx").alias("i")).first()["i"]
+    if training_end is None:
+        raise ValueError("there is no training history")
+    at = ready.replace(tzinfo=None).isoformat(" ")
+    made = risk.targets(risk.volatility_states(series, length, training_end), c["horizon"], at)
+    made = risk.forecasts(made, ["joint", "vol_state"], max(k, 3), length, c["horizon"], c["min_history"], c["prior"], c["decay"])
+    kept, counts = splits.risk_origins(made, c["start"], c["end"], contract["calibration_end"], at, c["min_history"] - 1)
+    origins = cut(kept.withColumn("scored", F.col("target").isNotNull()))
+    n = origins.agg(F.count("*").alias("n"), F.count_if("scored").alias("scored")).first()
+    if n["scored"] <= max(c["blocks"]):
+        raise ValueError("there are too few scored origins for the blocks")
+    if not splits.check_prefix(origins, ["series"]).isEmpty():
+        raise ValueError("scored origins are not the first ones")
+    methods = ["expanding", "rolling", "ewma", "joint_mean", "vol_state_mean"]
+    scored = cut(risk.losses(origins, methods))
+    summary = {
+        "origins": n["n"], "scored": n["scored"], "pending": n["n"] - n["scored"], "reasons": {r["reason"]: r["n"] for r in counts.collect()}, "horizon": c["horizon"], "point_in_time": False,
+        "metrics": [r.asDict() for r in risk.metrics(scored).orderBy("method").collect()], "by_year": [r.asDict() for r in risk.metrics(scored, by_year=True).orderBy("year", "method").collect()],
+        "intervals": [r.asDict() for r in intervals(scored, "joint_mean", c["blocks"], c["reps"], c["seed"]).collect()],
+    }
+    return origins, summary
+
+
+def risk_run(spark: SparkSession, bundle: str | Path, cfg: Mapping[str, Any]) -> tuple[DataFrame, dict[str, Any]]:
+    """``risk_panel`` of the snapshots that a configuration names."""
+    contract, model = frozen.load(bundle)
+    c = config.validate(cfg, RISK_JOB)
+    if (c["provider"], c["price_column"]) != (contract["provider"], contract["price_column"]) or [a["symbol"] for a in c["assets"]] != contract["symbols"]:
+        raise ValueError("the snapshots differ from the contract")
+    # the period bounds origins, not the rows in which their targets mature
+    panel = cut(inputs.panel(spark, c["assets"], c["price_column"], contract["calendar"]))
+    return risk_panel(panel, contract, model, c, inputs.CALENDARS[contract["calendar"]](spark))

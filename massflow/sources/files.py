@@ -63,7 +63,12 @@ def write_json(path: str | Path, value) -> None:
     os.replace(tmp, path)
 
 
-KINDS = {"lloyd": {"centers", "objective", "history", "n_iter", "converged", "p"}, "medoids": {"medoids", "ids", "directions", "scales", "objective", "runs"}, "hmm": {"start", "trans", "means", "covs", "shift", "scale", "loglik", "converged", "terminal"}}
+_FEATURE = {"k", "n_init", "seed", "max_iter", "scaled", "mean", "scale", "converged", "prototypes"}
+KINDS = {
+    "lloyd": {"centers", "objective", "history", "n_iter", "converged", "p"}, "medoids": {"medoids", "ids", "directions", "scales", "objective", "runs"}, "hmm": {"start", "trans", "means", "covs", "shift", "scale", "loglik", "converged", "terminal"},
+    "feature_kmeans": _FEATURE | {"centers"}, "panel_kmeans": _FEATURE | {"centers", "kind", "scales", "shape"}, "feature_gmm": _FEATURE | {"tol", "weights", "means", "covs"},
+}
+_ARRAYS = ("centers", "medoids", "directions", "scales", "start", "trans", "means", "covs", "shift", "scale", "terminal", "mean", "prototypes", "weights")
 
 
 def save_model(path: str | Path, kind: str, model) -> None:
@@ -72,30 +77,49 @@ def save_model(path: str | Path, kind: str, model) -> None:
     write_json(path, {"kind": kind, "fields": fields})
 
 
+def _check(kind: str, f: dict) -> None:
+    """Shapes and ranges that a model of a kind must have."""
+    rows = lambda x, width: x.ndim == 2 and len(x) and x.shape[1] == width
+    if kind == "lloyd":
+        c = f["centers"]
+        ok = c.ndim == 2 and (np.diff(c, axis=1) >= 0).all() and f["p"] in (1, 2) and math.isclose(f["history"][-1], f["objective"], rel_tol=1e-9)
+    elif kind == "medoids":
+        ok = f["medoids"].ndim == 3 and len(f["ids"]) == len(f["medoids"]) and (f["scales"] > 0).all() and len(f["scales"]) == f["medoids"].shape[2] == f["directions"].shape[1] and np.abs((f["directions"] ** 2).sum(1) - 1).max() <= 1e-12
+    elif kind == "hmm":
+        ok = np.allclose(f["trans"].sum(1), 1) and np.isclose(f["start"].sum(), 1) and (f["scale"] > 0).all()
+    else:
+        width = len(f["mean"])
+        ok = f["scale"].shape == f["mean"].shape and (f["scale"] > 0).all()
+        if kind == "feature_gmm":
+            ok = ok and rows(f["means"], width) and f["covs"].shape == (len(f["means"]), width, width) and np.isclose(f["weights"].sum(), 1) and len(f["weights"]) == len(f["means"])
+        else:
+            ok = ok and rows(f["centers"], width)
+        if kind == "panel_kmeans":
+            length, dims = f["shape"]
+            ok = ok and f["scales"].shape == (dims,) and (f["scales"] > 0).all() and width == {"marginal": length * dims, "covariance": dims * (dims + 1) // 2, "correlation": dims * (dims - 1) // 2}[f["kind"]]
+    if not ok:
+        raise ValueError(f"the parts of this {kind} do not fit together")
+
+
 def load_model(path: str | Path):
     """Reads and checks a model: exact fields, finite arrays, shapes."""
-    from massflow.operators import hmm, lloyd, medoids
+    from massflow.operators import hmm, lloyd, medoids, mixture
 
+    makers = {"lloyd": lloyd.Fit, "medoids": medoids.Medoids, "hmm": hmm.Hmm, "feature_kmeans": lloyd.FeatureKMeans, "panel_kmeans": lloyd.PanelKMeans, "feature_gmm": mixture.FeatureGmm}
     data = json.loads(Path(path).read_text())
-    if set(data) != {"kind", "fields"} or data["kind"] not in KINDS or set(data["fields"]) != KINDS[data["kind"]]:
+    if not isinstance(data, dict) or set(data) != {"kind", "fields"} or data["kind"] not in KINDS or set(data["fields"]) != KINDS[data["kind"]]:
         raise ValueError("not a model file of a known kind")
     f = dict(data["fields"])
-    arrays = {k: np.array(f[k], float) for k in ("centers", "medoids", "directions", "scales", "start", "trans", "means", "covs", "shift", "scale", "terminal") if f.get(k) is not None}
-    if any(not np.isfinite(a).all() for a in arrays.values()):
+    f |= {k: np.array(f[k], float) for k in _ARRAYS if f.get(k) is not None}
+    if any(not np.isfinite(f[k]).all() for k in _ARRAYS if f.get(k) is not None):
         raise ValueError("a model's numbers must be finite")
-    f |= arrays
-    if data["kind"] == "lloyd":
-        c = f["centers"]
-        if c.ndim != 2 or (np.diff(c, axis=1) < 0).any() or f["p"] not in (1, 2) or not math.isclose(f["history"][-1], f["objective"], rel_tol=1e-9):
-            raise ValueError("centers must be sorted rows, and the objective the last of its history")
-        return lloyd.Fit(**f)
-    if data["kind"] == "medoids":
-        if f["medoids"].ndim != 3 or len(f["ids"]) != len(f["medoids"]) or (f["scales"] <= 0).any() or np.abs((f["directions"] ** 2).sum(1) - 1).max() > 1e-12:
-            raise ValueError("medoids, scales or directions are not valid")
-        return medoids.Medoids(**f)
-    if not np.allclose(f["trans"].sum(1), 1) or not np.isclose(f["start"].sum(), 1):
-        raise ValueError("probabilities must sum to one")
-    return hmm.Hmm(**f)
+    _check(data["kind"], f)
+    maker = makers[data["kind"]]
+    if data["kind"] in ("lloyd", "medoids", "hmm"):
+        return maker(**f)
+    model = maker.__new__(maker)
+    model.__dict__.update(f)
+    return model
 
 
 def bars_svg(values: dict[str, float], width: int = 480) -> str:

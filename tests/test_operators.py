@@ -376,10 +376,3 @@ def test_control_streams(kind):
         assert set(truth) == {-1, 0, 1} and (truth == -1).sum() == 312
     with pytest.raises(ValueError):
         synthetic.control_stream("none", 1)
-
-
-def test_synthetic_study(spark):
-    from massflow.plans.studies import synthetic_study
-
-    got = {r["kind"]: r["ari"] for r in synthetic_study(spark, ["variance", "signed_exponential", "normal_t5"], 63, 1).collect()}
-    assert got["variance"] > 0.95 and got["signed_exponential"] > 0.95 and got["normal_t5"] < 0.6
