@@ -5,8 +5,6 @@ from __future__ import annotations
 import atexit
 import contextlib
 import ctypes
-import re
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -15,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from massflow.session import shared_dir
+
 #: Rows of an Arrow batch that are turned into Python objects at once.
 SLICE_ROWS = 1024
 #: Most bytes of an Arrow batch between Spark and Python (a larger row is alone).
@@ -24,9 +24,6 @@ BATCH_BYTES = 8 << 20
 SPACE = r"[\x20\x09-\x0D]"
 NOT_SPACE = r"[^\x20\x09-\x0D]"
 
-#: Most rows of one key that a join leaves in one task, if that is over a
-#: thousandth of all rows.
-HOT_ROWS = 10_000
 #: Most rows that are broadcast after a count (of short columns, so some MB).
 BROADCAST_ROWS = 100_000
 
@@ -37,21 +34,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's
-    ``spark.checkpoint.dir``.  Where it is unset a local master (tests) gets a new
-    local folder; a cluster has no folder to fall back on, which is an error."""
-    sc = spark.sparkContext
-    found = sc._jsc.sc().getCheckpointDir()
-    if found.isDefined():
-        return found.get()
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured is None and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="massflow-"))
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
 def fresh_path(spark: SparkSession, tag: str) -> str:
     """A new path in the shared folder.  Results are read from such tables
     whenever they are computed, so what is there at the end goes with the driver."""
@@ -90,25 +72,6 @@ def remove(spark: SparkSession, path: str) -> None:
     _made.pop(path, None)
 
 
-def join_spread(left: DataFrame, right: DataFrame, key: str, n: str, total: int, how: str = "inner") -> DataFrame:
-    """``left.join(right, key, how)`` (inner or left) for a written ``right`` of unique
-    ``key`` whose column ``n`` counts the key's rows in ``left``, of ``total`` rows.
-
-    A key of over ``HOT_ROWS`` rows and a thousandth of all is dealt to several
-    tasks, with a copy of its row of ``right`` for each; there are at most 1,000
-    such keys, and these are broadcast.  ``n`` is dropped."""
-    bound = max(HOT_ROWS, total // 1000)
-    hot = right.filter(F.col(n) > bound).select(F.col(key).alias("hot_key"), F.ceil(F.col(n) / bound).cast("long").alias("hot_parts"))
-    if hot.isEmpty():
-        return left.join(right.drop(n), key, how)
-    parts = F.greatest(F.lit(1), F.ceil(F.col(n) / bound)).cast("long")
-    copies = right.withColumn("hot_part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop(n)
-    marked = left.join(F.broadcast(hot), left[key] == F.col("hot_key"), "left")  # 1,000 rows at most
-    spread = F.pmod(F.xxhash64(F.spark_partition_id(), *[c for c, kind in left.dtypes if kind in ("bigint", "int")]), F.col("hot_parts"))
-    marked = marked.withColumn("hot_part", F.coalesce(spread, F.lit(0).cast("long"))).drop("hot_key", "hot_parts")
-    return marked.join(copies, [key, "hot_part"], how).drop("hot_part")
-
-
 def bucket5(doc_id: Column) -> Column:
     """crc32(doc_id as text) mod 5; a null id counts as the empty text (0)."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(5))

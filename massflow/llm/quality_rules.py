@@ -21,7 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from massflow.llm.common import BROADCAST_ROWS, NOT_SPACE, SPACE, free_name, join_spread, materialise, table
+from massflow.llm.common import BROADCAST_ROWS, NOT_SPACE, SPACE, free_name, materialise, table
+from massflow.operators.joins import join_spread
 
 WINDOW = 8
 MIN_WORDS = 20

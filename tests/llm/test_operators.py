@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from massflow.llm import common, language, licenses, media, mixing, pieces, quality_model, quality_rules, simhash, token_counts, warc
 from massflow.llm.queries import QUERIES, SQL
+from massflow.operators import joins
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -159,7 +160,7 @@ def test_quality_rules_of_large_groups(spark, monkeypatch):
     got = against_sql(spark, "op6_quality_rules", "/root/testdata/sf0.1")
     assert (~got.base_failed & ~got.kept).sum() > 100
     monkeypatch.setattr(quality_rules, "BROADCAST_ROWS", 0)
-    monkeypatch.setattr(common, "HOT_ROWS", 20)
+    monkeypatch.setattr(joins, "HOT_ROWS", 20)
     again = QUERIES["op6_quality_rules"](spark, "/root/testdata/sf0.01").toPandas()
     monkeypatch.undo()
     plain = QUERIES["op6_quality_rules"](spark, "/root/testdata/sf0.01").toPandas()
@@ -201,8 +202,8 @@ def test_join_spread(spark, monkeypatch, how):
     right = spark.createDataFrame([(w, c, f"<{w}>") for w, c in n.items()], "word string, n long, v string").selectExpr("struct(word) AS k", "n", "v")
     want = sorted((i, f"<{w}>" if w in n else "") for i, w in data if how == "left" or w in n)
     for hot in (10, 10_000):
-        monkeypatch.setattr(common, "HOT_ROWS", hot)
-        got = common.join_spread(left, right, "k", "n", 3000, how)
+        monkeypatch.setattr(joins, "HOT_ROWS", hot)
+        got = joins.join_spread(left, right, "k", "n", 3000, how)
         assert sorted((r["doc_id"], r["v"] or "") for r in got.collect()) == want
 
 
@@ -383,7 +384,7 @@ def test_hot_fingerprints_are_spread(spark, monkeypatch):
     texts = ["", LINE, LINE + "end", "one two three"]
     df = spark.createDataFrame([(i, texts[0] if i < 900 else texts[i % 4]) for i in range(1500)], "doc_id long, text string").repartition(4)
     plain = sorted(map(str, simhash.near_duplicates(df).collect()))
-    monkeypatch.setattr(common, "HOT_ROWS", 10)
+    monkeypatch.setattr(joins, "HOT_ROWS", 10)
     assert sorted(map(str, simhash.near_duplicates(df).collect())) == plain
 
 
@@ -736,7 +737,7 @@ def test_warc_of_a_hot_url_and_a_hot_payload(spark, monkeypatch):
     want = [{"page_id": i, "payload_bytes": len(h), "payload_digest": hashlib.sha256(h.encode()).hexdigest(), "record_type": "revisit" if i % 4 and i != first else "response", "refers_to": first if i % 4 and i != first else None} for i, _, h in data]
     assert plain == sorted(str(Row(**w)) for w in want)
     monkeypatch.setattr(warc, "BROADCAST_ROWS", 0)
-    monkeypatch.setattr(common, "HOT_ROWS", 50)
+    monkeypatch.setattr(joins, "HOT_ROWS", 50)
     assert sorted(map(str, warc.archive_round_trip(df).collect())) == plain
 
 
