@@ -176,7 +176,7 @@ def test_diagnostics_flag_collapsed_agreement(spark):
 
 def study(snapshots, symbol=0):
     return {
-        "version": 1, **snapshots[symbol], "provider": "made up", "price_column": "Adj Close", "calendar": "weekly", "length": 10, "fit_stride": 2, "score_stride": 1, "fit_strides": [2], "horizon": 2, "ks": [2], "seed": 2, "n_init": 1, "models": ["w2", "shape_w2", "volatility"],
+        "version": 1, **snapshots[symbol], "provider": "made up", "price_column": "Adj Close", "calendar": "weekly", "length": 10, "fit_stride": 2, "score_stride": 1, "fit_strides": [2], "horizon": 2, "ks": [2], "seed": 2, "n_init": 1, "models": ["w2", "shape_w2"],
         "years": [1997, 1998], "holdout_start": "1999-01-01", "data_cutoff": "2000-06-30", "validation_years": 1, "novelty": 0.95, "seed_repeats": 1, "bootstrap_repeats": 1, "bootstrap_block": 12, "null_repeats": 1,
     }
 
@@ -198,7 +198,7 @@ def test_cross_asset_study(spark, snapshots, tmp_path, monkeypatch):
     strict = dev["folds"][0]["models"]["w2"]["strict"]
     assert strict["n"] < dev["folds"][0]["models"]["w2"]["operational"]["n"] and sum(strict["counts"]) == strict["n"] and 0 <= strict["ood_rate"] <= 1
     assert sum(strict["center_decomposition"].values()) == pytest.approx(1) and {r["label"] for r in strict["conditional_outcomes"]["future_volatility"]} <= {0, 1}
-    assert set(dev["stability"]["models"]) == {"w2", "shape_w2", "volatility"} and len(dev["overlap"]["rows"]) == 1
+    assert set(dev["stability"]["models"]) == {"w2", "shape_w2"} and len(dev["overlap"]["rows"]) == 1
     monkeypatch.setattr(univariate, "fold", None)
     assert univariate.run(spark, configs["AAA"], tmp_path) == Path(runs["AAA"]["development"])
 
