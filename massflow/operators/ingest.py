@@ -7,6 +7,7 @@ calendar, and is null if either price is missing: gaps are never bridged.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,11 +47,23 @@ def off_calendar(prices: DataFrame, calendar: DataFrame) -> DataFrame:
 
 
 def validate(prices: DataFrame, calendar: DataFrame) -> None:
-    """Raise with the first offending rows, if any."""
+    """Raise with the first offending rows, if any; all rules are one plan."""
     require_columns(prices, ["symbol", "session_date", "price"])
-    for what, bad in (("prices that are not positive and finite", bad_prices(prices)), ("duplicate sessions", duplicate_sessions(prices)), ("dates that are no session", off_calendar(prices, calendar))):
-        if found := bad.limit(5).collect():
-            raise ValueError(f"{what}: {[(r['symbol'], str(r['session_date'])) for r in found]}")
+    rules = {"prices that are not positive and finite": bad_prices(prices), "duplicate sessions": duplicate_sessions(prices), "dates that are no session": off_calendar(prices, calendar)}
+    every = reduce(DataFrame.unionByName, [bad.select(F.lit(what).alias("what"), F.col("symbol").cast("string").alias("symbol"), F.col("session_date").cast("string").alias("day")) for what, bad in rules.items()])
+    if found := every.limit(5).collect():
+        raise ValueError(f"{found[0]['what']}: {[(r['symbol'], r['day'], r['what']) for r in found]}")
+
+
+def fingerprint(df: DataFrame, keys: Sequence[str], columns: Sequence[Column]) -> DataFrame:
+    """(keys, n, fingerprint): 26 hex digits that depend on the rows' columns, as text,
+    and on how often each row occurs, but not on their order or partitions.  Two
+    halves of every row's MD5 are added up."""
+    line = F.md5(F.concat_ws("|", *[F.coalesce(c.cast("string"), F.lit("~")) for c in columns]).cast("binary"))
+    part = lambda at: F.sum(F.conv(F.substring(line, at, 13), 16, 10).cast("decimal(38,0)"))
+    made = df.groupBy(*keys).agg(F.count("*").alias("n"), part(1).alias("a"), part(14).alias("b"))
+    half = lambda c: F.lpad(F.lower(F.hex((F.col(c) % F.lit(1 << 52).cast("decimal(38,0)")).cast("long"))), 13, "0")
+    return made.select(*keys, "n", F.concat(half("a"), half("b")).alias("fingerprint"))
 
 
 def _spine(prices: DataFrame, calendar: DataFrame) -> DataFrame:

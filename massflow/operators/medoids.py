@@ -10,10 +10,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import InheritableThread
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from massflow.operators.geometry import matrix, power_cost, project, sliced_w2
+from massflow.operators.geometry import blas_cost, matrix, power_cost, project, sliced_w2
 
 
 @dataclass
@@ -70,19 +71,33 @@ def fit(df: DataFrame, k: int, directions: np.ndarray, scales: np.ndarray, candi
     candidates are skipped and logged in ``runs``."""
     scales = np.asarray(scales, float)
     runs, sets, ids = [], [], []
+    own = df.select(F.col(id_col).cast("long").alias("id"), "sample")
+    samples: dict[int, list] = {}
+
+    def draw(r: int) -> None:
+        samples[r] = own.orderBy(F.xxhash64(F.lit(seed + r), "id"), "id").limit(candidates).collect()
+
+    threads = [InheritableThread(target=draw, args=(r,)) for r in range(n_init)]  # short jobs, side by side
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    if len(samples) < n_init:
+        raise RuntimeError("candidates could not be drawn")
     for r in range(n_init):
-        rows = df.select(F.col(id_col).cast("long").alias("id"), "sample").orderBy(F.xxhash64(F.lit(seed + r), "id"), "id").limit(candidates).collect()
-        rows.sort(key=lambda x: x["id"])
-        own = np.array([x["sample"] for x in rows], float)
-        z = project(own.reshape(len(own), -1), directions, scales) if len(own) else np.zeros((0, 1))
+        rows = sorted(samples[r], key=lambda x: x["id"])
+        found = np.array([x["sample"] for x in rows], float)
+        z = project(found.reshape(len(found), -1), directions, scales) if len(found) else np.zeros((0, 1))
         distinct = np.sort(np.unique(z, axis=0, return_index=True)[1]) if len(z) else np.zeros(0, int)
         if len(distinct) < k:
             runs.append({"run": r, "skipped": True})
             continue
         start = np.random.default_rng(seed + r).choice(distinct, k, replace=False).tolist()
-        chosen = search(power_cost(z, z, 2), start)
+        cost = blas_cost(z, z)
+        np.fill_diagonal(cost, 0)
+        chosen = search(cost, start)
         runs.append({"run": r, "skipped": False})
-        sets.append(own[chosen])
+        sets.append(found[chosen])
         ids.append([rows[i]["id"] for i in chosen])
     if not sets:
         raise ValueError("no restart has k distinct candidates")

@@ -12,9 +12,10 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from massflow.operators import evaluate, splits, windows
+from massflow.operators import splits, windows
 from massflow.operators.medoids import Medoids
 from massflow.plans import artifacts, config, inputs, joint
+from massflow.session import cut
 from massflow.sources import files
 
 #: Modules whose numbers a frozen model depends on.
@@ -86,17 +87,17 @@ def score(panel: DataFrame, symbols: list[str], contract: Mapping[str, Any], mod
     first, last, ready = splits.iso_date(start), splits.iso_date(end), splits.moment(as_of)
     if first > last:
         raise ValueError("scoring starts after its end")
-    asked = windows.joint_windows(panel, c["length"]).filter(F.col("session_date").between(F.lit(first), F.lit(last)))
+    asked = cut(windows.joint_windows(panel, c["length"]).filter(F.col("session_date").between(F.lit(first), F.lit(last))))
     kept, counts = splits.as_of(asked, c["train_end"], ready.replace(tzinfo=None).isoformat(" "))
     n = counts.first().asDict()
     if not n["scored"]:
         raise ValueError("no complete window is available after training")
     made = model.transform(kept).select("endpoint", "session_date", "price_start", "price_end", "available_at", F.col("label").alias("state"), F.col("nearest").alias("nearest_distance"))
-    made = made.withColumns({"novelty": F.col("nearest_distance") > c["novelty_threshold"], "calibration_reuse": F.col("session_date") <= F.lit(splits.iso_date(c["calibration_end"]))})
-    occupied = {r["label"]: r["n"] for r in evaluate.occupancy(made.withColumnRenamed("state", "label"), len(model.medoids)).collect()}
-    total = made.agg(F.avg(F.col("novelty").cast("double")).alias("novel"), F.max("calibration_reuse").alias("reuse"), F.min("session_date").alias("lo"), F.max("session_date").alias("hi")).first()
+    made = cut(made.withColumns({"novelty": F.col("nearest_distance") > c["novelty_threshold"], "calibration_reuse": F.col("session_date") <= F.lit(splits.iso_date(c["calibration_end"]))}))
+    k = len(model.medoids)
+    total = made.agg(*[F.count_if(F.col("state") == j).alias(f"n{j}") for j in range(k)], F.avg(F.col("novelty").cast("double")).alias("novel"), F.max("calibration_reuse").alias("reuse"), F.min("session_date").alias("lo"), F.max("session_date").alias("hi")).first()
     summary = {
-        "windows": n["scored"], "counts": [occupied[j] for j in range(len(model.medoids))], "novelty_fraction": total["novel"], "excluded_training_overlap": n["overlap_training"], "excluded_unavailable": n["not_available"],
+        "windows": n["scored"], "counts": [total[f"n{j}"] for j in range(k)], "novelty_fraction": total["novel"], "excluded_training_overlap": n["overlap_training"], "excluded_unavailable": n["not_available"],
         "novelty_reading": "retrospective, in the calibration period" if total["reuse"] else "after calibration", "point_in_time": False, "period": [str(total["lo"]), str(total["hi"])],
     }
     return made, summary

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import lru_cache, reduce
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from massflow.operators import ingest, windows
+from massflow.session import cut
 from massflow.sources import calendar, files
 
 YEARS = ("1990-01-01", "2030-12-31")
@@ -19,39 +21,53 @@ CALENDARS = {
 }
 
 
-def snapshot(spark: SparkSession, asset: Mapping[str, str], price_column: str) -> DataFrame:
-    """(symbol, session_date, price) of an asset's CSV file, whose bytes must be
-    those of the configuration and of its sidecar."""
-    if files.check_sidecar(spark, asset["dataset"], asset["symbol"]) != asset["sha256"]:
-        raise ValueError(f"{asset['dataset']} is not the snapshot of the configuration")
-    return files.price_csv(spark, asset["dataset"], asset["symbol"], price_column=price_column)
+@lru_cache(maxsize=8)
+def sessions_of(spark: SparkSession, name: str) -> DataFrame:
+    """A calendar, made once a session."""
+    return cut(CALENDARS[name](spark))
+
+
+def check_snapshots(spark: SparkSession, assets: Sequence[Mapping[str, str]]) -> dict[str, str]:
+    """Hashes by symbol, if the bytes of all files are those of the configuration and
+    of their sidecars."""
+    found = files.sidecars(spark, [a["dataset"] for a in assets])
+    for a in assets:
+        digest, side = found[a["dataset"]]
+        if side.get("symbol") != a["symbol"] or side.get("sha256", side.get("dataset_sha256")) != digest or digest != a["sha256"]:
+            raise ValueError(f"{a['dataset']} is not the snapshot of the configuration")
+    return {a["symbol"]: a["sha256"] for a in assets}
+
+
+def prices(spark: SparkSession, assets: Sequence[Mapping[str, str]], price_column: str) -> DataFrame:
+    """(symbol, session_date, price) of the assets' files, after ``check_snapshots``."""
+    check_snapshots(spark, assets)
+    parts = [files.price_csv(spark, a["dataset"], a["symbol"], price_column=price_column) for a in assets]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def returns(spark: SparkSession, assets: Sequence[Mapping[str, str]], price_column: str, sessions: str, cutoff: str | None = None) -> DataFrame:
     """Log returns of all assets; nothing after ``cutoff`` is read any further."""
-    days, out = CALENDARS[sessions](spark), None
-    for asset in assets:
-        prices = snapshot(spark, asset, price_column)
-        if cutoff is not None:
-            prices = prices.filter(F.col("session_date") <= F.lit(cutoff).cast("date"))
-        ingest.validate(prices, days)
-        one = ingest.log_returns(prices, days)
-        out = one if out is None else out.unionByName(one)
-    return out
+    days, rows = sessions_of(spark, sessions), prices(spark, assets, price_column)
+    if cutoff is not None:
+        rows = rows.filter(F.col("session_date") <= F.lit(cutoff).cast("date"))
+    rows = cut(rows)
+    ingest.validate(rows, days)
+    return ingest.log_returns(rows, days)
 
 
 def panel(spark: SparkSession, assets: Sequence[Mapping[str, str]], price_column: str, sessions: str, cutoff: str | None = None) -> DataFrame:
-    """The joint panel of the assets over their common sessions."""
-    shared = ingest.common_history(returns(spark, assets, price_column, sessions, cutoff))
-    days = CALENDARS[sessions](spark).select(F.col("session_date").alias("_day"), "session_no")
-    span = shared.agg(F.min("common_start").alias("lo")).first()["lo"]
-    if span is None:
+    """The joint panel of the assets over their common sessions, written once."""
+    own = cut(returns(spark, assets, price_column, sessions, cutoff))
+    days = sessions_of(spark, sessions).select(F.col("session_date").alias("_day"), "session_no")
+    numbered = own.join(F.broadcast(days), F.col("session_date") == F.col("_day")).drop("_day")  # a calendar's days
+    by = numbered.groupBy("symbol").agg(F.min("session_no").alias("lo"), F.max("session_no").alias("hi"))
+    span = by.agg(F.max("lo").alias("lo"), F.min("hi").alias("hi")).first()
+    if span["lo"] is None or span["lo"] > span["hi"]:
         raise ValueError("the assets share no history")
-    first = days.filter(F.col("_day") == F.lit(span)).first()["session_no"]
-    shared = shared.drop("common_start", "common_end").join(F.broadcast(days), F.col("session_date") == F.col("_day")).drop("_day")  # a calendar's days
-    return windows.joint_panel(shared.withColumn("idx", F.col("session_no") - first).drop("session_no"), [a["symbol"] for a in assets])
+    shared = numbered.filter(F.col("session_no").between(span["lo"], span["hi"])).withColumn("idx", F.col("session_no") - span["lo"]).drop("session_no")
+    return cut(windows.joint_panel(shared, [a["symbol"] for a in assets]))
 
 
 def identity(spark: SparkSession, assets: Sequence[Mapping[str, str]], provider: str, price_column: str) -> dict[str, Any]:
     """What was read: hashes by symbol, provider and column."""
-    return {"provider": provider, "price_column": price_column, "assets": {a["symbol"]: files.file_sha256(spark, a["dataset"]) for a in assets}}
+    return {"provider": provider, "price_column": price_column, "assets": check_snapshots(spark, assets)}

@@ -173,7 +173,7 @@ def develop(spark: SparkSession, cfg: Mapping[str, Any], root: str | Path) -> Pa
     if target.exists():
         artifacts.verify(target)
         return target
-    panel = cut(inputs.panel(spark, c["assets"], c["price_column"], c["calendar"], c["validation_end"]))
+    panel = inputs.panel(spark, c["assets"], c["price_column"], c["calendar"], c["validation_end"])
     wins = cut(split_windows(panel, c))
     with artifacts.publish(target) as tmp:
         models, note = fit_models(panel, wins, c)
@@ -214,7 +214,7 @@ def assess(spark: SparkSession, cfg: Mapping[str, Any], development: str | Path)
         if json.loads((target / "manifest.json").read_text())["development"] != digest:
             raise ValueError("the assessment at hand is of another development")
         return target
-    panel = cut(inputs.panel(spark, c["assets"], c["price_column"], c["calendar"], c["assessment_end"]))
+    panel = inputs.panel(spark, c["assets"], c["price_column"], c["calendar"], c["assessment_end"])
     held = cut(split_windows(panel, c).filter("split = 'test'"))
     models = load_models(dev / "models")
     table = cut(assignments(models, panel, held))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from massflow.functions import distributions as D
 from massflow.operators import evaluate, geometry, hmm, ingest, lloyd, medoids, mixture, resample, risk, splits, windows
 from massflow.plans import panels as P
+from massflow.session import cut
 from massflow.sources import calendar, synthetic
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,6 +80,12 @@ def ingest_bad_prices(spark, d):
     return ingest.bad_prices(P.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("price")))
 
 
+@query("ingest_fingerprint", f"""SELECT c_nationkey, count(*) AS n, {" || ".join(f"lpad(to_hex((sum(('0x' || substr(md5(c_custkey || '|' || coalesce((c_acctbal * 100)::BIGINT::VARCHAR, '~')), {at}, 13))::HUGEINT) % {1 << 52})::BIGINT), 13, '0')" for at in (1, 14))} AS fingerprint
+  FROM customer GROUP BY c_nationkey""".replace("to_hex(", "lower(to_hex(").replace("::BIGINT), 13", "::BIGINT)), 13"))
+def ingest_fingerprint(spark, d):
+    return ingest.fingerprint(P.table(spark, d, "customer"), ["c_nationkey"], [F.col("c_custkey"), F.round(F.col("c_acctbal") * 100).cast("long")])
+
+
 @query("ingest_duplicate_sessions", "SELECT l_returnflag AS symbol, l_shipdate::DATE AS session_date, count(*) AS n, min(l_extendedprice) <> max(l_extendedprice) AS conflicting FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
 def ingest_duplicate_sessions(spark, d):
     rows = P.table(spark, d, "lineitem").select(F.col("l_returnflag").alias("symbol"), F.to_date("l_shipdate").alias("session_date"), F.col("l_extendedprice").alias("price"))
@@ -609,9 +616,8 @@ def lloyd_w1(spark, d):
 
 @query("choose_k")
 def choose_k(spark, d):
-    q = lloyd.coordinates(P.samples(spark, d), "id").cache()
+    q = cut(lloyd.coordinates(P.samples(spark, d), "id"))
     best, scores, fits = lloyd.choose_k(q.filter("id % 2 = 0"), q.filter("id % 2 = 1"), [2, 3, 4], n_init=5)
-    q.unpersist()
     return spark.createDataFrame([(k, float(v), fits[k].converged, k == best) for k, v in scores.items()], "k int, silhouette double, converged boolean, chosen boolean")
 
 
@@ -631,14 +637,14 @@ STEPS_OF_FIT = 12
   fs AS (SELECT {_WINDOW_ID} AS id, symbol, endpoint, {_RICH} AS f FROM mm), {_scaled_sql('fs')}, {', '.join(_lloyd_sql('e', 3, STEPS_OF_FIT, seed=1))}
   SELECT symbol, endpoint, k::INTEGER AS label, {r('sqrt(d)')} AS nearest FROM a{STEPS_OF_FIT} JOIN (SELECT id, symbol, endpoint FROM fs) USING (id)""")
 def feature_kmeans(spark, d):
-    w = with_id(P.weekly_windows(spark, d)).withColumn("features", D.features(F.col("sample"), "rich")).cache()
+    w = cut(with_id(P.weekly_windows(spark, d)).withColumn("features", D.features(F.col("sample"), "rich")))
     got = lloyd.FeatureKMeans(3, n_init=1, seed=1, max_iter=STEPS_OF_FIT).fit(w, "id").predict(w, "id")
     return w.select("id", "symbol", "endpoint").join(got, "id").select("symbol", "endpoint", "label", rnd(F.array_min("distance")).alias("nearest"))
 
 
 @query("feature_gmm")
 def feature_gmm(spark, d):
-    w = with_id(P.weekly_windows(spark, d)).withColumn("features", D.features(F.col("sample"), "moments")).cache()
+    w = cut(with_id(P.weekly_windows(spark, d)).withColumn("features", D.features(F.col("sample"), "moments")))
     got = mixture.FeatureGmm(3, n_init=2).fit(w, "id").predict(w, "id")
     return w.select("id", "symbol", "endpoint").join(got, "id").select("symbol", "endpoint", "label")
 
@@ -646,7 +652,7 @@ def feature_gmm(spark, d):
 @query("panel_kmeans", f"""WITH {RET}, {JWIN}, fs AS (SELECT endpoint AS id, [{', '.join(_cov(i, j) for i in (1, 2, 3) for j in (1, 2, 3) if i <= j)}] AS f FROM jw),
   {_scaled_sql('fs')}, {', '.join(_lloyd_sql('e', 3, STEPS_OF_FIT, seed=1))} SELECT id AS endpoint, k::INTEGER AS label, {r('sqrt(d)')} AS nearest FROM a{STEPS_OF_FIT}""")
 def panel_kmeans(spark, d):
-    w = windows.joint_windows(P.weekly_panel(spark, d), L).cache()
+    w = cut(windows.joint_windows(P.weekly_panel(spark, d), L))
     got = lloyd.PanelKMeans("covariance", 3, n_init=1, seed=1, max_iter=STEPS_OF_FIT).fit(w).predict(w)
     return got.select(F.col("id").alias("endpoint"), "label", rnd(F.array_min("distance")).alias("nearest"))
 
@@ -654,7 +660,7 @@ def panel_kmeans(spark, d):
 @query("panel_kmeans_marginal", f"""WITH {RET}, {JWIN}, e AS (SELECT endpoint AS id, [v / sqrt({3 * L}.0::DOUBLE) FOR v IN list_concat({', '.join(f'list_sort([x[{i}] FOR x IN sample])' for i in (1, 2, 3))})] AS q FROM jw),
   {', '.join(_lloyd_sql('e', 2, STEPS_OF_FIT, seed=2))} SELECT id AS endpoint, k::INTEGER AS label, {r('sqrt(d)')} AS nearest FROM a{STEPS_OF_FIT}""")
 def panel_kmeans_marginal(spark, d):
-    w = windows.joint_windows(P.weekly_panel(spark, d), L).cache()
+    w = cut(windows.joint_windows(P.weekly_panel(spark, d), L))
     got = lloyd.PanelKMeans("marginal", 2, n_init=1, seed=2, max_iter=STEPS_OF_FIT).fit(w).predict(w)
     return got.select(F.col("id").alias("endpoint"), "label", rnd(F.array_min("distance")).alias("nearest"))
 
@@ -685,7 +691,7 @@ def iid_null_dwell(spark, d):
 
 @query("sliced_medoids")
 def sliced_medoids(spark, d):
-    w = windows.joint_windows(P.weekly_panel(spark, d), L).select("endpoint", "sample").cache()
+    w = cut(windows.joint_windows(P.weekly_panel(spark, d), L).select("endpoint", "sample"))
     model = medoids.fit(w, 3, geometry.unit_directions(16, 3, 5), np.full(3, 0.05), candidates=64, n_init=2)
     return model.transform(w).select("endpoint", "label", rnd("nearest").alias("nearest"))
 

@@ -83,5 +83,5 @@ def risk_run(spark: SparkSession, bundle: str | Path, cfg: Mapping[str, Any]) ->
     if (c["provider"], c["price_column"]) != (contract["provider"], contract["price_column"]) or [a["symbol"] for a in c["assets"]] != contract["symbols"]:
         raise ValueError("the snapshots differ from the contract")
     # the period bounds origins, not the rows in which their targets mature
-    panel = cut(inputs.panel(spark, c["assets"], c["price_column"], contract["calendar"]))
-    return risk_panel(panel, contract, model, c, inputs.CALENDARS[contract["calendar"]](spark))
+    panel = inputs.panel(spark, c["assets"], c["price_column"], contract["calendar"])
+    return risk_panel(panel, contract, model, c, inputs.sessions_of(spark, contract["calendar"]))

@@ -140,7 +140,7 @@ def _reference(spark: SparkSession, m: Mapping[str, Any], development: str | Pat
     _, manifest, _, digest = joint.parent(development, m)
     if manifest["data_identity"] != artifacts.identity(inputs.identity(spark, m["assets"], m["provider"], m["price_column"])):
         raise ValueError("the snapshots differ from those of the development")
-    panel = cut(inputs.panel(spark, m["assets"], m["price_column"], m["calendar"], m["validation_end"]))
+    panel = inputs.panel(spark, m["assets"], m["price_column"], m["calendar"], m["validation_end"])
     anchors = cut(joint.split_windows(panel, m).filter("split = 'validation'").select("endpoint", "sample"))
     return files.load_model(Path(development) / "models" / "scaled_joint.json"), panel, anchors, digest
 

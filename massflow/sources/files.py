@@ -7,7 +7,9 @@ import html
 import json
 import math
 import os
+import re
 from pathlib import Path
+from urllib.parse import unquote
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -28,10 +30,19 @@ def price_csv(spark: SparkSession, path: str, symbol: str, date_column: str = "D
     return raw.select(F.lit(symbol).alias("symbol"), F.to_date(F.col(f"`{date_column}`")).alias("session_date"), F.col(f"`{price_column}`").try_cast("double").alias("price"))
 
 
+def sidecars(spark: SparkSession, paths: list[str]) -> dict[str, tuple[str, dict]]:
+    """The hash of each file's raw bytes and what its JSON sidecar says."""
+    every = spark.read.format("binaryFile").load([x for p in paths for x in (p, f"{p}.json")])
+    side = F.col("path").endswith(".json")
+    rows = every.select("path", F.sha2("content", 256).alias("hash"), F.when(side, F.col("content").cast("string")).alias("text")).collect()  # few, named files
+    by_name = {unquote(re.sub("^[a-z0-9]+:/*", "/", r["path"])): r for r in rows}
+    at = lambda p: by_name[re.sub("^[a-z0-9]+:/*", "/", p) if ":" in p else os.path.abspath(p)]
+    return {p: (at(p)["hash"], json.loads(at(f"{p}.json")["text"])) for p in paths}
+
+
 def check_sidecar(spark: SparkSession, path: str, symbol: str) -> str:
     """The file's hash, if its JSON sidecar agrees on symbol and hash."""
-    side = json.loads("\n".join(r[0] for r in spark.read.text(f"{path}.json").collect()))
-    own = file_sha256(spark, path)
+    own, side = sidecars(spark, [path])[path]
     if side.get("symbol") != symbol or side.get("sha256", side.get("dataset_sha256")) != own:
         raise ValueError(f"{path} does not match its sidecar")
     return own

@@ -1,8 +1,9 @@
 """Causal operators as arbitrary stateful streams.
 
-Each series keeps a fixed-size state; rows of a micro-batch are taken in idx
-order.  Rows must reach a series in order of idx between batches: a row whose
-idx was passed already is late, and is dropped and not mixed into history."""
+``stream_sessions`` turns ticks in any order into sessions by event time and a
+watermark.  The others keep a fixed-size state for each series; rows of a micro-batch
+are taken in idx order.  Rows must reach a series in order of idx between batches: a
+row whose idx was passed already is late, and is dropped and not mixed into history."""
 
 from __future__ import annotations
 
@@ -11,6 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from massflow.operators.hmm import Hmm
@@ -22,6 +24,17 @@ def _rows(state: GroupState, empty: tuple, parts: Iterator[pd.DataFrame], last:
     return own, g[g["idx"] > own[last]]
 
 
+def stream_sessions(ticks: DataFrame, session: str = "1 day", lateness: str = "2 hours") -> DataFrame:
+    """(symbol, session_start, price, n, available_at) from ticks (symbol, ts, price):
+    the last price of each session of event time, whatever the order of arrival.
+
+    A session is given out once, when the watermark (the latest event time less
+    ``lateness``) has passed its end; a tick that comes after that is dropped.  So a
+    price is known ``lateness`` after its session's end, which ``available_at`` says."""
+    made = ticks.withWatermark("ts", lateness).groupBy("symbol", F.window("ts", session)).agg(F.max_by("price", F.struct("ts", "price")).alias("price"), F.count("*").alias("n"))
+    return made.select("symbol", F.col("window.start").alias("session_start"), "price", "n", (F.col("window.end") + F.expr(f"INTERVAL {lateness}")).alias("available_at"))
+
+
 def stream_windows(rows: DataFrame, length: int) -> DataFrame:
     """(symbol, endpoint, sample) as soon as ``length`` finite consecutive values
     are there; a gap (null, or a skipped idx) empties the ring."""

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from massflow import cli
 from massflow.functions import distributions as D
 from massflow.functions import local
-from massflow.operators import evaluate, geometry, hmm, lloyd, medoids, mixture, risk, windows
+from massflow.operators import evaluate, geometry, hmm, ingest, lloyd, medoids, mixture, risk, windows
 from massflow.plans import artifacts, config, frozen, inputs, jobs, joint, panels, studies, synthetic_suite, univariate, validation
 from massflow.sources import files
 
@@ -107,7 +107,7 @@ def test_development_does_not_see_the_future(spark, market, development, tmp_pat
     assert near == other
     (tmp_path / "AAA.csv").write_text("changed")
     with pytest.raises(ValueError):
-        inputs.snapshot(spark, far[0], "Adj Close")
+        inputs.prices(spark, far, "Adj Close")
 
 
 def test_freeze_and_score(spark, market, development, tmp_path, monkeypatch):
@@ -480,3 +480,27 @@ def test_streams_equal_batch(spark, stream):
     assert key(got) == key(batch.select("symbol", "idx", F.round("ewma", 9).alias("ewma")))
     got = stream(rows, lambda s: S.stream_matured(s, 2, 4, 2, 2.0, 5), "m").select("symbol", "idx", "matured", F.round("forecast", 9).alias("f"))
     assert key(got) == key(batch.select("symbol", "idx", F.col("state_matured").alias("matured"), F.round("state_mean", 9).alias("f")))
+
+
+def test_sessions_by_event_time(spark, tmp_path):
+    """Ticks out of order count, ticks behind the watermark do not."""
+    from massflow.streaming.state import stream_sessions
+
+    at = lambda day, hour: dt.datetime(2024, 1, day, hour)
+    batches = [[("a", at(1, 9), 1.0), ("a", at(1, 17), 3.0), ("a", at(1, 12), 2.0), ("b", at(1, 10), 9.0)], [("a", at(2, 9), 4.0), ("a", at(1, 20), 5.0)], [("a", at(3, 9), 6.0)], [("a", at(1, 23), 7.0), ("a", at(3, 8), 8.0), ("a", at(5, 1), 0.0)], [("a", at(9, 1), 0.0)]]
+    schema = "symbol string, ts timestamp, price double"
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / f"in/b={i}"))
+    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in") + "/b=*")
+    q = stream_sessions(src).writeStream.format("memory").queryName("sessions").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).start()
+    q.processAllAvailable()
+    q.stop()
+    got = {(r["symbol"], r["session_start"].day): (r["price"], r["n"], r["available_at"]) for r in spark.table("sessions").collect()}
+    assert got == {("a", 1): (5.0, 4, at(2, 2)), ("b", 1): (9.0, 1, at(2, 2)), ("a", 2): (4.0, 1, at(3, 2)), ("a", 3): (6.0, 2, at(4, 2)), ("a", 5): (0.0, 1, at(6, 2))}
+
+
+def test_fingerprint_is_of_the_rows(spark):
+    rows = [(1, "x", 1.5), (2, "y", None), (3, "x", 1.5)]
+    of = lambda data, n=1: [r["fingerprint"] for r in ingest.fingerprint(spark.createDataFrame(data, "k int, s string, v double").repartition(n), [], [F.col("s"), F.col("v")]).collect()]
+    assert of(rows) == of(rows[::-1], 3) and len(of(rows)[0]) == 26
+    assert of(rows) != of(rows[:2]) and of(rows) != of([(1, "x", 1.5), (2, "y", 0.0), (3, "x", 1.5)])
