@@ -193,6 +193,29 @@ def windows_ticks(spark, d):
     return w.groupBy("symbol").agg(F.count("*").alias("n"), rnd(F.sum(F.array_max("sample")), 4).alias("tops"), rnd(F.sum(D.total(F.col("sample"))), 3).alias("totals"))
 
 
+VALUES_SQL = "vals AS (SELECT event_type AS symbol, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS idx, value FROM events)"
+
+
+def event_values(spark, d):
+    """(symbol, idx, value): finite values of events by type."""
+    rows = P.table(spark, d, "events").select(F.col("event_type").alias("symbol"), "ts", "event_id", "value")
+    return windows.dense_index(rows, ["symbol"], ["ts", "event_id"], F.unix_date(F.to_date("ts"))).select("symbol", "idx", "value")
+
+
+@query("windows_rolling", f"WITH {VALUES_SQL} SELECT symbol, endpoint, {r('list_sum(s)')} AS total, {r('s[1]')} AS first_atom FROM (SELECT symbol, idx AS endpoint, list(value) OVER w AS s FROM vals WINDOW w AS (PARTITION BY symbol ORDER BY idx ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)) WHERE len(s) = 10 AND (endpoint - 9) % 5 = 0")
+def windows_rolling(spark, d):
+    w = windows.rolling(event_values(spark, d), 10, 5, value="value")
+    return w.select("symbol", "endpoint", rnd(D.total(F.col("sample"))).alias("total"), rnd(F.col("sample")[0]).alias("first_atom"))
+
+
+@query("windows_segments", f"WITH {VALUES_SQL} SELECT symbol, part, endpoint, {r('list_sum([x[1] FOR x IN s])')} AS total, {r('list_max([x[2] FOR x IN s])')} AS top FROM (SELECT symbol, idx // 100 AS part, idx AS endpoint, list([value, value * value]) OVER w AS s FROM vals WINDOW w AS (PARTITION BY symbol, idx // 100 ORDER BY idx ROWS BETWEEN 7 PRECEDING AND CURRENT ROW)) WHERE len(s) = 8 AND (endpoint - 7) % 3 = 0")
+def windows_segments(spark, d):
+    """Windows of vectors that stay inside their segment of 100 rows."""
+    rows = event_values(spark, d).select("symbol", F.floor(F.col("idx") / 100).alias("part"), "idx", F.array("value", F.col("value") * F.col("value")).alias("x"))
+    w = windows.return_windows(rows, 8, 3, ["symbol", "part"])
+    return w.select("symbol", "part", "endpoint", rnd(D.total(F.transform("sample", lambda x: x[0]))).alias("total"), rnd(F.array_max(F.transform("sample", lambda x: x[1]))).alias("top"))
+
+
 JOINT = """com AS (SELECT max(lo) AS a, min(hi) AS b FROM (SELECT symbol, min(session_date) AS lo, max(session_date) AS hi FROM ret GROUP BY symbol)),
 panel AS (SELECT datediff('day', a, session_date) // 7 AS idx, session_date, max(available_at) AS available_at, min(price_start) AS price_start, max(log_return) FILTER (WHERE symbol = 'N') AS n, max(log_return) FILTER (WHERE symbol = 'A') AS a_, max(log_return) FILTER (WHERE symbol = 'R') AS r_
   FROM ret, com WHERE session_date BETWEEN a AND b GROUP BY 1, 2),"""
@@ -272,6 +295,13 @@ def split_fit_stride(spark, d):
     return splits.every(P.weekly_windows(spark, d).filter(F.col("session_date") <= F.lit(TRAIN).cast("date")), 5, keys=("symbol",)).select("symbol", "endpoint")
 
 
+@query("split_folds", " UNION ALL ".join(f"SELECT {y}::BIGINT AS year, {v}::BIGINT AS validation_years, make_date({y} - {v} - 1, 12, 31) AS train_end, make_date({y} - 1, 12, 31) AS validation_end, make_date({y}, 12, 31) AS test_end" for y in range(1998, 2002) for v in (1, 2)))
+def split_folds(spark, d):
+    rows = [(y, v, *splits.fold(y, v)) for y in range(1998, 2002) for v in (1, 2)]
+    made = spark.createDataFrame(rows, "year long, validation_years long, a string, b string, c string")
+    return made.select("year", "validation_years", F.to_date("a").alias("train_end"), F.to_date("b").alias("validation_end"), F.to_date("c").alias("test_end"))
+
+
 ASOF = "2000-06-30 00:00:00"
 
 
@@ -359,6 +389,15 @@ def standardize(spark, d):
     return z.select("symbol", "endpoint", rnd(F.element_at("z", 1)).alias("first_z"), rnd(F.element_at("z", -1)).alias("last_z"), rnd(F.array_max("z")).alias("top_z"))
 
 
+@query("constant_rows", f"""WITH {SAMPLES}, x AS (SELECT id, CASE WHEN id % 7 = 0 THEN [s[1] FOR v IN s] ELSE s END AS s FROM e)
+  SELECT id, list_min(s) = list_max(s) AS is_constant, {r(SD.format('s'))} AS sd, {r('CASE WHEN list_min(s) = list_max(s) THEN 0 ELSE list_max([(v - list_avg(s)) / ' + SD.format('s') + ' FOR v IN s]) END')} AS top_z FROM x""")
+def constant_rows(spark, d):
+    """Every seventh vector is one number repeated."""
+    x = F.col("sample")
+    e = P.samples(spark, d).select("id", F.when(F.col("id") % 7 == 0, F.transform(x, lambda _: x[0])).otherwise(x).alias("x"))
+    return e.select("id", D.is_constant(F.col("x")).alias("is_constant"), rnd(D.sd(F.col("x"))).alias("sd"), rnd(F.array_max(D.standardize(F.col("x")))).alias("top_z"))
+
+
 @query("asset_scales", f"WITH {RET} SELECT symbol, {r('stddev_pop(log_return)')} AS scale FROM ret WHERE session_date <= DATE '{TRAIN}' GROUP BY symbol")
 def asset_scales(spark, d):
     return geometry.asset_scales(P.weekly_returns(spark, d).filter(F.col("session_date") <= F.lit(TRAIN).cast("date"))).select("symbol", rnd("scale").alias("scale"))
@@ -465,10 +504,11 @@ def dwell_runs(spark, d):
     return evaluate.runs(P.labelled(spark, d), ["symbol"], "endpoint").select("symbol", "label", "length")
 
 
-AGREE = """, n AS (SELECT a, b, count(*) AS n FROM ab GROUP BY a, b), i AS (SELECT a, sum(n) AS m FROM n GROUP BY a), j AS (SELECT b, sum(n) AS m FROM n GROUP BY b),
+AGREE_V = """, n AS (SELECT a, b, count(*) AS n FROM ab GROUP BY a, b), i AS (SELECT a, sum(n) AS m FROM n GROUP BY a), j AS (SELECT b, sum(n) AS m FROM n GROUP BY b),
 v AS (SELECT (SELECT sum(n) FROM n)::DOUBLE AS n, (SELECT sum(n * (n - 1) / 2) FROM n) AS ij, (SELECT sum(m * (m - 1) / 2) FROM i) AS si, (SELECT sum(m * (m - 1) / 2) FROM j) AS sj,
-  (SELECT -sum(n / t * ln(n / t)) FROM n, (SELECT sum(n)::DOUBLE AS t FROM n)) AS hab, (SELECT -sum(m / t * ln(m / t)) FROM i, (SELECT sum(n)::DOUBLE AS t FROM n)) AS ha, (SELECT -sum(m / t * ln(m / t)) FROM j, (SELECT sum(n)::DOUBLE AS t FROM n)) AS hb)
-SELECT n::BIGINT AS n, """ + r("(ij - si * sj / (n * (n - 1) / 2)) / ((si + sj) / 2 - si * sj / (n * (n - 1) / 2))") + " AS ari, " + r("(ha + hb - hab) / ((ha + hb) / 2)") + " AS nmi FROM v"
+  (SELECT -sum(n / t * ln(n / t)) FROM n, (SELECT sum(n)::DOUBLE AS t FROM n)) AS hab, (SELECT -sum(m / t * ln(m / t)) FROM i, (SELECT sum(n)::DOUBLE AS t FROM n)) AS ha, (SELECT -sum(m / t * ln(m / t)) FROM j, (SELECT sum(n)::DOUBLE AS t FROM n)) AS hb)"""
+_ARI = r("(ij - si * sj / (n * (n - 1) / 2)) / ((si + sj) / 2 - si * sj / (n * (n - 1) / 2))")
+AGREE = AGREE_V + f" SELECT n::BIGINT AS n, {_ARI} AS ari, " + r("(ha + hb - hab) / ((ha + hb) / 2)") + " AS nmi FROM v"
 
 
 @query("agreement_labels", "WITH ab AS (SELECT quality AS a, toxic AS b FROM labels)" + AGREE)
@@ -487,6 +527,46 @@ def balanced_accuracy(spark, d):
     return evaluate.balanced_accuracy(P.table(spark, d, "labels"), "quality", "toxic").select(rnd("balanced_accuracy").alias("balanced_accuracy"), rnd("least_recall").alias("least_recall"))
 
 
+@query("label_mapping", """WITH n AS (SELECT quality AS a, toxic AS b, count(*) AS n FROM labels GROUP BY ALL), p(x, y) AS (VALUES (0, 1), (1, 0)),
+  g AS (SELECT x, y, coalesce(sum(n) FILTER (WHERE (b = 0 AND a = x) OR (b = 1 AND a = y)), 0) AS hits FROM p, n GROUP BY x, y), best AS (SELECT x, y FROM g ORDER BY hits DESC, x LIMIT 1)
+  SELECT 0 AS predicted, x::INTEGER AS truth FROM best UNION ALL SELECT 1, y::INTEGER FROM best""")
+def label_mapping(spark, d):
+    order = evaluate.label_mapping(P.table(spark, d, "labels"), "quality", "toxic", 2)
+    return spark.createDataFrame(list(enumerate(order)), "predicted int, truth int")
+
+
+OTHER_ENDPOINTS = (340, 100, 25)
+_OTHER = f"""oc AS (SELECT endpoint AS e, q AS c, list_position({list(OTHER_ENDPOINTS)}, endpoint) - 1 AS k FROM win WHERE symbol = '{P.CENTER_SYMBOL}' AND endpoint IN {OTHER_ENDPOINTS}),
+pd AS (SELECT a.k AS i, b.k AS j, list_distance(a.c, b.c) / sqrt({L}.0::DOUBLE) AS d FROM oc a, centers b),
+pm AS (SELECT a.j AS x, b.j AS y, c.j AS z, a.d + b.d + c.d AS total FROM pd a, pd b, pd c WHERE a.i = 0 AND b.i = 1 AND c.i = 2 AND a.j <> b.j AND b.j <> c.j AND a.j <> c.j), best AS (SELECT * FROM pm ORDER BY total, x, y LIMIT 1)"""
+
+
+def other_centers(wins) -> np.ndarray:
+    rows = {x["endpoint"]: x["sample"] for x in wins.filter((F.col("symbol") == P.CENTER_SYMBOL) & F.col("endpoint").isin(*OTHER_ENDPOINTS)).select("endpoint", "sample").collect()}  # three
+    return np.sort(np.array([rows[e] for e in OTHER_ENDPOINTS]), axis=1)
+
+
+@query("center_alignment", BASE + f", {_OTHER} SELECT unnest([0, 1, 2]) AS current, unnest([x, y, z])::INTEGER AS reference, {r('total')} AS total FROM best")
+def center_alignment(spark, d):
+    wins = P.weekly_windows(spark, d)
+    old, new = P.centers(wins), other_centers(wins)
+    order = evaluate.align_centers(old, new)
+    total = float(sum(np.sqrt(((new[i] - old[j]) ** 2).mean()) for i, j in enumerate(order)))
+    return spark.createDataFrame([(i, int(j), total) for i, j in enumerate(order)], "current int, reference int, total double").withColumn("total", rnd("total"))
+
+
+@query("refit_comparison", BASE + f""", {_OTHER}, nd AS (SELECT symbol, endpoint, list(list_distance(q, c) ORDER BY k) AS d FROM win, oc GROUP BY ALL), ab AS (SELECT lab.label AS a, list_position(nd.d, list_min(nd.d)) - 1 AS b FROM lab JOIN nd USING (symbol, endpoint))
+  {AGREE_V} SELECT n::BIGINT AS common, (SELECT count(DISTINCT a) FROM ab) AS previous_occupied, (SELECT count(DISTINCT b) FROM ab) AS current_occupied, {r('(SELECT total / 3 FROM best)')} AS displacement, {_ARI} AS ari FROM v""")
+def refit_comparison(spark, d):
+    wins = with_id(P.weekly_windows(spark, d))
+    old, new = P.centers(wins), other_centers(wins)
+    labels = [geometry.distances(wins, c, 2, keep=["id"]).select("id", "label") for c in (old, new)]
+    got = evaluate.refit_comparison(*labels, old, new, "id")
+    row = [(got["common"], got["previous_occupied"], got["current_occupied"], got["displacement"], got["ari"])]
+    made = spark.createDataFrame(row, "common long, previous_occupied long, current_occupied long, displacement double, ari double")
+    return made.withColumns({"displacement": rnd("displacement"), "ari": rnd("ari")})
+
+
 @query("occupancy", BASE + "SELECT k::INTEGER AS label, count(label) AS n FROM range(5) t(k) LEFT JOIN lab ON label = k GROUP BY k")
 def occupancy(spark, d):
     return evaluate.occupancy(P.labelled(spark, d), 5)
@@ -730,6 +810,30 @@ def bootstrap_means(spark, d):
     return made.groupBy("symbol", "rep").agg(rnd(F.avg("log_return")).alias("mean"), F.count_if("seam").alias("seams"), F.max("idx").alias("last"))
 
 
+@query("moving_block_means", f"""WITH {RET} SELECT symbol, rep, {r('avg(log_return)')} AS mean, count(*) AS n, sum(idx * (pos % 7))::BIGINT AS mark FROM {resample.draws_sql(LENGTHS, 10, 4, 'moving', 21, ['symbol'])} JOIN ret USING (symbol, idx) GROUP BY symbol, rep""")
+def moving_block_means(spark, d):
+    base = P.weekly_returns(spark, d).select("symbol", "idx", "log_return")
+    made = resample.draws(spark, lengths(base), 10, 4, "moving", 21).join(base, ["symbol", "idx"])
+    return made.groupBy("symbol", "rep").agg(rnd(F.avg("log_return")).alias("mean"), F.count("*").alias("n"), F.sum(F.col("idx") * (F.col("pos") % 7)).alias("mark"))
+
+
+_RAMP = " ".join(f"WHEN t < {b} THEN least(1, greatest(0, (t - {(a + b) // 2 - synthetic.RAMP_LENGTH // 2} + 1) / {synthetic.RAMP_LENGTH + 1}.0::DOUBLE))" for a, b in synthetic.RAMP_SPANS)
+
+
+@query("control_streams", f"""WITH s AS (SELECT 'rare' AS kind, t AS idx, CASE WHEN {' OR '.join(f't >= {a} AND t < {a + synthetic.RARE_LENGTH}' for a in synthetic.RARE_STARTS)} THEN 0.8::DOUBLE ELSE 0.2::DOUBLE END AS rho FROM range(3000) x(t)
+  UNION ALL SELECT 'gradual', t, 0.2::DOUBLE + 0.6::DOUBLE * CASE {_RAMP} END FROM range(3000) x(t)),
+  w AS (SELECT kind, idx, rho, min(rho) OVER v AS lo, max(rho) OVER v AS hi FROM s WINDOW v AS (PARTITION BY kind ORDER BY idx ROWS BETWEEN 62 PRECEDING AND CURRENT ROW))
+  SELECT kind, idx, {r('rho')} AS rho, (CASE WHEN idx < 62 THEN NULL WHEN round(hi, 9) = 0.2 THEN 0 WHEN round(lo, 9) = 0.8 THEN 1 ELSE -1 END)::INTEGER AS state FROM w""")
+def control_streams(spark, d):
+    """Correlations of the controls, and the pure states of their windows."""
+    rows = []
+    for kind in ("rare", "gradual"):
+        rho = synthetic.control_rho(kind)
+        state = [None] * 62 + synthetic.pure_truth(rho, 63).tolist()
+        rows += [(kind, t, float(v), s) for t, (v, s) in enumerate(zip(rho, state, strict=True))]
+    return spark.createDataFrame(rows, "kind string, idx long, rho double, state int").withColumn("rho", rnd("rho"))
+
+
 _REACH = f"(SELECT symbol, max(endpoint) + 1 AS n FROM lab GROUP BY symbol)"
 
 
