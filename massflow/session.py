@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,7 +18,6 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20),
-    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.executorEnv.OMP_NUM_THREADS": "1",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
@@ -50,7 +52,43 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
-def cut(df: DataFrame) -> DataFrame:
+_made: dict[str, SparkSession] = {}
+
+
+def fresh_path(spark: SparkSession, tag: str) -> str:
+    """A new path in the shared folder.  Results are read from such tables whenever
+    they are computed, so what is there at the end goes with the driver."""
+    path = f"{shared_dir(spark)}/massflow-{tag}-{uuid.uuid4().hex}"
+    if not _made:
+        atexit.register(sweep)
+    _made[path] = spark
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a path of the shared folder through Hadoop's file system."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    _made.pop(path, None)
+
+
+def sweep() -> None:
+    """Delete all temporary tables that this driver made."""
+    for path, spark in list(_made.items()):
+        with contextlib.suppress(Exception):  # the gateway may be gone
+            remove(spark, path)
+        _made.pop(path, None)
+
+
+def written(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
+    """``df`` written once to the shared folder and read back, and its path: cuts
+    the lineage, and survives lost executors."""
+    path = fresh_path(df.sparkSession, tag)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def cut(df: DataFrame, tag: str = "cut") -> DataFrame:
     """``df`` computed once into the shared folder: later plans start from there."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    return written(df, tag)[0]
