@@ -7,6 +7,7 @@ import contextlib
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -81,6 +82,18 @@ def sweep() -> None:
         _made.pop(path, None)
 
 
+@contextlib.contextmanager
+def temporary() -> Iterator[None]:
+    """Delete what is made inside the block when it ends; its results must have been
+    written elsewhere by then."""
+    before = set(_made)
+    try:
+        yield
+    finally:
+        for path in set(_made) - before:
+            remove(_made[path], path)
+
+
 def written(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
     """``df`` written once to the shared folder and read back, and its path: cuts
     the lineage, and survives lost executors."""
