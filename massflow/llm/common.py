@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import atexit
 import contextlib
 import ctypes
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -13,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from massflow.session import shared_dir
+from massflow.session import written
 
 #: Rows of an Arrow batch that are turned into Python objects at once.
 SLICE_ROWS = 1024
@@ -27,51 +25,16 @@ NOT_SPACE = r"[^\x20\x09-\x0D]"
 #: Most rows that are broadcast after a count (of short columns, so some MB).
 BROADCAST_ROWS = 100_000
 
-_made: dict[str, SparkSession] = {}
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def fresh_path(spark: SparkSession, tag: str) -> str:
-    """A new path in the shared folder.  Results are read from such tables
-    whenever they are computed, so what is there at the end goes with the driver."""
-    path = f"{shared_dir(spark)}/massflow-{tag}-{uuid.uuid4().hex}"
-    if not _made:
-        atexit.register(sweep)
-    _made[path] = spark
-    return path
-
-
-def sweep() -> None:
-    """Delete all temporary tables that this driver made."""
-    for path, spark in list(_made.items()):
-        with contextlib.suppress(Exception):  # the gateway may be gone
-            remove(spark, path)
-        _made.pop(path, None)
-
-
-def written(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
-    """``df`` written once to the shared folder and read back, and its path: cuts
-    the lineage, and survives lost executors."""
-    path = fresh_path(df.sparkSession, tag)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), path
-
-
 def materialise(df: DataFrame, tag: str) -> DataFrame:
+    """``df`` written once to the shared folder and read back."""
     return written(df, tag)[0]
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a path of the shared folder through Hadoop's file system."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-    _made.pop(path, None)
-
-
 def bucket5(doc_id: Column) -> Column:
     """crc32(doc_id as text) mod 5; a null id counts as the empty text (0)."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(5))

@@ -34,8 +34,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from massflow.llm.common import free_name, map_arrow, map_text, materialise, remove, table, written
+from massflow.llm.common import free_name, map_arrow, map_text, materialise, table
 from massflow.operators.joins import join_spread
+from massflow.session import remove, written
 
 RADIUS = 3
 SHINGLE_WORDS = 3

@@ -35,8 +35,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from massflow.llm.common import BROADCAST_ROWS, SLICE_ROWS, fresh_path, map_arrow, materialise, table
+from massflow.llm.common import BROADCAST_ROWS, SLICE_ROWS, map_arrow, materialise, table
 from massflow.operators.joins import join_spread
+from massflow.session import fresh_path
 
 REVISIT_BYTES = 100
 BLOCK_LINES = 512

@@ -17,7 +17,8 @@ from hypothesis import strategies as st
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from massflow.llm import common, language, licenses, media, mixing, pieces, quality_model, quality_rules, simhash, token_counts, warc
+from massflow import session
+from massflow.llm import language, licenses, media, mixing, pieces, quality_model, quality_rules, simhash, token_counts, warc
 from massflow.llm.queries import QUERIES, SQL
 from massflow.operators import joins
 
@@ -208,10 +209,10 @@ def test_join_spread(spark, monkeypatch, how):
 
 
 def test_temporary_tables(spark, tmp_path):
-    df, path = common.written(spark.range(5), "probe")
-    assert df.count() == 5 and path in common._made
-    common.remove(spark, path)
-    assert path not in common._made and not os.path.exists(path.removeprefix("file:"))
+    df, path = session.written(spark.range(5), "probe")
+    assert df.count() == 5 and path in session._made
+    session.remove(spark, path)
+    assert path not in session._made and not os.path.exists(path.removeprefix("file:"))
 
 
 @settings(max_examples=5, deadline=None)
@@ -794,7 +795,9 @@ def test_pipeline_by_brute_force(spark, tmp_path):
     least = {}
     for i, c in zip(ids, part, strict=True):
         least.setdefault(c, i)
+    before = set(session._made)
     got = {r["doc_id"]: r for r in rows(corpus_pipeline.run(spark, str(tmp_path)))}
+    assert len(set(session._made) - before) == 1  # the last stage's input
     assert sorted(got) == sorted(least.values()) and not any(i >= 100_000 for i in got if i - 100_000 in tongue)
     m = pieces.pieces_of(token_counts.default_model(), pieces.ALPHA)
     for i, r in got.items():
