@@ -20,8 +20,9 @@ pooled stream.  What is broadcast, and what the fold takes, is bounded by K and
 No row is dropped, repeated or sampled.  Repeated rows and equal ids stay (ties:
 doc_id, then the hash of the source's name; rows equal in both are alike); an empty
 table gives no rows; texts are not read, so their length does not matter; extra
-columns are kept, whatever their names.  A hot source is ranked in buckets of the
-hash range and bucket counts are summed in groups, so no task holds it whole.
+columns are kept, whatever their names.  Each stream is ranked in buckets of the hash
+range, as many as its rows need, and bucket counts are summed in groups, so no task
+holds a hot source whole.
 """
 
 from __future__ import annotations
@@ -35,8 +36,8 @@ from massflow.llm.common import free_name, table
 WEIGHTS: dict[str, int] = {"src0": 50, **{f"src{i}": 7 for i in range(1, 20)}}
 OTHER = 17
 BLOCK_ROWS = 32
-#: Mean rows of a bucket in which documents are ranked.
-BUCKET_ROWS = 4_000
+#: Mean rows of a bucket in which documents of a stream are ranked.
+BUCKET_ROWS = 1_000
 #: Buckets whose counts are summed by one task.
 GROUP_BUCKETS = 1_000
 
@@ -104,12 +105,13 @@ def mix(docs: DataFrame, weights: dict[str, int], other: int = 1, block_rows: in
     # a row for each stream
     have = {r[0]: r[1] for r in like.groupBy(stream_of(F.col("source"), names)).count().collect()}
     plan = plans(docs.sparkSession, [-(-have.get(s, 0) // block_rows) for s in range(len(per))], per)
-    buckets = max(1, -(-sum(have.values()) // bucket_rows))
+    buckets = F.array(*[F.lit(max(1, -(-have.get(s, 0) // bucket_rows))).cast("long") for s in range(len(per))])  # of each stream
 
     def keyed(df: DataFrame) -> DataFrame:
         h = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-        b = F.floor(F.conv(F.substring(h, 1, 8), 16, 10).cast("long") * buckets / 4294967296).cast("long")
-        return df.withColumn(tmp, F.struct(stream_of(F.col("source"), names).alias("stream"), b.alias("bucket"), h.alias("h")))
+        stream = stream_of(F.col("source"), names)
+        b = F.shiftright(F.conv(F.substring(h, 1, 8), 16, 10).cast("long") * F.element_at(buckets, stream + 1), 32)
+        return df.withColumn(tmp, F.struct(stream.alias("stream"), b.alias("bucket"), h.alias("h")))
 
     sizes = keyed(like.select("doc_id", "source")).groupBy(F.col(f"{tmp}.stream").alias("stream"), F.col(f"{tmp}.bucket").alias("bucket")).agg(F.count("*").alias("n"))
     sizes = sizes.selectExpr("stream", "bucket", f"bucket div {GROUP_BUCKETS} AS part", "n")
