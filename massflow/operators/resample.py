@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -151,38 +152,34 @@ def contaminate(df: DataFrame, share: float, size: float, seed: int, values: Seq
 LOCAL_NUMBERS = 2_000_000
 
 
-def _local_interval(losses: DataFrame, base: str, block: int, reps: int, seed: int) -> DataFrame | None:
-    """As ``paired_interval``, from a matrix of bounded size: the same draws.
+def _local_intervals(losses: DataFrame, base: str, blocks: Sequence[int], reps: int, seeds: Sequence[int]) -> DataFrame | None:
+    """As ``paired_intervals``, from a matrix of bounded size: the same draws.
     None if some method lacks a step."""
     pdf = losses.select("t", "method", "loss_name", "value").toPandas().pivot_table(index="t", columns=["method", "loss_name"], values="value", dropna=False).sort_index()
     names = [c for c in pdf.columns if c[0] != base]
     if pdf.isna().any().any() or not names:
         return None
     x = np.stack([(pdf[base, loss] - pdf[m, loss]).to_numpy() for m, loss in names], 1)
-    n = len(x)
+    n, blocks, seeds = len(x), list(blocks), list(seeds)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            reps_ = b["rep"].to_numpy()
-            means = np.stack([x[stationary(n, block, seed, int(r))[0]].mean(0) for r in reps_])
-            yield pd.DataFrame({"rep": np.repeat(reps_, len(names)), "series": np.tile(np.arange(len(names)), len(reps_)), "m": means.ravel()})
+            which, rep = b["id"].to_numpy() % len(blocks), b["id"].to_numpy() // len(blocks)
+            means = [x[stationary(n, blocks[i], seeds[i], int(r))[0]].mean(0) for i, r in zip(which, rep, strict=True)]
+            if means:
+                yield pd.DataFrame({"which": np.repeat(which, len(names)), "series": np.tile(np.arange(len(names)), len(rep)), "m": np.concatenate(means)})
 
     spark = losses.sparkSession
-    made = spark.range(reps).withColumnRenamed("id", "rep").mapInPandas(run, "rep long, series long, m double")
-    spread = made.groupBy("series").agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
-    at = F.col("series").cast("int") + 1
-    pick = lambda v, kind: F.element_at(F.array(*[F.lit(y).cast(kind) for y in v]), at)
+    made = spark.range(reps * len(blocks)).mapInPandas(run, "which long, series long, m double")
+    spread = made.groupBy("which", "series").agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
+    pick = lambda at, v, kind: F.element_at(F.array(*[F.lit(y).cast(kind) for y in v]), F.col(at).cast("int") + 1)
     return spread.select(
-        pick([m for m, _ in names], "string").alias("method"), pick([k for _, k in names], "string").alias("loss_name"),
-        pick([float(v) for v in x.mean(0)], "double").alias("mean_delta"), F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"),
+        pick("series", [m for m, _ in names], "string").alias("method"), pick("series", [k for _, k in names], "string").alias("loss_name"),
+        pick("series", [float(v) for v in x.mean(0)], "double").alias("mean_delta"), F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"), pick("which", blocks, "int").alias("block"),
     )
 
 
-def paired_interval(losses: DataFrame, base: str, block: int, reps: int, seed: int) -> DataFrame:
-    """For each other method and loss: mean difference to ``base`` and its
-    bootstrap interval; a draw is shared by all methods and losses."""
-    if 0 < losses.count() <= LOCAL_NUMBERS and (made := _local_interval(losses, base, block, reps, seed)) is not None:
-        return made
+def _joined_interval(losses: DataFrame, base: str, block: int, reps: int, seed: int) -> DataFrame:
     other = losses.select(F.col("t"), F.col("loss_name"), F.col("value").alias("other"), F.col("method"))
     mine = losses.filter(F.col("method") == base).select("t", "loss_name", F.col("value").alias("mine"))
     delta = other.filter(F.col("method") != base).join(mine, ["t", "loss_name"]).withColumn("delta", F.col("mine") - F.col("other"))
@@ -192,4 +189,17 @@ def paired_interval(losses: DataFrame, base: str, block: int, reps: int, seed: i
     drawn = draws(losses.sparkSession, n, reps, seed, "stationary", block).groupBy("rep", "idx").agg(F.count("*").alias("w"))
     means = delta.join(steps, "t").join(drawn, "idx").groupBy("method", "loss_name", "rep").agg((F.sum(F.col("delta") * F.col("w")) / F.sum("w")).alias("m"))
     spread = means.groupBy("method", "loss_name").agg(F.percentile("m", F.lit(0.025)).alias("lo"), F.percentile("m", F.lit(0.975)).alias("hi"))
-    return delta.groupBy("method", "loss_name").agg(F.avg("delta").alias("mean_delta")).join(spread, ["method", "loss_name"])
+    return delta.groupBy("method", "loss_name").agg(F.avg("delta").alias("mean_delta")).join(spread, ["method", "loss_name"]).withColumn("block", F.lit(block))
+
+
+def paired_intervals(losses: DataFrame, base: str, blocks: Sequence[int], reps: int, seeds: Sequence[int]) -> DataFrame:
+    """For each other method, loss and block length: mean difference to ``base`` and its
+    bootstrap interval; a draw is shared by all methods and losses."""
+    if 0 < losses.count() <= LOCAL_NUMBERS and (made := _local_intervals(losses, base, blocks, reps, seeds)) is not None:
+        return made
+    return reduce(DataFrame.unionByName, [_joined_interval(losses, base, b, reps, s) for b, s in zip(blocks, seeds, strict=True)])
+
+
+def paired_interval(losses: DataFrame, base: str, block: int, reps: int, seed: int) -> DataFrame:
+    """``paired_intervals`` of one block length."""
+    return paired_intervals(losses, base, [block], reps, [seed]).drop("block")

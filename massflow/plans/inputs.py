@@ -45,27 +45,31 @@ def prices(spark: SparkSession, assets: Sequence[Mapping[str, str]], price_colum
     return reduce(DataFrame.unionByName, parts)
 
 
-def returns(spark: SparkSession, assets: Sequence[Mapping[str, str]], price_column: str, sessions: str, cutoff: str | None = None) -> DataFrame:
-    """Log returns of all assets; nothing after ``cutoff`` is read any further."""
-    days, rows = sessions_of(spark, sessions), prices(spark, assets, price_column)
+def _checked(spark: SparkSession, assets: Sequence[Mapping[str, str]], price_column: str, sessions: str, cutoff: str | None) -> DataFrame:
+    """Prices up to ``cutoff``, written once and validated."""
+    rows = prices(spark, assets, price_column)
     if cutoff is not None:
         rows = rows.filter(F.col("session_date") <= F.lit(cutoff).cast("date"))
     rows = cut(rows)
-    ingest.validate(rows, days)
-    return ingest.log_returns(rows, days)
+    ingest.validate(rows, sessions_of(spark, sessions))
+    return rows
+
+
+def returns(spark: SparkSession, assets: Sequence[Mapping[str, str]], price_column: str, sessions: str, cutoff: str | None = None) -> DataFrame:
+    """Log returns of all assets; nothing after ``cutoff`` is read any further."""
+    return ingest.log_returns(_checked(spark, assets, price_column, sessions, cutoff), sessions_of(spark, sessions))
 
 
 def panel(spark: SparkSession, assets: Sequence[Mapping[str, str]], price_column: str, sessions: str, cutoff: str | None = None) -> DataFrame:
     """The joint panel of the assets over their common sessions, written once."""
-    own = cut(returns(spark, assets, price_column, sessions, cutoff))
-    days = sessions_of(spark, sessions).select(F.col("session_date").alias("_day"), "session_no")
-    numbered = own.join(F.broadcast(days), F.col("session_date") == F.col("_day")).drop("_day")  # a calendar's days
-    by = numbered.groupBy("symbol").agg(F.min("session_no").alias("lo"), F.max("session_no").alias("hi"))
-    span = by.agg(F.max("lo").alias("lo"), F.min("hi").alias("hi")).first()
+    days, rows = sessions_of(spark, sessions), _checked(spark, assets, price_column, sessions, cutoff)
+    numbers = F.broadcast(days.select("session_date", "session_no"))  # a calendar's days
+    by = rows.join(numbers, "session_date").groupBy("symbol").agg(F.min("session_no").alias("lo"), F.max("session_no").alias("hi"))
+    span = by.agg((F.max("lo") + 1).alias("lo"), F.min("hi").alias("hi")).first()  # a symbol's first session has no return
     if span["lo"] is None or span["lo"] > span["hi"]:
         raise ValueError("the assets share no history")
-    shared = numbered.filter(F.col("session_no").between(span["lo"], span["hi"])).withColumn("idx", F.col("session_no") - span["lo"]).drop("session_no")
-    return cut(windows.joint_panel(shared, [a["symbol"] for a in assets]))
+    shared = ingest.log_returns(rows, days).join(numbers, "session_date").filter(F.col("session_no").between(span["lo"], span["hi"]))
+    return cut(windows.joint_panel(shared.withColumn("idx", F.col("session_no") - span["lo"]).drop("session_no"), [a["symbol"] for a in assets]))
 
 
 def identity(spark: SparkSession, assets: Sequence[Mapping[str, str]], provider: str, price_column: str) -> dict[str, Any]:

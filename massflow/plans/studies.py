@@ -21,11 +21,7 @@ RISK_JOB = config.SCORE | {"horizon": config.integer(1), "min_history": config.i
 def intervals(scored: DataFrame, base: str, blocks: list[int], reps: int, seed: int) -> DataFrame:
     """Paired intervals of losses against ``base``, for each block length."""
     long = scored.select(F.col("idx").alias("t"), "method", F.explode(F.create_map(F.lit("qlike"), "qlike", F.lit("mse"), "mse")).alias("loss_name", "value"))
-    out = None
-    for b in blocks:
-        one = resample.paired_interval(long, base, b, reps, seed + b).withColumn("block", F.lit(b))
-        out = one if out is None else out.unionByName(one)
-    return out
+    return resample.paired_intervals(long, base, blocks, reps, [seed + b for b in blocks])
 
 
 def risk_study(rows: DataFrame, states: list[str], k: int, cfg: Mapping[str, Any]) -> tuple[DataFrame, DataFrame]:
