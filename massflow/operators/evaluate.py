@@ -7,7 +7,7 @@ from itertools import permutations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -70,10 +70,16 @@ def adjacent_mmd(picked: DataFrame, bandwidth: float, keys: list[str]) -> DataFr
     return made.groupBy(*keys, "same_label").agg(F.count("*").alias("pairs"), F.avg("_m").alias("mean_mmd2"))
 
 
-def percentiles(scored: DataFrame, calibration: DataFrame, threshold: float, value: str = "nearest") -> DataFrame:
+def percentiles(scored: DataFrame, calibration: DataFrame | Column, threshold: float, value: str = "nearest") -> DataFrame:
     """Adds ``percentile``, the share of calibration values at most the row's,
     and ``ood``.  Distinct values are ranked in value ranges, from one written table
-    of counts; a value that many rows share is dealt to several tasks."""
+    of counts; a value that many rows share is dealt to several tasks.  Rows find their
+    rank by value, so they are written first: values computed again may differ in their
+    last bits and would find none.  A calibration that is part of ``scored`` is given as
+    a condition on its rows, for the same reason."""
+    scored = cut(scored)
+    if isinstance(calibration, Column):
+        calibration = scored.filter(calibration)
     both = scored.select(value, F.lit(0).alias("_cal"), F.lit(1).alias("_row")).unionByName(calibration.select(value, F.lit(1).alias("_cal"), F.lit(0).alias("_row")))
     by_value = cut(both.groupBy(value).agg(F.sum("_cal").alias("_n"), F.sum("_row").alias("_rows")))
     sums = by_value.agg(F.sum(F.when(F.col(value).isNotNull(), F.col("_n"))).alias("cal"), F.sum("_rows").alias("rows"), F.count("*").alias("k")).first()

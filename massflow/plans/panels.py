@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from massflow.operators import ingest, windows
 from massflow.operators.geometry import distances
+from massflow.session import cut
 from massflow.sources import calendar
 
 LENGTH = 21
@@ -72,6 +73,8 @@ def centers(wins: DataFrame) -> np.ndarray:
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weekly windows with their W2 distances to the fixed centers."""
-    wins = weekly_windows(spark, sf_dir)
+    """Weekly windows with their W2 distances to the fixed centers.  The windows are
+    written once: a mean price differs in its last bits with the order in which parts of
+    a week are added up, so windows computed again are not the centers' or each other's."""
+    wins = cut(weekly_windows(spark, sf_dir))
     return distances(wins, centers(wins), 2)

@@ -471,7 +471,7 @@ def assign_weekly(spark, d):
 @query("novelty_percentile", BASE + f", cal2 AS (SELECT nearest AS c FROM lab WHERE session_date <= DATE '{TRAIN}') SELECT symbol, endpoint, {r('(SELECT count(*) FROM cal2 WHERE c <= nearest) / (SELECT count(*) FROM cal2)')} AS percentile, (SELECT count(*) FROM cal2 WHERE c <= nearest) / (SELECT count(*) FROM cal2) >= 0.95 AS ood FROM lab")
 def novelty_percentile(spark, d):
     got = P.labelled(spark, d).select("symbol", "endpoint", "session_date", "nearest")
-    made = evaluate.percentiles(got, got.filter(F.col("session_date") <= F.lit(TRAIN).cast("date")), 0.95)
+    made = evaluate.percentiles(got, F.col("session_date") <= F.lit(TRAIN).cast("date"), 0.95)
     return made.select("symbol", "endpoint", rnd("percentile").alias("percentile"), "ood")
 
 

@@ -1,10 +1,13 @@
 """Every query with an SQL twin against DuckDB, and the others for a result."""
 
 import datetime as dt
+import random
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from massflow.operators import evaluate
 from massflow.plans import queries as Q
 
 SF = "/root/testdata/sf0.01"
@@ -44,6 +47,25 @@ def test_smallest_tables(spark, name):
     Q.QUERIES[name](spark, "/root/testdata/sf0.001").collect()
 
 
+def test_novelty_of_prices_that_differ_when_computed_again(spark, monkeypatch):
+    """As the mean of a week does in its last bits, by the order of its parts."""
+    again = F.udf(lambda x: x * (1 + random.random() * 1e-13), "double").asNondeterministic()
+    prices = Q.P.weekly_prices
+    monkeypatch.setattr(Q.P, "weekly_prices", lambda *a: prices(*a).withColumn("price", again("price")))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{SF}/lineitem.parquet'")
+    for name in ("novelty_percentile", "novelty_quantile"):
+        assert table(Q.QUERIES[name](spark, SF).toPandas()) == table(con.execute(Q.SQL[name]).df())
+
+
+def test_percentiles_of_values_that_differ_when_computed_again(spark):
+    again = F.udf(lambda x: x + random.random() / 2, "double").asNondeterministic()
+    scored = spark.range(1000).select("id", again(F.col("id").cast("double")).alias("nearest"))
+    calibration = spark.range(100).select(F.col("id").cast("double").alias("nearest"))
+    got = evaluate.percentiles(scored, calibration, 0.95).select("id", "percentile", "ood").collect()
+    assert {r["id"]: (r["percentile"], r["ood"]) for r in got} == {i: (min(i + 1, 100) / 100, i >= 94) for i in range(1000)} and len(got) == 1000
+
+
 def test_entry_points_without_the_llm_package(tmp_path):
     """The driver removes that package; the rest must import."""
     import os
